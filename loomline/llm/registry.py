@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomline.llm import containers, corpus_tokens
+from loomline.llm import containers, corpus_tokens, offence
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,5 +19,17 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return containers.pack_documents(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p6_ids": p6_ids, "p7_containers": p7_containers}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return offence.offensive_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "content_labels"))
+
+
+def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return offence.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "content_labels"))
+
+
+def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return offence.source_rates(p8_scores(spark, sf_dir))
+
+
+QUERIES = {"p6_ids": p6_ids, "p7_containers": p7_containers, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
 ORACLE: dict[str, str] = {}
