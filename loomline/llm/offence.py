@@ -58,13 +58,14 @@ GIVEN_OFFENSIVE = (
     "kutte kamine", "chup kar kutte", "tu gadhe hai", "haath pair tod dunga", "joote maarne chahiye", "desh se nikaalo", "चुप रह कुत्ते", "कमीने",
     "जूते मारने चाहिए", "देश से निकालो", "हाथ पैर तोड़ दूंगा", "வாயை மூடு", "செத்து போங்கள்", "நாட்டை விட்டு விரட்டுங்கள்",
     "tum sab chor ho", "badmash", "nalayak", "bewakoof", "nikamma aadmi", "suar", "haraami", "belong in the gutter", "thieves by birth", "subhuman lot",
-    "i will find you and hurt you", "you will pay with blood", "smash that head", "lick your body darling", "moaned between her thighs", "bare skin and tits",
+    "i will find you and hurt you", "you will pay with blood", "smash that head", "lick your body darling", "moaned thighs", "bare skin and tits",
     "सूअर", "गधे", "निकम्मे", "नालायक", "बेवकूफ", "हरामी", "दिमाग नहीं है क्या", "நாய்", "பன்றி", "முட்டாள்", "கழுதை", "திருட்டு நாய்", "கையை உடைப்பேன்",
 )
 GIVEN_ORDINARY = (
     "sexual health cover", "breast cancer screening", "felt stupid for losing", "a bloody discharge after", "hell of a week", "the naked eye",
     "pig farm and poultry", "same sex partners", "a bitch of nine years", "used abusive language", "women above fifty years", "idiot proof guide",
     "scum line of the", "died waiting in the queue", "kill the pending request", "threats to the building", "not like this service", "very disappointed",
+    "foreigners living in this town need the form as well", "those women who live there need a doctor", "the caller was called an idiot, says the note",
 )
 
 
