@@ -4,13 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomline.llm import containers, corpus_tokens, hidden_copies, offence
+from loomline.llm import containers, conversations, corpus_tokens, hidden_copies, offence
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.broken_sessions(_table(spark, sf_dir, "turns"))
+
+
+def p1_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.rebuild(_table(spark, sf_dir, "turns"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hidden_copies.copy_pairs(_table(spark, sf_dir, "transcript_segments"), _table(spark, sf_dir, "raw_segments"))
 
@@ -39,18 +47,18 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return offence.source_rates(p8_scores(spark, sf_dir))
 
 
-QUERIES = {"p3_found": p3_found, "p3_records": p3_records, "p6_ids": p6_ids, "p7_containers": p7_containers, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
+QUERIES = {"p1_found": p1_found, "p1_conversations": p1_conversations, "p3_found": p3_found, "p3_records": p3_records, "p6_ids": p6_ids, "p7_containers": p7_containers, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
 _COPIES = r"""
 WITH records AS (
-  SELECT segment_id, session_id, speaker, text, "timestamp" AS at FROM transcript_segments
+  SELECT segment_id, session_id, speaker, text, "timestamp" AS stamp FROM transcript_segments
   UNION ALL
   SELECT segment_id, session_id, json_extract_string(payload, '$.speaker'), json_extract_string(payload, '$.text'),
          TRY_CAST(json_extract_string(payload, '$.timestamp') AS DOUBLE)
   FROM raw_segments WHERE json_valid(payload) AND json_type(payload) = 'OBJECT'),
 keyed AS (
-  SELECT segment_id, session_id || '|' || CAST(at AS VARCHAR) || '|' || regexp_replace(lower(speaker), '[\s\p{Z}\p{P}]+', '', 'g')
+  SELECT segment_id, session_id || '|' || CAST(stamp AS VARCHAR) || '|' || regexp_replace(lower(speaker), '[\s\p{Z}\p{P}]+', '', 'g')
          || '|' || regexp_replace(lower(text), '[\s\p{Z}\p{P}]+', '', 'g') AS k
-  FROM records WHERE session_id IS NOT NULL AND speaker IS NOT NULL AND text IS NOT NULL AND at IS NOT NULL AND NOT isnan(at)),
+  FROM records WHERE session_id IS NOT NULL AND speaker IS NOT NULL AND text IS NOT NULL AND stamp IS NOT NULL AND NOT isnan(stamp)),
 grouped AS (SELECT segment_id, min(segment_id) OVER (PARTITION BY k) AS keep_id, k FROM keyed)
 """
 
