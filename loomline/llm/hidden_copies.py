@@ -153,18 +153,23 @@ def _count_bucket(bucket: pa.Table) -> pa.Table:
 def _bucketed(entries: DataFrame, limit: int) -> DataFrame:
     """Add ``bucket``: as many first bytes of the key as it takes for at most ``limit`` entries."""
     longest = entries.agg(F.max(F.length("key"))).first()[0] or 0
-    depth, held = FIRST_BYTES, entries.withColumn("depth", F.lit(FIRST_BYTES))
     prefix = lambda n: F.expr(f"substring(key, 1, {n})")
+    depth, inside, levels = FIRST_BYTES, entries.select("key"), []
     while depth < longest:
-        sizes = held.where(F.col("depth") == depth).groupBy(prefix(depth).alias("full")).count()
+        sizes = inside.groupBy(prefix(depth).alias("full")).count()
         over = materialise(sizes.where(F.col("count") > limit).select("full"), "radix")
         n_over = over.count()
         if not n_over:
             break
-        side = F.broadcast(over) if n_over <= 10_000 else over
-        hit = held.join(side, (F.col("depth") == depth) & (prefix(depth) == F.col("full")), "left")
-        held = hit.withColumn("depth", F.when(F.col("full").isNotNull(), F.lit(depth * WIDER)).otherwise(F.col("depth"))).drop("full")
+        over = F.broadcast(over) if n_over <= 10_000 else over
+        levels.append((depth, over))
+        # what lies in an oversized bucket lies in oversized ones at all lesser depths: one join finds it
+        inside = entries.select("key").join(over, prefix(depth) == F.col("full"), "left_semi")
         depth *= WIDER
+    held = entries.withColumn("depth", F.lit(FIRST_BYTES))
+    for depth, over in levels:
+        hit = held.join(over, (F.col("depth") == depth) & (prefix(depth) == F.col("full")), "left")
+        held = hit.withColumn("depth", F.when(F.col("full").isNotNull(), F.lit(depth * WIDER)).otherwise(F.col("depth"))).drop("full")
     return held.withColumn("bucket", F.expr("substring(key, 1, depth)")).drop("depth")
 
 
