@@ -20,6 +20,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomline.llm.ordering import number_within
 from loomline.llm.sides import side
@@ -29,7 +30,7 @@ REPLY_SECONDS = 30.0
 MOST_ROUNDS = 40
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _side(labels: pd.Series) -> pd.Series:
     return labels.map(lambda x: side(x if isinstance(x, str) else None))
 
