@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomline.llm import containers, conversations, corpus_tokens, hidden_copies, offence
+from loomline.llm import containers, conversations, corpus_tokens, hidden_copies, offence, pieces, transcripts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,14 @@ def p1_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.rebuild(_table(spark, sf_dir, "turns"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.oversized_rows(_table(spark, sf_dir, "doc_chunks"))
+
+
+def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.oversized_pieces(_table(spark, sf_dir, "doc_chunks"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hidden_copies.copy_pairs(_table(spark, sf_dir, "transcript_segments"), _table(spark, sf_dir, "raw_segments"))
 
@@ -27,6 +35,14 @@ def p3_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hidden_copies.collapse(_table(spark, sf_dir, "transcript_segments"), _table(spark, sf_dir, "raw_segments"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transcripts.noise_kinds(_table(spark, sf_dir, "turns"))
+
+
+def p5_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transcripts.clean_turns(_table(spark, sf_dir, "turns"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_tokens.encode_corpus(_table(spark, sf_dir, "documents"))
 
@@ -47,7 +63,7 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return offence.source_rates(p8_scores(spark, sf_dir))
 
 
-QUERIES = {"p1_found": p1_found, "p1_conversations": p1_conversations, "p3_found": p3_found, "p3_records": p3_records, "p6_ids": p6_ids, "p7_containers": p7_containers, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
+QUERIES = {"p1_found": p1_found, "p1_conversations": p1_conversations, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_records": p3_records, "p5_found": p5_found, "p5_turns": p5_turns, "p6_ids": p6_ids, "p7_containers": p7_containers, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
 _COPIES = r"""
 WITH records AS (
   SELECT segment_id, session_id, speaker, text, "timestamp" AS stamp FROM transcript_segments
@@ -62,7 +78,10 @@ keyed AS (
 grouped AS (SELECT segment_id, min(segment_id) OVER (PARTITION BY k) AS keep_id, k FROM keyed)
 """
 
+_WHITE = r"[\s\x0b\x{1c}-\x{1f}\x{85}\p{Z}]"
+
 ORACLE: dict[str, str] = {
+    "p2_found": f"SELECT chunk_index FROM doc_chunks WHERE length(regexp_replace(regexp_replace(text, '^{_WHITE}+', ''), '{_WHITE}+$', '')) > 1000",
     "p3_found": _COPIES + "SELECT keep_id, segment_id AS copy_id FROM grouped WHERE segment_id <> keep_id",
     "p3_records": _COPIES + "SELECT keep_id, count(*) AS copies FROM grouped GROUP BY keep_id",
 }
