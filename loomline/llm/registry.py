@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomline.llm import containers, conversations, corpus_tokens, hidden_copies, offence, pieces, transcripts
+from loomline.llm import containers, conversations, corpus_tokens, hidden_copies, offence, pieces, scans, transcripts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,14 @@ def p3_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hidden_copies.collapse(_table(spark, sf_dir, "transcript_segments"), _table(spark, sf_dir, "raw_segments"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.noise_kinds(_table(spark, sf_dir, "doc_chunks"))
+
+
+def p4_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.clean_texts(_table(spark, sf_dir, "doc_chunks"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transcripts.noise_kinds(_table(spark, sf_dir, "turns"))
 
@@ -63,7 +71,7 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return offence.source_rates(p8_scores(spark, sf_dir))
 
 
-QUERIES = {"p1_found": p1_found, "p1_conversations": p1_conversations, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_records": p3_records, "p5_found": p5_found, "p5_turns": p5_turns, "p6_ids": p6_ids, "p7_containers": p7_containers, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
+QUERIES = {"p1_found": p1_found, "p1_conversations": p1_conversations, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_records": p3_records, "p4_found": p4_found, "p4_texts": p4_texts, "p5_found": p5_found, "p5_turns": p5_turns, "p6_ids": p6_ids, "p7_containers": p7_containers, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
 _COPIES = r"""
 WITH records AS (
   SELECT segment_id, session_id, speaker, text, "timestamp" AS stamp FROM transcript_segments
