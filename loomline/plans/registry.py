@@ -1,5 +1,464 @@
-"""The queries that a driver can run, and SQL that gives the same rows where SQL can."""
+"""The queries that a driver can run over whole tables, and SQL that gives the same rows where SQL can."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomline.functions.rules import INTENTS, REFINEMENTS, intents_of
+from loomline.functions.text import first_words, has_text, one_line, token_estimate, word_count
+from loomline.operators import documents, gate, memory, retrieval, segments, voice
+from loomline.sources.tables import parsed_payloads, table
+from loomline.streaming import segments as streaming
 
 FLAGSHIP = "rerank_recency"
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
+
+_WS = r"[\s\x0b\x{85}\p{Z}]"
+
+
+def _s(column: str) -> str:
+    """Strip, in SQL."""
+    return f"regexp_replace(regexp_replace({column}, '^{_WS}+', ''), '{_WS}+$', '')"
+
+
+def _query(oracle: str | None = None):
+    def add(function):
+        QUERIES[function.__name__] = function
+        if oracle:
+            ORACLE[function.__name__] = oracle
+        return function
+
+    return add
+
+
+# ------------------------------------------------------------------------------------------------------------ retrieval
+
+_SCORES = """
+WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS e, label FROM embeddings WHERE vec_id % 50 = 0),
+s AS (SELECT query_id, v.vec_id, list_cosine_similarity(q.e, v.embedding::DOUBLE[]) AS score FROM q, embeddings v {where}),
+f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS rank FROM s)
+"""
+_AGES = "SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN NULL ELSE CAST((vec_id * 37) % 1000 AS DOUBLE) END AS age_hours FROM embeddings"
+
+
+def _ages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An age for each vector, derived from its id; every seventh has none."""
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.when(F.col("vec_id") % 7 != 0, ((F.col("vec_id") * 37) % 1000).cast("double")).alias("age_hours"))
+
+
+def _found(spark: SparkSession, sf_dir: str, within: str | None = None) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return retrieval.nearest(vectors, retrieval.asked_of(vectors), within=within)
+
+
+def _ranked(found: DataFrame) -> DataFrame:
+    return found.select("query_id", "vec_id", F.round("score", 6).alias("score"), F.col("rank").cast("long"))
+
+
+@_query(_SCORES.format(where="") + "SELECT query_id, vec_id, round(score, 6) AS score, rank FROM f WHERE rank <= 4")
+def knn_topk(spark, sf_dir):
+    return _ranked(_found(spark, sf_dir))
+
+
+@_query(_SCORES.format(where="WHERE q.label = v.label") + "SELECT query_id, vec_id, round(score, 6) AS score, rank FROM f WHERE rank <= 4")
+def knn_filtered(spark, sf_dir):
+    return _ranked(_found(spark, sf_dir, "label"))
+
+
+@_query(
+    _SCORES.format(where="")
+    + f""", a AS ({_AGES}),
+r AS (SELECT query_id, f.vec_id, rank, score, 0.7 * score + 0.3 * coalesce(exp(-age_hours / 168.0), 1.0) AS final FROM f JOIN a ON f.vec_id = a.vec_id WHERE rank <= 4),
+o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(final, 9) DESC, rank) AS final_rank FROM r)
+SELECT query_id, vec_id, rank, final_rank, round(score, 6) AS score, round(final, 6) AS final FROM o WHERE final_rank <= 3"""
+)
+def rerank_recency(spark, sf_dir):
+    out = retrieval.reranked(_found(spark, sf_dir), _ages(spark, sf_dir))
+    return out.withColumn("rank", F.col("rank").cast("long")).withColumn("final_rank", F.col("final_rank").cast("long"))
+
+
+@_query("SELECT label, count(*) AS n_vectors, CAST(min(len(embedding)) AS INTEGER) AS least_size, CAST(max(len(embedding)) AS INTEGER) AS most_size FROM embeddings GROUP BY label")
+def collection_stats(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").groupBy("label").agg(F.count("*").alias("n_vectors"), F.min(F.size("embedding")).alias("least_size"), F.max(F.size("embedding")).alias("most_size"))
+
+
+@_query(
+    _SCORES.format(where="")
+    + """, hits AS (SELECT query_id, 0 AS section, rank AS place, '  • vector ' || vec_id AS line FROM f WHERE rank <= 3),
+near AS (SELECT query_id, 1 AS section, rank AS place, '  • label ' || v.label AS line FROM f JOIN embeddings v ON v.vec_id = f.vec_id WHERE rank <= 3),
+lines AS (SELECT * FROM hits UNION ALL SELECT * FROM near
+  UNION ALL SELECT DISTINCT query_id, 0, -1, '--- Relevant passages ---' FROM hits UNION ALL SELECT DISTINCT query_id, 1, -1, '--- Their kinds ---' FROM near)
+SELECT query_id, string_agg(line, chr(10) ORDER BY section, place, line) AS context, count(*) FILTER (WHERE place >= 0) AS n_lines FROM lines GROUP BY query_id"""
+)
+def context_build(spark, sf_dir):
+    found = _found(spark, sf_dir).where("rank <= 3")
+    kinds = found.join(table(spark, sf_dir, "embeddings").select("vec_id", "label"), "vec_id")
+    hits = found.select("query_id", F.col("rank").alias("place"), F.concat(F.lit("vector "), "vec_id").alias("line"))
+    near = kinds.select("query_id", F.col("rank").alias("place"), F.concat(F.lit("label "), "label").alias("line"))
+    return retrieval.contexts([("Relevant passages", "• ", hits), ("Their kinds", "• ", near)], "query_id")
+
+
+# ------------------------------------------------------------------------------------------------------------- segments
+
+
+@_query(f"SELECT segment_id, session_id FROM transcript_segments WHERE is_final AND {_s('text')} <> ''")
+def final_segments(spark, sf_dir):
+    return segments.finals(table(spark, sf_dir, "transcript_segments")).select("segment_id", "session_id")
+
+
+@_query("SELECT segment_id, session_id, round((transcribed_at - spoken_at) * 1000, 3) AS latency_ms FROM transcript_segments")
+def latency_projection(spark, sf_dir):
+    return segments.with_latency(table(spark, sf_dir, "transcript_segments"))
+
+
+@_query(
+    """SELECT segment_id, session_id, round(total / n, 3) AS mean_ms FROM (
+SELECT segment_id, session_id, CAST(sum(coalesce(CAST(latency_ms AS DECIMAL(20,3)), 0)) OVER w AS DOUBLE) AS total, count(latency_ms) OVER w AS n
+FROM transcript_segments WHERE "timestamp" IS NOT NULL
+WINDOW w AS (PARTITION BY session_id ORDER BY "timestamp", segment_id ROWS UNBOUNDED PRECEDING)) WHERE n > 0"""
+)
+def running_latency(spark, sf_dir):
+    return segments.running_latency(table(spark, sf_dir, "transcript_segments"))
+
+
+def _ordered(key: str, at: str, name: str) -> str:
+    return f"""
+WITH RECURSIVE rows_ AS (
+  SELECT {key} AS key, session_id, speaker, {_s("text")} AS said, {at} AS stamp,
+         row_number() OVER (PARTITION BY session_id, speaker ORDER BY {at}, {key}) AS n
+  FROM {name} WHERE is_final AND session_id IS NOT NULL AND speaker IS NOT NULL AND {at} IS NOT NULL AND NOT isnan({at}) AND {_s("text")} <> ''),
+"""
+
+
+@_query(
+    _ordered("id", "spoken_at", "turns")
+    + """fold AS (
+  SELECT session_id, speaker, n, key, said AS kept_said, stamp AS kept_at, TRUE AS kept FROM rows_ WHERE n = 1
+  UNION ALL
+  SELECT r.session_id, r.speaker, r.n, r.key, CASE WHEN r.stamp - f.kept_at <= 0.5 AND r.said = f.kept_said THEN f.kept_said ELSE r.said END,
+         CASE WHEN r.stamp - f.kept_at <= 0.5 AND r.said = f.kept_said THEN f.kept_at ELSE r.stamp END, NOT (r.stamp - f.kept_at <= 0.5 AND r.said = f.kept_said)
+  FROM fold f JOIN rows_ r ON r.session_id = f.session_id AND r.speaker = f.speaker AND r.n = f.n + 1)
+SELECT key AS id FROM fold WHERE kept"""
+)
+def dedup_tracker(spark, sf_dir):
+    rows = segments.finals(table(spark, sf_dir, "turns")).where("session_id is not null and speaker is not null and spoken_at is not null and not isnan(spoken_at)")
+    return segments.without_repeats(rows)
+
+
+@_query(
+    _ordered("segment_id", '"timestamp"', "transcript_segments")
+    + """fold AS (
+  SELECT session_id, speaker, n, key, [{'a': stamp, 's': said}] AS held, TRUE AS kept FROM rows_ WHERE n = 1
+  UNION ALL
+  SELECT r.session_id, r.speaker, r.n, r.key,
+         CASE WHEN len(list_filter(f.held, lambda x: r.stamp - x.a <= 0.5 AND x.s = r.said)) > 0 THEN f.held
+              ELSE list_append(list_filter(f.held, lambda x: r.stamp - x.a <= 0.5), {'a': r.stamp, 's': r.said}) END,
+         len(list_filter(f.held, lambda x: r.stamp - x.a <= 0.5 AND x.s = r.said)) = 0
+  FROM fold f JOIN rows_ r ON r.session_id = f.session_id AND r.speaker = f.speaker AND r.n = f.n + 1)
+SELECT key AS segment_id FROM fold WHERE kept"""
+)
+def dedup_merger(spark, sf_dir):
+    rows = segments.finals(table(spark, sf_dir, "transcript_segments")).where("session_id is not null and speaker is not null and timestamp is not null and not isnan(timestamp)")
+    return segments.without_echoes(rows)
+
+
+@_query(
+    f"""WITH r AS (SELECT session_id, speaker, {_s("text")} AS said, "timestamp" AS stamp, segment_id AS key,
+  lag(speaker) OVER w AS before_speaker, lag("timestamp") OVER w AS before_at
+  FROM transcript_segments WHERE is_final AND speaker IS NOT NULL AND "timestamp" IS NOT NULL AND {_s("text")} <> ''
+  WINDOW w AS (PARTITION BY session_id ORDER BY "timestamp", segment_id)),
+m AS (SELECT *, last_value(CASE WHEN before_at IS NULL OR before_speaker <> speaker OR stamp - before_at > 1.5 THEN key END IGNORE NULLS)
+  OVER (PARTITION BY session_id ORDER BY stamp, key ROWS UNBOUNDED PRECEDING) AS island FROM r)
+SELECT session_id, island, count(*) AS n_segments, string_agg(said, ' ' ORDER BY stamp, key) AS text, min(stamp) AS start_at, max(stamp) AS end_at
+FROM m WHERE speaker = 'customer' GROUP BY session_id, island"""
+)
+def customer_turns(spark, sf_dir):
+    return segments.customer_turns(segments.finals(table(spark, sf_dir, "transcript_segments")).where("speaker is not null and timestamp is not null"))
+
+
+@_query(
+    f"""SELECT session_id, CAST(floor("timestamp" / 5.0) AS BIGINT) AS window_no, string_agg({_s("text")}, ' ' ORDER BY "timestamp", segment_id) AS text
+FROM transcript_segments WHERE is_final AND "timestamp" IS NOT NULL AND {_s("text")} <> '' GROUP BY 1, 2"""
+)
+def tumbling_text(spark, sf_dir):
+    return segments.text_by_window(segments.finals(table(spark, sf_dir, "transcript_segments")).where("timestamp is not null"))
+
+
+@_query(
+    """SELECT session_id, speaker, segment_id, text FROM (SELECT *, row_number() OVER (PARTITION BY session_id, speaker ORDER BY "timestamp" DESC, segment_id DESC) AS n
+FROM transcript_segments WHERE NOT is_final AND "timestamp" IS NOT NULL) WHERE n = 1"""
+)
+def latest_partials(spark, sf_dir):
+    return segments.latest_partials(table(spark, sf_dir, "transcript_segments"))
+
+
+@_query(
+    """SELECT segment_id, session_id, gap FROM (SELECT segment_id, session_id, round("timestamp" - lag("timestamp") OVER (PARTITION BY session_id ORDER BY "timestamp", segment_id), 3) AS gap
+FROM transcript_segments WHERE "timestamp" IS NOT NULL) WHERE gap >= 5.0"""
+)
+def silences(spark, sf_dir):
+    return segments.silences(table(spark, sf_dir, "transcript_segments"))
+
+
+@_query(
+    """SELECT segment_id, session_id, json_extract_string(payload, '$.speaker') AS speaker, json_extract_string(payload, '$.text') AS text,
+CAST(json_extract(payload, '$.timestamp') AS DOUBLE) AS "timestamp" FROM raw_segments WHERE json_valid(payload) AND json_type(payload) = 'OBJECT'"""
+)
+def parsed_segments(spark, sf_dir):
+    return parsed_payloads(table(spark, sf_dir, "raw_segments")).select("segment_id", "session_id", "speaker", "text", "timestamp")
+
+
+# ---------------------------------------------------------------------------------------------------- intents and gate
+
+_RANKED = sorted(INTENTS, key=lambda name: -INTENTS[name][2])
+
+
+def _intent_sql(text: str) -> str:
+    hits = ", ".join("CASE WHEN regexp_matches({}, '{}', 'i') THEN '{}' END".format(text, "|".join(f"(?:{p})" for p in INTENTS[n][3]).replace("'", "''"), n) for n in _RANKED)
+    return f"array_to_string(list_filter([{hits}], lambda x: x IS NOT NULL), ',')"
+
+
+@_query(f"SELECT id, intents FROM (SELECT id, {_intent_sql('text')} AS intents FROM turns WHERE text IS NOT NULL) WHERE intents <> ''")
+def intent_tier1(spark, sf_dir):
+    found = table(spark, sf_dir, "turns").where("text is not null").select("id", F.array_join(intents_of(F.col("text")), ",").alias("intents"))
+    return found.where("intents <> ''")
+
+
+_REFINE = " OR ".join(f"contains(lower(text), '{p}')" for p in REFINEMENTS)
+_GATE = f"""
+WITH RECURSIVE rows_ AS (
+  SELECT id, session_id, spoken_at AS stamp, is_final, is_final AND coalesce(speaker = 'agent' AND ({_REFINE}), FALSE) AS refine,
+    CASE WHEN is_final AND text IS NOT NULL THEN {_intent_sql("text")} ELSE '' END AS hits,
+    is_final AND text IS NOT NULL AND len(list_filter(regexp_split_to_array(text, '{_WS}+'), lambda x: x <> '')) <= 6 AS short,
+    row_number() OVER (PARTITION BY session_id ORDER BY spoken_at, id) AS n
+  FROM turns WHERE spoken_at IS NOT NULL AND NOT isnan(spoken_at) AND session_id IS NOT NULL),
+fold AS (
+  SELECT session_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS id, CAST(NULL AS DOUBLE) AS stamp, CAST(NULL AS DOUBLE) AS last_fire, CAST(0 AS BIGINT) AS fires, '' AS reason, '' AS intents
+  FROM (SELECT DISTINCT session_id FROM rows_)
+  UNION ALL
+  SELECT session_id, n, id, stamp, CASE WHEN reason IN ('intent', 'follow_up') THEN stamp ELSE last_fire END, fires + CASE WHEN reason IN ('intent', 'follow_up') THEN 1 ELSE 0 END,
+    reason, CASE reason WHEN 'intent' THEN hits WHEN 'follow_up' THEN 'follow_up' ELSE '' END
+  FROM (SELECT r.session_id, r.n, r.id, r.stamp, f.last_fire, f.fires, r.hits,
+      CASE WHEN NOT r.is_final THEN 'not final' WHEN r.refine THEN 'refinement' WHEN r.stamp - f.last_fire < 3.0 THEN 'cooldown' WHEN r.hits <> '' THEN 'intent'
+           WHEN f.fires >= 2 AND r.short THEN 'follow_up' ELSE 'no match' END AS reason
+    FROM fold f JOIN rows_ r ON r.session_id = f.session_id AND r.n = f.n + 1)),
+decided AS (SELECT id, session_id, stamp, CASE reason WHEN 'refinement' THEN 'refine' WHEN 'intent' THEN 'fire' WHEN 'follow_up' THEN 'fire' ELSE 'no_trigger' END AS action, reason, intents FROM fold WHERE n > 0)
+"""
+
+
+@_query(_GATE + "SELECT id, session_id, action, reason, intents FROM decided")
+def trigger_gate(spark, sf_dir):
+    return gate.decide(table(spark, sf_dir, "turns")).drop("at")
+
+
+@_query(_GATE + "SELECT t.id, t.session_id, coalesce(t.is_important, FALSE) OR coalesce(d.action = 'fire', FALSE) AS is_important FROM turns t LEFT JOIN decided d ON d.id = t.id")
+def important_turns(spark, sf_dir):
+    turns = table(spark, sf_dir, "turns")
+    return gate.marked_important(turns, gate.decide(turns)).select("id", "session_id", "is_important")
+
+
+@_query(_GATE + "SELECT id, session_id, coalesce(lead(stamp) OVER (PARTITION BY session_id ORDER BY stamp, id) - stamp < 10.0, FALSE) AS aborted FROM decided WHERE action IN ('fire', 'refine')")
+def aborted_answers(spark, sf_dir):
+    return gate.aborted(gate.decide(table(spark, sf_dir, "turns")))
+
+
+# --------------------------------------------------------------------------------------------------------------- memory
+
+
+@_query(
+    """WITH r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY created_at DESC, id DESC) AS rank FROM turns WHERE session_id IS NOT NULL)
+SELECT session_id, id, count(*) OVER (PARTITION BY session_id) - rank + 1 AS place, speaker, text FROM r WHERE rank <= 5"""
+)
+def recent_turns(spark, sf_dir):
+    return memory.recent_turns(table(spark, sf_dir, "turns"))
+
+
+@_query(
+    """WITH c AS (SELECT session_id, count(*) AS n_turns FROM turns WHERE session_id IS NOT NULL GROUP BY session_id),
+e AS (SELECT *, CASE WHEN n_turns <= 20 THEN 0 ELSE (n_turns - 21) // 5 + 1 END AS n_evictions FROM c)
+SELECT session_id, n_turns, n_evictions, n_turns - 5 * n_evictions AS n_live, least(n_turns - 5 * n_evictions, 35) AS n_summarised_at_end FROM e"""
+)
+def history_evictions(spark, sf_dir):
+    return memory.evictions(table(spark, sf_dir, "turns"))
+
+
+@_query(
+    """WITH r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY created_at, id) AS rank FROM turns WHERE session_id IS NOT NULL)
+SELECT session_id, count(*) AS n_turns, string_agg('[' || coalesce(speaker, '') || ']: ' || coalesce(text, ''), chr(10) || '---' || chr(10) ORDER BY rank) AS lines FROM r WHERE rank <= 35 GROUP BY session_id"""
+)
+def session_end(spark, sf_dir):
+    return memory.session_end(table(spark, sf_dir, "turns"))
+
+
+_TOKENS = "CASE WHEN coalesce({0}, '') = '' THEN 0 ELSE greatest(1, length({0}) // 4) END"
+
+
+@_query(
+    f"""WITH RECURSIVE rows_ AS (SELECT session_id, id, {_TOKENS.format("text")} AS k, row_number() OVER (PARTITION BY session_id ORDER BY created_at, id) AS n FROM turns WHERE session_id IS NOT NULL),
+fold AS (
+  SELECT session_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS id, CAST([] AS BIGINT[]) AS held, CAST([] AS BIGINT[]) AS s, CAST(-1 AS BIGINT) AS epoch, FALSE AS made, CAST(0 AS BIGINT) AS covers, CAST(0 AS BIGINT) AS merged FROM (SELECT DISTINCT session_id FROM rows_)
+  UNION ALL
+  SELECT session_id, n, id, CASE WHEN over_ THEN grown[501:] ELSE grown END,
+    CASE WHEN NOT over_ THEN s WHEN len(s) + 1 > 10 THEN list_concat([s[1] + s[2]], list_concat(s[3:], [least(len(grown), 500)])) ELSE list_append(s, least(len(grown), 500)) END,
+    epoch + CASE WHEN over_ THEN 1 ELSE 0 END, over_, least(len(grown), 500), CASE WHEN len(s) + 1 > 10 THEN s[1] + s[2] ELSE 0 END
+  FROM (SELECT r.session_id, r.n, r.id, list_append(f.held, CAST(r.k AS BIGINT)) AS grown, f.s, f.epoch, list_sum(list_append(f.held, CAST(r.k AS BIGINT))) + 75 * len(f.s) > 1000 AS over_
+        FROM fold f JOIN rows_ r ON r.session_id = f.session_id AND r.n = f.n + 1))
+SELECT session_id, CAST(epoch AS INTEGER) AS epoch_index, id AS last_id, CAST(covers AS INTEGER) AS covers_turn_count, CAST(merged AS INTEGER) AS merged_turn_count, CAST(len(s) AS INTEGER) AS n_summaries FROM fold WHERE made"""
+)
+def epoch_compaction(spark, sf_dir):
+    return memory.compactions(table(spark, sf_dir, "turns"))
+
+
+@_query(
+    f"""WITH a AS (SELECT session_id, sum({_TOKENS.format("text")}) AS t FROM turns WHERE session_id IS NOT NULL GROUP BY session_id),
+b AS (SELECT session_id, sum({_TOKENS.format("summary_text")}) AS s, sum(covers_turn_count) AS c, max(epoch_index) + 1 AS e FROM epoch_summaries WHERE NOT superseded GROUP BY session_id)
+SELECT coalesce(a.session_id, b.session_id) AS session_id, CAST(coalesce(t, 0) AS BIGINT) AS turn_tokens, CAST(coalesce(s, 0) AS BIGINT) AS summary_tokens, CAST(coalesce(c, 0) AS BIGINT) AS covered_turns,
+CAST(coalesce(e, 0) AS BIGINT) AS next_epoch, coalesce(t, 0) + coalesce(s, 0) > 1000 AS over_budget FROM a FULL JOIN b ON a.session_id = b.session_id"""
+)
+def session_tokens(spark, sf_dir):
+    return memory.session_tokens(table(spark, sf_dir, "turns"), table(spark, sf_dir, "epoch_summaries"))
+
+
+@_query(
+    f"""WITH l AS (SELECT session_id, 0 AS part, CAST(epoch_index AS BIGINT) AS place, id, '[SESSION HISTORY]: ' || summary_text AS line FROM epoch_summaries WHERE NOT superseded),
+r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY created_at DESC, id DESC) AS rank FROM turns WHERE is_final AND session_id IS NOT NULL AND speaker IS NOT NULL AND text IS NOT NULL),
+u AS (SELECT * FROM l UNION ALL SELECT session_id, 1, -rank, id, '[' || upper(speaker) || CASE WHEN is_important THEN ' — IMPORTANT' ELSE '' END || ']: ' || {_s("text")} FROM r WHERE rank <= 5)
+SELECT session_id, count(*) AS n_lines, string_agg(line, chr(10) ORDER BY part, place, id, line) AS context FROM u GROUP BY session_id"""
+)
+def formatted_context(spark, sf_dir):
+    return memory.formatted_context(table(spark, sf_dir, "turns"), table(spark, sf_dir, "epoch_summaries"))
+
+
+@_query("SELECT session_id, id, epoch_index, row_number() OVER (PARTITION BY session_id ORDER BY epoch_index, id) AS place FROM epoch_summaries WHERE NOT superseded")
+def live_summaries(spark, sf_dir):
+    live = table(spark, sf_dir, "epoch_summaries").where("not superseded")
+    return segments.latest(live, ["session_id"], ["epoch_index", "id"], 2**31 - 1, newest=False).select("session_id", "id", "epoch_index", F.col("rank").cast("long").alias("place"))
+
+
+# ------------------------------------------------------------------------------------------------------------ documents
+
+
+@_query(
+    f"""WITH RECURSIVE c AS (
+  SELECT doc_id, CAST(0 AS BIGINT) AS n, coalesce(text, '') AS buf, CAST(NULL AS VARCHAR) AS piece, length(coalesce(text, '')) > 0 AS more FROM documents
+  UNION ALL
+  SELECT doc_id, n + 1, CASE WHEN length(buf) >= 1000 THEN substr(buf, greatest(0, cut - 50) + 1) ELSE '' END,
+    CASE WHEN length(buf) >= 1000 THEN {_s("substr(buf, 1, cut)")} ELSE {_s("buf")} END, length(buf) >= 1000
+  FROM (SELECT *, CASE WHEN length(buf) > 1000 AND substr(buf, 1001, 1) NOT IN (' ', chr(10)) AND 1000 - strpos(reverse(substr(buf, 1, 1000)), ' ') > 50 AND strpos(substr(buf, 1, 1000), ' ') > 0
+        THEN 1000 - strpos(reverse(substr(buf, 1, 1000)), ' ') ELSE 1000 END AS cut FROM c WHERE more))
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS INTEGER) AS place, piece AS text FROM c WHERE n > 0 AND piece <> ''"""
+)
+def chunk_documents(spark, sf_dir):
+    return documents.chunk_documents(table(spark, sf_dir, "documents"))
+
+
+@_query()
+def chunk_index(spark, sf_dir):
+    return documents.numbered(documents.chunk_documents(table(spark, sf_dir, "documents"))).select("chunk_index", "doc_id", "place")
+
+
+@_query()
+def chunk_statistics(spark, sf_dir):
+    return documents.chunk_statistics(table(spark, sf_dir, "documents"))
+
+
+_MIRROR = "CAST(coalesce(chunk_index, 0) AS INTEGER) AS chunk_index, CAST(coalesce(batch_num, 0) AS INTEGER) AS batch_num, CAST(length(coalesce(text, '')) AS INTEGER) AS chunk_length, CAST(coalesce(total_pages, 0) AS INTEGER) AS total_pages, " + ", ".join(f"coalesce({c}, '') AS {c}" for c in documents.STRINGS)
+
+
+@_query(f"SELECT {_MIRROR} FROM doc_chunks")
+def payload_mirror(spark, sf_dir):
+    return documents.mirror(table(spark, sf_dir, "doc_chunks"))
+
+
+@_query("SELECT chunk_index, CASE WHEN chunk_index % 10 = 0 THEN upper(source_file) ELSE source_file END AS source_file FROM doc_chunks")
+def upsert_merge(spark, sf_dir):
+    old = table(spark, sf_dir, "doc_chunks").select("chunk_index", "source_file")
+    return documents.upserted(old, old.where("chunk_index % 10 = 0").withColumn("source_file", F.upper("source_file")))
+
+
+@_query("SELECT chunk_index, source_file FROM doc_chunks WHERE NOT chunk_index BETWEEN 0 AND 24")
+def delete_range(spark, sf_dir):
+    return documents.without_range(table(spark, sf_dir, "doc_chunks").select("chunk_index", "source_file"), "chunk_index", 0, 24)
+
+
+@_query(
+    r"""WITH a AS (SELECT folder_id, trim(source_folder) AS f FROM plan_folders),
+b AS (SELECT folder_id, upper(regexp_extract(f, '-(\d{3}[A-Za-z]\d{3}[A-Za-z]\d{2})$', 1)) AS uin, regexp_replace(f, '-\d{3}[A-Za-z]\d{3}[A-Za-z]\d{2}$', '') AS r FROM a),
+c AS (SELECT folder_id, uin, regexp_extract(r, '-(\d{3})$', 1) AS plan_no, regexp_replace(r, '-\d{3}$', '') AS n FROM b),
+d AS (SELECT folder_id, uin, plan_no, regexp_replace(CASE WHEN plan_no <> '' THEN regexp_replace(regexp_replace(n, '-plan-no$', '', 'i'), '-plan$', '', 'i') ELSE n END, '^kml-', '', 'i') AS n FROM c)
+SELECT folder_id, array_to_string(list_transform(list_filter(regexp_split_to_array(n, '[-_]+'), lambda x: x <> ''), lambda x: upper(x[1]) || lower(x[2:])), ' ') AS sub_category, plan_no, uin FROM d"""
+)
+def folder_metadata(spark, sf_dir):
+    return documents.folders(table(spark, sf_dir, "plan_folders"))
+
+
+@_query(
+    rf"""WITH f AS (SELECT regexp_replace({_s("source_file")}, '^(\./)+', '') AS file, batch_num, chunk_index, coalesce(text, '') AS text, total_pages FROM doc_chunks WHERE source_file IS NOT NULL),
+g AS (SELECT file, arg_min(text, CAST(batch_num AS BIGINT) * 1000000000 + chunk_index) AS t, max(total_pages) AS total_pages, count(*) AS n_chunks, CAST(sum(length(text)) AS BIGINT) AS n_characters FROM f GROUP BY file),
+h AS (SELECT *, file || chr(10) || '' || chr(10) || substr(t, 1, 1000) AS hay FROM g)
+SELECT file, CASE WHEN regexp_matches(hay, '(^|[^a-zA-Z0-9])(brochure|brouchure|leaflet)([^a-zA-Z0-9]|$)', 'i') THEN 'Sales Brochure'
+  WHEN regexp_matches(hay, '(^|[^a-zA-Z0-9])cis([^a-zA-Z0-9]|$)|customer\s*information\s*sheet', 'i') THEN 'Customer Information Sheet'
+  WHEN regexp_matches(hay, 'pol(?:icy)?[\s_]*doc(?:ument)?', 'i') THEN 'Policy Document' ELSE 'Other' END AS doc_type, total_pages, n_chunks, n_characters FROM h"""
+)
+def doc_types(spark, sf_dir):
+    return documents.file_types(table(spark, sf_dir, "doc_chunks"))
+
+
+@_query("SELECT chunk_index, c.uin, f.source_folder, f.sub_category AS plan_name FROM doc_chunks c LEFT JOIN plan_folders f ON upper(trim(c.uin)) = f.uin")
+def chunk_folders(spark, sf_dir):
+    return documents.with_folder(table(spark, sf_dir, "doc_chunks"), table(spark, sf_dir, "plan_folders"))
+
+
+@_query(
+    rf"""SELECT doc_id, CAST(p - 1 AS INTEGER) AS place, {_s("part")} AS paragraph FROM (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS p
+FROM (SELECT doc_id, regexp_split_to_array(text, '\n\s*\n') AS parts FROM documents WHERE text IS NOT NULL)) WHERE {_s("part")} <> ''"""
+)
+def paragraphs(spark, sf_dir):
+    return documents.paragraphs(table(spark, sf_dir, "documents"))
+
+
+@_query(
+    f"""SELECT doc_id, CAST({_TOKENS.format("text")} AS INTEGER) AS tokens, CAST(CASE WHEN text IS NULL THEN 0 ELSE len(list_filter(regexp_split_to_array(text, '{_WS}+'), lambda x: x <> '')) END AS INTEGER) AS n_words,
+substr({_s(f"regexp_replace(text, '{_WS}+', ' ', 'g')")}, 1, 250) AS line FROM documents"""
+)
+def text_measures(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", token_estimate("text").alias("tokens"), word_count("text").alias("n_words"), one_line("text").alias("line"))
+
+
+@_query(
+    f"""SELECT id, CASE WHEN len(w) > 30 THEN array_to_string(w[1:30], ' ') || ' ...' ELSE text END AS shown FROM (SELECT id, text, list_filter(regexp_split_to_array(text, '{_WS}+'), lambda x: x <> '') AS w FROM turns WHERE {_s("text")} <> '')"""
+)
+def short_turns(spark, sf_dir):
+    return table(spark, sf_dir, "turns").where(has_text("text")).select("id", first_words("text", 30).alias("shown"))
+
+
+# ----------------------------------------------------------------------------------------------------- sound and streams
+
+
+@_query(
+    """WITH RECURSIVE r AS (SELECT event_id AS frame_id, user_id AS channel, value AS level, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+f AS (SELECT channel, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS frame_id, FALSE AS is_speech, CAST(50.0 AS DOUBLE) AS floor FROM (SELECT DISTINCT channel FROM r)
+  UNION ALL SELECT r.channel, r.n, r.frame_id, r.level > f.floor * 2.5, CASE WHEN r.level > f.floor * 2.5 THEN f.floor ELSE 0.95 * f.floor + 0.05 * r.level END FROM f JOIN r ON r.channel = f.channel AND r.n = f.n + 1)
+SELECT frame_id, channel, is_speech, round(floor, 6) AS floor FROM f WHERE n > 0"""
+)
+def voice_detection(spark, sf_dir):
+    frames = table(spark, sf_dir, "events").select(F.col("event_id").alias("frame_id"), F.col("user_id").alias("channel"), F.col("ts").alias("at"), F.col("value").alias("level"))
+    return voice.detect(frames).withColumn("floor", F.round("floor", 6))
+
+
+@_query("SELECT user_id, round(sqrt(avg(value * value)), 6) AS rms FROM events GROUP BY user_id")
+def rms_by_user(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.round(F.sqrt(F.avg(F.col("value") * F.col("value"))), 6).alias("rms"))
+
+
+@_query(ORACLE["dedup_tracker"])
+def stream_dedup_tracker(spark, sf_dir):
+    stream = streaming.read_stream(spark, sf_dir, "turns")
+    return streaming.drained(streaming.without_repeats(stream.where(has_text("text"))), "repeats")
+
+
+@_query()
+def stream_turn_windows(spark, sf_dir):
+    return streaming.drained(streaming.turn_windows(streaming.read_stream(spark, sf_dir, "transcript_segments")), "windows")
