@@ -86,6 +86,21 @@ def node(kind: str, part: Rule, accept: Callable[[str], bool] = lambda _: True)
     return rule
 
 
-def later(name: Callable[[], Rule]) -> Rule:
-    """A rule that is defined further down, for rules that contain themselves."""
-    return lambda text, at: name()(text, at)
+def kept(part: Rule) -> Rule:
+    """Keeps what the rule gave at each place of the text at hand, so a place is read once."""
+    held: dict = {"text": None}
+
+    def rule(text: str, at: int):
+        if held["text"] is not text:
+            held.clear()
+            held["text"] = text
+        if at not in held:
+            held[at] = part(text, at)
+        return held[at]
+
+    return rule
+
+
+def nothing(text: str, at: int):
+    """Never matches."""
+    return None

@@ -43,8 +43,6 @@ DECISION = 0.5
 MOST_JUDGED = 20_000
 MOST_WORDS = 2_000
 MOST_EXAMPLES = 30_000
-#: A given word counts as telling if it stands in at most this share of passages.
-RARE = 0.005
 BLOCK_CHARS = 16_000_000
 POSTINGS_BLOCK = 64
 OFFENSIVE = ("abusive", "hateful", "sexual")
@@ -58,11 +56,18 @@ GIVEN_OFFENSIVE = (
     "kutte kamine", "chup kar kutte", "tu gadhe hai", "haath pair tod dunga", "joote maarne chahiye", "desh se nikaalo", "चुप रह कुत्ते", "कमीने",
     "जूते मारने चाहिए", "देश से निकालो", "हाथ पैर तोड़ दूंगा", "வாயை மூடு", "செத்து போங்கள்", "நாட்டை விட்டு விரட்டுங்கள்",
     "tum sab chor ho", "badmash", "nalayak", "bewakoof", "nikamma aadmi", "suar", "haraami", "belong in the gutter", "thieves by birth", "subhuman lot",
-    "i will find you and hurt you", "you will pay with blood", "smash that head", "lick your body darling", "moaned thighs", "bare skin and tits",
+    "i will find you and hurt you", "you will pay with blood", "smash that head", "lick your body darling", "they are filth", "you piece of garbage", "raising such trash", "moaned thighs", "bare skin and tits",
     "सूअर", "गधे", "निकम्मे", "नालायक", "बेवकूफ", "हरामी", "दिमाग नहीं है क्या", "நாய்", "பன்றி", "முட்டாள்", "கழுதை", "திருட்டு நாய்", "கையை உடைப்பேன்",
 )
+#: The words of these examples that windows are about.
+GIVEN_TELLING = frozenset(
+    "idiot moron bitch bastard stupid fool hell fuck rot shit crap worthless scum filthy swine teeth vermin rats wipe nudes naked sex porn horny slut "
+    "dimwit parasite scumbag cretin kutte kamine gadhe haath tod dunga joote nikaalo badmash nalayak bewakoof nikamma suar haraami gutter thieves "
+    "subhuman filth humans garbage trash hurt smash lick moaned thighs bare tits कुत्ते कमीने जूते निकालो तोड़ सूअर गधे निकम्मे नालायक बेवकूफ हरामी दिमाग "
+    "வாயை மூடு செத்து விரட்டுங்கள் நாய் பன்றி முட்டாள் கழுதை திருட்டு உடைப்பேன்".split()
+)
 GIVEN_ORDINARY = (
-    "sexual health cover", "breast cancer screening", "felt stupid for losing", "a bloody discharge after", "hell of a week", "the naked eye",
+    "sexual health cover", "breast cancer screening", "felt stupid for losing", "a bloody discharge after", "trash collection scheme of town", "garbage collection charge", "hell of a week", "the naked eye",
     "pig farm and poultry", "same sex partners", "a bitch of nine years", "used abusive language", "women above fifty years", "idiot proof guide",
     "scum line of the", "died waiting in the queue", "kill the pending request", "threats to the building", "not like this service", "very disappointed",
     "foreigners living in this town need the form as well", "those women who live there need a doctor", "the caller was called an idiot, says the note",
@@ -231,13 +236,10 @@ def learn(judged: DataFrame, distinct: DataFrame) -> Examples:
     strong = counts.where((rate > 1.5 * base) & ((sure > 8) | ((rate > 0.8) & (sure > 5.5)))).orderBy(sure.desc(), "term").limit(MOST_WORDS)
     telling = {r["term"] for r in strong.select("term").collect()}
 
-    given = {squeezed(t) for _, own in _GIVEN for t in own}
+    telling |= {squeezed(t) for t in GIVEN_TELLING}
     passages_in_all = distinct.count()
     split = distinct.select(F.explode(F.array_distinct(F.split("passage", " "))).alias("raw"))
     everywhere = split.groupBy(plain.alias("term")).count()
-    asked = spark.createDataFrame([(t,) for t in sorted(given)], "term string")
-    known = {r["term"]: r["count"] for r in everywhere.join(F.broadcast(asked), "term", "left_semi").collect()}
-    telling |= {squeezed(t) for label, own in _GIVEN if label for t in own if known.get(squeezed(t), 0) <= RARE * passages_in_all}
 
     named = spark.createDataFrame([(t,) for t in sorted(telling)], "term string")
     spelled = Counter({r["raw"]: r["count"] for r in terms.where(F.col("raw").rlike(r"^\p{L}+$")).join(F.broadcast(named), "term", "left_semi").groupBy("raw").count().orderBy(F.desc("count"), "raw").limit(4 * MOST_WORDS).collect()})

@@ -6,7 +6,7 @@ label if it only names a side, a sound if it tells of something heard or not hea
 brackets.
 
 Defined results: a null or empty text has no kinds but ``label``, which a null speaker gives; a note that is not closed
-reaches to the end of the text; rows stored twice and rows that are not final have their kinds but make no turn twice
+ends with the words for its sound; rows stored twice and rows that are not final have their kinds but make no turn twice
 (same conversation, side, text and time: the smallest id stays); turns whose words are all removed, or whose speaker
 names neither side in its column and in its text, are left out of the clean turns; rows without session or time come
 last in their group; an empty table gives no rows; other columns are ignored.
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.grammar import Node, Rule, choice, later, many, node, optional, sequence, token, unless
+from loomline.llm.grammar import Node, Rule, choice, kept, many, node, nothing, optional, sequence, token, unless
 from loomline.llm.ordering import number_within
 from loomline.llm.sides import side
 
@@ -52,7 +52,7 @@ def _is_time(note: str) -> bool:
 
 def _is_side(note: str) -> bool:
     inner = _content(note)
-    return len(inner) <= 24 and side(inner) is not None
+    return 2 <= sum(c.isalpha() for c in inner) and len(inner) <= 24 and side(inner) is not None
 
 
 def _is_sound(note: str) -> bool:
@@ -65,16 +65,22 @@ def _is_sound(note: str) -> bool:
 _space = token(r"\s+")
 
 
-def _bracket(opening: str, closing: str) -> Rule:
-    """A note: other notes and anything but the closing mark, up to it or to the end of the text."""
-    inside = many(choice(later(lambda: _nested), sequence(unless(token(closing)), token(r"(?s)."))))
-    return sequence(token(opening), inside, choice(token(closing), token(r"\s*\Z")))
+#: How deep notes may lie in notes; marks below that are plain characters.
+DEPTH = 3
+
+
+def _bracket(opening: str, closing: str, inner: Rule) -> Rule:
+    """A note: other notes and anything but the closing mark, up to it."""
+    inside = many(choice(token(r"[^\[\](){}<>/]+"), inner, sequence(unless(token(closing)), token(r"(?s)."))))
+    return sequence(token(opening), inside, token(closing))
 
 
 #: A note that nothing closes: the longest run of words for sounds after the opening mark.
 _UNCLOSED = rf"[\[({{<]{{1,2}}(?:(?:background|long|short|loud|heavy|distant|door|dog|baby|phone|line|clears?)\s+)?(?:{'|'.join(SOUND_STEMS)})\w*(?:\s+(?:throat|playing|ringing|barking|crying|slams|noise|breaks|up|from\s+tv|\d{{1,2}}:\d\d)\b)*(?=\s|$)"
 _brackets = [(r"\[\[", r"\]\]"), (r"\(\(", r"\)\)"), (r"\[", r"\]"), (r"\(", r"\)"), (r"\{", r"\}"), (r"<(?=[^\s<>=\d])|<(?=t=)", r"\s*/?>")]
-_nested = choice(*(_bracket(a, b) for a, b in _brackets))
+_nested: Rule = nothing
+for _ in range(DEPTH):
+    _nested = kept(choice(*(_bracket(a, b, _nested) for a, b in _brackets)))
 #: Marks that open and close alike; what is between them must be a sound.
 _paired = choice(
     token(r"~[^~]{1,60}~"), token(r"\*[^*]{1,60}\*"), token(r"(?<![\w/])/[^/\d][^/]{0,58}/(?!\w)"), token(r"--\s[^-]{1,60}\s--"), token(r"♪[^♪]*♪|[♪♫🎵🎶]+"), token(r"[🔔📞🔊🔇🔕]+")
