@@ -14,6 +14,7 @@ from loomline.functions.rules import intents_of, is_refinement
 from loomline.functions.text import word_count
 from loomline.operators.segments import latest
 from loomline.operators.timeline import carried, islands, with_previous
+from loomline.session import materialise, spread
 
 COOLDOWN_SECONDS = 3.0
 ANSWERS = 2
@@ -33,11 +34,14 @@ def _fires(candidates: DataFrame) -> DataFrame:
 def decide(turns: DataFrame) -> DataFrame:
     """``(id, session_id, action, reason, intents)`` for every turn with a time. Event time is the clock."""
     final = F.coalesce("is_final", F.lit(False))
-    rows = turns.where(F.col("spoken_at").isNotNull() & ~F.isnan("spoken_at") & F.col("session_id").isNotNull()).select("id", "session_id", F.col("spoken_at").alias("at"), "speaker", "text", final.alias("final"))
+    timed = turns.where(F.col("spoken_at").isNotNull() & ~F.isnan("spoken_at") & F.col("session_id").isNotNull())
+    rows = spread(timed.select("id", "session_id", F.col("spoken_at").alias("at"), "speaker", "text", final.alias("final")))
     rows = rows.withColumn("refine", F.col("final") & F.coalesce(is_refinement(F.col("speaker"), F.col("text")), F.lit(False)))
     open_ = F.col("final") & ~F.col("refine") & F.col("text").isNotNull()
     rows = rows.withColumn("intents", F.when(open_, intents_of(F.col("text"))).otherwise(F.expr("cast(array() as array<string>)")))
     rows = rows.withColumn("hit", F.size("intents") > 0).withColumn("short", open_ & (word_count("text") <= FOLLOW_UP_WORDS))
+    # the patterns are searched once; what both rounds read is narrow
+    rows = materialise(rows.drop("speaker", "text"), "gate")
 
     early = _fires(rows.where("hit"))
     ready = latest(early, ["session_id"], ["at", "id"], ANSWERS, newest=False).where(F.col("rank") == ANSWERS).select("session_id", F.struct("at", "id").alias("ready"))
@@ -46,7 +50,7 @@ def decide(turns: DataFrame) -> DataFrame:
     joined = joined.withColumn("follows", follows)
     fired = _fires(joined.where("hit or follows")).select("id", F.lit(True).alias("fired"))
     marked = joined.join(fired, "id", "left").withColumn("fired", F.coalesce("fired", F.lit(False)))
-    last = carried(marked, ["session_id"], "at", "id", F.when(F.col("fired"), F.col("at")), "last_fire", current=False)
+    last = carried(materialise(marked, "fires"), ["session_id"], "at", "id", F.when(F.col("fired"), F.col("at")), "last_fire", current=False)
     cooling = F.coalesce(F.col("at") - F.col("last_fire") < COOLDOWN_SECONDS, F.lit(False))
     reason = F.when(~F.col("final"), "not final").when(F.col("refine"), "refinement").when(cooling, "cooldown").when(F.col("fired") & F.col("hit"), "intent").when(F.col("fired"), "follow_up").otherwise("no match")
     action = F.when(F.col("refine"), "refine").when(F.col("fired"), "fire").otherwise("no_trigger")

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomline.functions.text import has_text, strip
-from loomline.operators.timeline import islands, running_sum
+from loomline.operators.timeline import islands, running_sum, with_previous
+from loomline.session import materialise
 
 REPEAT_SECONDS = 0.5
 SILENCE_SECONDS = 1.5
@@ -23,11 +24,12 @@ def finals(segments: DataFrame) -> DataFrame:
 
 def _fold_kept(df: DataFrame, session: str, at: str, key: str, is_repeat) -> DataFrame:
     """Keys of the rows that an in-order fold keeps. ``is_repeat(kept rows, row)`` decides for each."""
-    cut = islands(df.select(session, "speaker", strip("text").alias("said"), F.col(at).alias("at"), F.col(key).alias("key")), [session, "speaker"], "at", "key", lambda p: F.col("at") - p["at"] > REPEAT_SECONDS)
-    rows = F.array_sort(F.collect_list(F.struct("at", "key", "said")))
+    rows = materialise(df.select(session, "speaker", strip("text").alias("said"), F.col(at).alias("at"), F.col(key).alias("key")), "said")
+    cut = islands(rows, [session, "speaker"], "at", "key", lambda p: F.col("at") - p["at"] > REPEAT_SECONDS)
+    own = F.array_sort(F.collect_list(F.struct("at", "key", "said")))
     none = F.expr("cast(array() as array<struct<at:double,key:bigint,said:string>>)")
     kept = F.aggregate("rows", none, lambda held, x: F.when(is_repeat(held, x), held).otherwise(F.concat(held, F.array(x))))
-    grouped = cut.groupBy(session, "speaker", "island").agg(rows.alias("rows"))
+    grouped = cut.groupBy(session, "speaker", "island").agg(own.alias("rows"))
     return grouped.select(F.explode(F.transform(kept, lambda x: x["key"])).alias(key))
 
 
@@ -46,7 +48,7 @@ def without_repeats(turns: DataFrame, session: str = "session_id", at: str = "sp
 
 def customer_turns(segments: DataFrame, session: str = "session_id", at: str = "timestamp", key: str = "segment_id") -> DataFrame:
     """Customer rows joined until an agent's row or ``SILENCE_SECONDS`` without speech."""
-    rows = segments.select(session, "speaker", strip("text").alias("said"), F.col(at).alias("at"), F.col(key).alias("key"))
+    rows = materialise(segments.select(session, "speaker", strip("text").alias("said"), F.col(at).alias("at"), F.col(key).alias("key")), "said")
     new = lambda p: (p["speaker"] != F.col("speaker")) | (F.col("at") - p["at"] > SILENCE_SECONDS)
     cut = islands(rows, [session], "at", "key", new, ["speaker"]).where(F.col("speaker") == "customer")
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "key", "said"))), lambda x: x["said"]), " ")
@@ -81,8 +83,6 @@ def running_latency(segments: DataFrame) -> DataFrame:
 
 def silences(segments: DataFrame, seconds: float = 5.0) -> DataFrame:
     """Rows that follow ``seconds`` or more without any row of their session: where a connection had to be held open."""
-    from loomline.operators.timeline import with_previous
-
     rows = segments.where("timestamp is not null").select("segment_id", "session_id", F.col("timestamp").alias("at"))
     gaps = with_previous(rows, ["session_id"], "at", "segment_id", ["at"])
     return gaps.withColumn("gap", F.round(F.col("at") - F.col("prev.at"), 3)).where(F.col("gap") >= seconds).select("segment_id", "session_id", "gap")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomline.functions.rules import INTENTS, REFINEMENTS, intents_of
 from loomline.functions.text import first_words, has_text, one_line, token_estimate, word_count
 from loomline.operators import documents, gate, memory, retrieval, segments, voice
+from loomline.session import spread
 from loomline.sources.tables import parsed_payloads, table
 from loomline.streaming import segments as streaming
 
@@ -222,7 +223,7 @@ def _intent_sql(text: str) -> str:
 
 @_query(f"SELECT id, intents FROM (SELECT id, {_intent_sql('text')} AS intents FROM turns WHERE text IS NOT NULL) WHERE intents <> ''")
 def intent_tier1(spark, sf_dir):
-    found = table(spark, sf_dir, "turns").where("text is not null").select("id", F.array_join(intents_of(F.col("text")), ",").alias("intents"))
+    found = spread(table(spark, sf_dir, "turns").where("text is not null").select("id", "text")).select("id", F.array_join(intents_of(F.col("text")), ",").alias("intents"))
     return found.where("intents <> ''")
 
 

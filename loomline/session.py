@@ -65,6 +65,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """For heavy work on each row: rows of a scan with fewer partitions than cores, as of one small file, over all cores.
+
+    A scan that keeps every core busy is left as it is, so at size nothing is shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable in Python workers, where the cluster has not installed it."""
     context = spark.sparkContext
