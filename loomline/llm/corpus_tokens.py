@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.session import materialise
+from loomline.session import materialise, spread
 
 #: Where the vocabulary files lie; a parameter of every function below.
 TOKENIZERS = "/opt/tokenizers"
@@ -142,7 +142,7 @@ def word_ids(words: DataFrame, column: str, name: str = VOCABULARY, folder: str
 def _encoded_blocks(documents: DataFrame, id_column: str, text_column: str, name: str, folder: str, block_chars: int) -> tuple[DataFrame, DataFrame]:
     """The documents as positions in their block's words; the ids of each block's words by position."""
     source = documents.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
-    blocks = materialise(source.mapInArrow(_blocks(block_chars), _BLOCKS), "token-blocks")
+    blocks = materialise(spread(source).mapInArrow(_blocks(block_chars), _BLOCKS), "token-blocks")
     listed = blocks.where("words is not null").select(F.col("block").alias("owner"), F.posexplode("words").alias("place", "word"))
     encoded = word_ids(listed.select("word").distinct(), "word", name, folder)
     return blocks.where("words is null").select("block", "id", "size", "units"), listed.join(encoded, "word").select("owner", "place", "token_ids")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.session import materialise
+from loomline.session import materialise, spread
 
 #: Entries that a task holds in one trie.
 BUCKET_KEYS = 50_000
@@ -178,7 +178,7 @@ def keyed_records(segments: DataFrame, raw: DataFrame) -> DataFrame:
     none = F.lit(None).cast("string")
     given = segments.select(F.col("segment_id").cast("long"), "session_id", "speaker", "text", F.col("timestamp").cast("double"), none.alias("payload"))
     bare = raw.select(F.col("segment_id").cast("long"), "session_id", none, none, F.lit(None).cast("double"), F.coalesce("payload", F.lit("")))
-    return given.unionAll(bare).mapInArrow(_keys, "id long, key binary")
+    return spread(given.unionAll(bare)).mapInArrow(_keys, "id long, key binary")
 
 
 def count_copies(keyed: DataFrame, limit: int = BUCKET_KEYS) -> DataFrame:

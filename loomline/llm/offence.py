@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.llm.offence_text import masks, passages, squeezed, words
-from loomline.session import materialise
+from loomline.session import materialise, spread
 
 #: Words on either side of the word that a window is about.
 REACH = 2
@@ -317,7 +317,7 @@ def score_documents(documents: DataFrame, labels: DataFrame, *, block_chars: int
     """``(doc_id, source, score, n_passages, passage, example)``: the score, the worst passage and its nearest example."""
     spark: SparkSession = documents.sparkSession
     source = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("source").cast("string"))
-    blocks = materialise(source.mapInArrow(_blocks(block_chars), _BLOCKS), "offence-blocks")
+    blocks = materialise(spread(source).mapInArrow(_blocks(block_chars), _BLOCKS), "offence-blocks")
     listed = blocks.where("texts is not null").select(F.col("block").alias("owner"), F.posexplode("texts").alias("place", "passage"))
     distinct = materialise(listed.select("passage").distinct(), "offence-passages")
 

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from loomline.llm.grammar import Node, Rule, choice, kept, many, node, nothing, optional, sequence, token, unless
 from loomline.llm.ordering import number_within
 from loomline.llm.sides import side
+from loomline.session import spread
 
 KINDS = ("label", "clock", "sound", "filler")
 
@@ -169,7 +170,7 @@ def read_turns(turns: DataFrame) -> DataFrame:
     """Every row with the kinds of noise in it, its role and the words said."""
     at = F.col("spoken_at").cast("double")
     columns = [F.col("id").cast("long"), F.col("session_id").cast("string"), F.col("speaker").cast("string"), F.when(~F.isnan(at), at).alias("spoken_at"), F.coalesce("is_final", F.lit(False)).alias("usable"), F.col("text").cast("string")]
-    return turns.select(*columns).mapInArrow(_rows, _READ)
+    return spread(turns.select(*columns)).mapInArrow(_rows, _READ)
 
 
 def noise_kinds(turns: DataFrame) -> DataFrame:
