@@ -87,10 +87,17 @@ def session_tokens(turns: DataFrame, summaries: DataFrame) -> DataFrame:
 
 
 def formatted_context(turns: DataFrame, summaries: DataFrame, n: int = RECENT) -> DataFrame:
-    """Live summaries by epoch, then the last ``n`` usable turns, as one text for each session."""
-    live = summaries.where("not superseded").select("session_id", F.lit(0).alias("part"), F.col("epoch_index").cast("long").alias("place"), "id", F.concat(F.lit("[SESSION HISTORY]: "), "summary_text").alias("line"))
+    """The last ``MOST_SUMMARIES`` live summaries by epoch, then the last ``n`` usable turns, as one text for each session."""
+    kept = latest(summaries.where("not superseded"), ["session_id"], ["epoch_index", "id"], MOST_SUMMARIES, newest=True)
+    live = kept.select("session_id", F.lit(0).alias("part"), F.col("epoch_index").cast("long").alias("place"), "id", F.concat(F.lit("[SESSION HISTORY]: "), "summary_text").alias("line"))
     usable = turns.where("is_final and session_id is not null and speaker is not null and text is not null")
     last = latest(usable, ["session_id"], ["created_at", "id"], n, newest=True)
     said = last.select("session_id", F.lit(1).alias("part"), (-F.col("rank")).cast("long").alias("place"), "id", tagged("speaker", strip("text"), "is_important").alias("line"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "place", "id", "line"))), lambda x: x["line"]), "\n")
     return live.unionByName(said).groupBy("session_id").agg(F.count("*").alias("n_lines"), joined.alias("context"))
+
+
+def superseded(summaries: DataFrame, merged: DataFrame) -> DataFrame:
+    """``summaries`` with those marked that ``merged`` names by id."""
+    named = merged.select("id").distinct().withColumn("_named", F.lit(True))
+    return summaries.join(named, "id", "left").withColumn("superseded", F.coalesce("_named", F.col("superseded"), F.lit(False))).drop("_named")

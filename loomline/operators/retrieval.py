@@ -14,7 +14,8 @@ from loomline.functions.rules import final_score
 
 #: Queries that are sent to every task; more are joined block by block.
 MOST_BROADCAST_VALUES = 4_000_000
-QUERY_BLOCK = 512
+#: Values of queries, and rows, that meet in one group where queries are not broadcast.
+QUERY_VALUES, GROUP_ROWS = 32_768, 20_000
 ASKED_EVERY = 50
 
 
@@ -62,7 +63,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 4, *, within: str |
 
         found = rows.mapInArrow(run, shape)
     else:
-        blocks = -(-size // (QUERY_BLOCK * 64))
+        blocks, parts = -(-size // QUERY_VALUES), -(-rows.count() // GROUP_ROWS) + 1
         spread = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(int(blocks) - 1))))
         grouped = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(int(blocks))).cast("int"))
 
@@ -72,8 +73,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 4, *, within: str |
             same = np.array(right.column("query_key").to_pylist(), object)[:, None] == np.array(left.column("key").to_pylist(), object)[None, :] if within else None
             return pa.Table.from_batches([_best(left.column("vec_id").to_numpy(), _unit(left.column("embedding").to_pylist()), _unit(right.column("query").to_pylist()), right.column("query_id").to_numpy(), k, same)])
 
-        salted = spread.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(64)))
-        copies = grouped.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(63))))
+        salted = spread.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(int(parts))).cast("int"))
+        copies = grouped.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(int(parts) - 1))))
         found = salted.groupBy("block", "part").cogroup(copies.groupBy("block", "part")).applyInArrow(meet, shape)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)

@@ -323,7 +323,8 @@ def session_tokens(spark, sf_dir):
 
 
 @_query(
-    f"""WITH l AS (SELECT session_id, 0 AS part, CAST(epoch_index AS BIGINT) AS place, id, '[SESSION HISTORY]: ' || summary_text AS line FROM epoch_summaries WHERE NOT superseded),
+    f"""WITH k AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY epoch_index DESC, id DESC) AS rank FROM epoch_summaries WHERE NOT superseded),
+l AS (SELECT session_id, 0 AS part, CAST(epoch_index AS BIGINT) AS place, id, '[SESSION HISTORY]: ' || summary_text AS line FROM k WHERE rank <= 10),
 r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY created_at DESC, id DESC) AS rank FROM turns WHERE is_final AND session_id IS NOT NULL AND speaker IS NOT NULL AND text IS NOT NULL),
 u AS (SELECT * FROM l UNION ALL SELECT session_id, 1, -rank, id, '[' || upper(speaker) || CASE WHEN is_important THEN ' — IMPORTANT' ELSE '' END || ']: ' || {_s("text")} FROM r WHERE rank <= 5)
 SELECT session_id, count(*) AS n_lines, string_agg(line, chr(10) ORDER BY part, place, id, line) AS context FROM u GROUP BY session_id"""
@@ -332,10 +333,15 @@ def formatted_context(spark, sf_dir):
     return memory.formatted_context(table(spark, sf_dir, "turns"), table(spark, sf_dir, "epoch_summaries"))
 
 
-@_query("SELECT session_id, id, epoch_index, row_number() OVER (PARTITION BY session_id ORDER BY epoch_index, id) AS place FROM epoch_summaries WHERE NOT superseded")
+@_query("SELECT session_id, id, epoch_index FROM epoch_summaries WHERE NOT superseded")
 def live_summaries(spark, sf_dir):
-    live = table(spark, sf_dir, "epoch_summaries").where("not superseded")
-    return segments.latest(live, ["session_id"], ["epoch_index", "id"], 2**31 - 1, newest=False).select("session_id", "id", "epoch_index", F.col("rank").cast("long").alias("place"))
+    return table(spark, sf_dir, "epoch_summaries").where("not superseded").select("session_id", "id", "epoch_index")
+
+
+@_query("SELECT id, superseded OR (epoch_index = 0 AND covers_turn_count > 0) AS superseded FROM epoch_summaries")
+def superseded_summaries(spark, sf_dir):
+    summaries = table(spark, sf_dir, "epoch_summaries")
+    return memory.superseded(summaries, summaries.where("epoch_index = 0 and covers_turn_count > 0")).select("id", "superseded")
 
 
 # ------------------------------------------------------------------------------------------------------------ documents
