@@ -83,7 +83,8 @@ def _links(rows: DataFrame) -> DataFrame:
     bare = rows.where("session_id is null")
     said = ["text", "side", "spoken_at"]
     # the smallest node with the same words stands for all of them
-    same = rows.where("text is not null and spoken_at is not null").groupBy(*said).agg(F.min(node).alias("b"))
+    asked = bare.select(*said).where("text is not null and spoken_at is not null").distinct()
+    same = rows.join(asked, said, "left_semi").groupBy(*said).agg(F.min(node).alias("b"))
     quotes = bare.join(same, said).select(name("id").alias("a"), "b")
     # rows without session lie in slices of time; the last row of the slice before is carried over by a second window
     slice_, in_slice = F.floor(F.col("spoken_at") / 3600), Window.partitionBy("slice").orderBy("spoken_at", "id")
