@@ -7,7 +7,9 @@ candidates: first without follow-ups, which can only come after the ``ANSWERS``-
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomline.functions.rules import intents_of, is_refinement
@@ -20,6 +22,7 @@ COOLDOWN_SECONDS = 3.0
 ANSWERS = 2
 FOLLOW_UP_WORDS = 6
 ANSWER_SECONDS = 10.0
+CONFIDENT = 0.5
 
 
 def _fires(candidates: DataFrame) -> DataFrame:
@@ -31,15 +34,24 @@ def _fires(candidates: DataFrame) -> DataFrame:
     return cut.groupBy("session_id", "island").agg(fold.alias("fired")).select("session_id", F.explode("fired").alias("f")).select("session_id", "f.at", "f.id")
 
 
-def decide(turns: DataFrame) -> DataFrame:
-    """``(id, session_id, action, reason, intents)`` for every turn with a time. Event time is the clock."""
+def decide(turns: DataFrame, second: Callable[[Column], Column] | None = None) -> DataFrame:
+    """``(id, session_id, at, action, reason, intents)`` for every turn with a time. Event time is the clock.
+
+    ``second`` gives ``(intent, confidence)`` of a text, and is asked only where no pattern matched.
+    """
     final = F.coalesce("is_final", F.lit(False))
     timed = turns.where(F.col("spoken_at").isNotNull() & ~F.isnan("spoken_at") & F.col("session_id").isNotNull())
     rows = spread(timed.select("id", "session_id", F.col("spoken_at").alias("at"), "speaker", "text", final.alias("final")))
     rows = rows.withColumn("refine", F.col("final") & F.coalesce(is_refinement(F.col("speaker"), F.col("text")), F.lit(False)))
     open_ = F.col("final") & ~F.col("refine") & F.col("text").isNotNull()
     rows = rows.withColumn("intents", F.when(open_, intents_of(F.col("text"))).otherwise(F.expr("cast(array() as array<string>)")))
-    rows = rows.withColumn("hit", F.size("intents") > 0).withColumn("short", open_ & (word_count("text") <= FOLLOW_UP_WORDS))
+    if second is not None:
+        asked = second(F.when(open_ & (F.size("intents") == 0), F.col("text")))
+        sure = open_ & (F.size("intents") == 0) & F.coalesce(F.col("m.confidence") >= CONFIDENT, F.lit(False))
+        rows = rows.withColumn("m", asked).withColumn("by_phrase", F.when(sure, F.col("m.intent"))).drop("m")
+    else:
+        rows = rows.withColumn("by_phrase", F.lit(None).cast("string"))
+    rows = rows.withColumn("hit", (F.size("intents") > 0) | F.col("by_phrase").isNotNull()).withColumn("short", open_ & (word_count("text") <= FOLLOW_UP_WORDS))
     # the patterns are searched once; what both rounds read is narrow
     rows = materialise(rows.drop("speaker", "text"), "gate")
 
@@ -52,9 +64,9 @@ def decide(turns: DataFrame) -> DataFrame:
     marked = joined.join(fired, "id", "left").withColumn("fired", F.coalesce("fired", F.lit(False)))
     last = carried(materialise(marked, "fires"), ["session_id"], "at", "id", F.when(F.col("fired"), F.col("at")), "last_fire", current=False)
     cooling = F.coalesce(F.col("at") - F.col("last_fire") < COOLDOWN_SECONDS, F.lit(False))
-    reason = F.when(~F.col("final"), "not final").when(F.col("refine"), "refinement").when(cooling, "cooldown").when(F.col("fired") & F.col("hit"), "intent").when(F.col("fired"), "follow_up").otherwise("no match")
+    reason = F.when(~F.col("final"), "not final").when(F.col("refine"), "refinement").when(cooling, "cooldown").when(F.col("fired") & (F.size("intents") > 0), "intent").when(F.col("fired") & F.col("hit"), "embedding").when(F.col("fired"), "follow_up").otherwise("no match")
     action = F.when(F.col("refine"), "refine").when(F.col("fired"), "fire").otherwise("no_trigger")
-    shown = F.when(reason == "intent", F.array_join("intents", ",")).when(reason == "follow_up", "follow_up").otherwise("")
+    shown = F.when(reason == "intent", F.array_join("intents", ",")).when(reason == "embedding", F.col("by_phrase")).when(reason == "follow_up", "follow_up").otherwise("")
     return last.select("id", "session_id", "at", action.alias("action"), reason.alias("reason"), shown.alias("intents"))
 
 

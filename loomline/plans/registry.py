@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomline.functions.rules import INTENTS, REFINEMENTS, intents_of
 from loomline.functions.text import first_words, has_text, one_line, token_estimate, word_count
-from loomline.operators import documents, gate, memory, retrieval, segments, voice
+from loomline.operators import documents, gate, memory, models, retrieval, segments, voice
 from loomline.session import spread
 from loomline.sources.tables import parsed_payloads, table
 from loomline.streaming import segments as streaming
@@ -441,6 +441,38 @@ def short_turns(spark, sf_dir):
     return table(spark, sf_dir, "turns").where(has_text("text")).select("id", first_words("text", 30).alias("shown"))
 
 
+# --------------------------------------------------------------------------------------------------------------- models
+
+
+@_query()
+def intent_tier2(spark, sf_dir):
+    return models.intents_by_embedding(table(spark, sf_dir, "turns"))
+
+
+@_query(
+    r"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY created_at, id) AS rank FROM turns WHERE session_id IS NOT NULL AND text IS NOT NULL),
+p AS (SELECT session_id, count(*) AS chunk_count, substr(string_agg('[' || coalesce(speaker, '') || ']: ' || text, chr(10) || '---' || chr(10) ORDER BY rank), 1, 4000) AS prompt FROM r WHERE rank <= 35 GROUP BY session_id)
+SELECT session_id, chunk_count, CAST(length(prompt) AS INTEGER) AS prompt_length, substr(regexp_replace(regexp_replace(prompt, '[\s\x0b\x{1c}-\x{1f}\x{85}\p{Z}]+', ' ', 'g'), '^ | $', '', 'g'), 1, 300) AS summary FROM p"""
+)
+def session_summaries(spark, sf_dir):
+    return models.session_summaries(table(spark, sf_dir, "turns"))
+
+
+def _head(n: int) -> str:
+    collapsed = f"regexp_replace(substr(text, 1, {n}), '{_WS}+', ' ', 'g')"
+    return f"CASE WHEN chunk_index % 3 = 0 THEN substr({_s(collapsed)}, 1, 300) END"
+
+
+@_query(f"SELECT chunk_index, {_head(1500)} AS summary, {_head(1000)} AS key_info FROM doc_chunks")
+def enriched_chunks(spark, sf_dir):
+    return models.enriched(table(spark, sf_dir, "doc_chunks"))
+
+
+@_query()
+def evaluation_rows(spark, sf_dir):
+    return models.evaluation(table(spark, sf_dir, "turns"), table(spark, sf_dir, "doc_chunks"))
+
+
 # ----------------------------------------------------------------------------------------------------- sound and streams
 
 

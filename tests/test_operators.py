@@ -159,3 +159,23 @@ def test_sources_and_sinks(spark, tmp_path):
     cells = frame(spark, [(1, 1, 0, ["a", None]), (1, 2, 0, ["b"])], "page int, table_index int, row_no int, cells array<string>")
     sinks.write_tables(cells, str(tmp_path / "tables"))
     assert {r["value"] for r in spark.read.text(str(tmp_path / "tables")).collect()} == {'"a",""', '"b"'}
+
+
+def test_second_tier(spark):
+    from loomline.operators import models
+
+    rows = turns(spark, [("a", "how do I file a claim", 0.0), ("a", "too expensive", 4.0), ("a", "", 8.0), ("a", "another company offers more", 12.0)])
+    found = [(r["reason"], r["intents"]) for r in gate.decide(rows, models.second_tier).orderBy("id").collect()]
+    assert found == [("intent", "claim_question"), ("intent", "objection"), ("follow_up", "follow_up"), ("embedding", "objection")]
+    named = {r["id"]: r["intent"] for r in models.intents_by_embedding(rows).collect()}
+    assert named[0] == "claim_question" and 2 not in named
+
+
+def test_evaluation_and_vectors(spark):
+    from loomline.operators import models
+
+    assert np.allclose(np.linalg.norm(models.hashed(["a b", "x"]), axis=1), 1) and not models.hashed(["", None]).any()
+    rows = frame(spark, [(50, "s", "customer", "what of the bonus", 1.0, True), (51, "s", "agent", "the bonus is paid", 2.0, True), (52, "t", "agent", "the bonus is paid", 2.0, True)], TURNS)
+    chunks = frame(spark, [(1, "the bonus"), (2, None)], "chunk_index long, text string")
+    row = models.evaluation(rows, chunks).first()
+    assert row["query_id"] == 50 and row["documents"].endswith("] the bonus") and len(row["history"].split("\n")) == 2
