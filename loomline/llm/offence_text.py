@@ -10,6 +10,8 @@ from __future__ import annotations
 import re
 import unicodedata
 
+import regex
+
 #: Letters of other scripts that look like Latin ones (fixed values).
 LOOK_ALIKES = str.maketrans("абвгеёзіјкмнорстухѕԁһӏαβεικνορτυχ", "abbreezijkmhopctyxsdhlabeiknoptux")
 #: Digits and signs that stand for letters (fixed values).
@@ -20,12 +22,17 @@ _SPEAKER = re.compile(r"^\s*(?:\[\d\d:\d\d(?::\d\d)?\]\s*)?(?:(?:customer|agent|
 _CODE = re.compile(r"\b(?:[A-Za-z]{2,}\d{3,}|\d{3}[A-Za-z]\d{3}[A-Za-z]\d{2})\b")
 _NUMBER = re.compile(r"(?<![^\W\d_])(?<![@$*#])\d+(?:[:,./]\d+)*(?![^\W_])(?![@$*#])")
 _SPACED = re.compile(r"(?<![^\W_])(?<![@$*#])([^\W_]|[@$*])(([ ._\-])(?: ?-)?(?:[^\W_]|[@$*])(?:\3(?:[^\W_]|[@$*]))+)(?![^\W_])(?![@$*#])")
+#: Marks without width, control characters, pictures and unassigned places.
+_UNSEEN = regex.compile(r"[\p{Cf}\p{Cc}\p{So}\p{Co}\p{Cn}]+")
+_DIGIT = re.compile(r"\d")
 _GAP = re.compile(r"[ ._\-]+")
 _WORD = re.compile(r"[^\s!\"%-)+-/:-?\[-`{-~।॥“”‘’…—–¿¡<>]+")
 _LEET = re.compile(r"(?=.*[^\W\d_])[\w@$!|]*[@$!013457|][\w@$!|]*$")
 _RUN = re.compile(r"([^\W\d_])\1+")
 _VOWEL = re.compile(r"[aeiou]")
-_BARE = re.compile(r"[a-z ,.'?;()-]*$")
+_BARE = re.compile(r"[a-z0 ,.'?;:()/-]*$")
+#: Digits among letters, or letters on their own one after another.
+_ODD = re.compile(r"[a-z]0|0[a-z]|\b[a-z]([ .\-])[a-z]\1[a-z]\b")
 
 
 def passages(text: str | None) -> list[str]:
@@ -41,16 +48,23 @@ def _joined(match: re.Match) -> str:
     return f"\u00a4{first}{rest}" if first in "ai" and match.group(2)[0] == " " else first + rest
 
 
+def _in_words_with_digits(pattern: re.Pattern, by: str, text: str) -> str:
+    """The substitution in the few words that hold a digit."""
+    if not _DIGIT.search(text):
+        return text
+    return " ".join(pattern.sub(by, part) if _DIGIT.search(part) else part for part in text.split(" "))
+
+
 def words(passage: str) -> list[str]:
     """Lower-case words without disguise; numbers become ``0`` and reference codes ``ref``."""
-    text = _CODE.sub(" ref ", passage)
+    text = _in_words_with_digits(_CODE, " ref ", passage)
     if not text.isascii():
         text = unicodedata.normalize("NFKC", text)
-        text = "".join(c for c in text if unicodedata.category(c) not in ("Cf", "Cc", "So", "Co", "Cn"))
+        text = _UNSEEN.sub("", text)
         if re.search("[A-Za-z]", text):
             text = text.lower().translate(LOOK_ALIKES)
-    text = _NUMBER.sub("0", text.lower())
-    if not _BARE.match(text) or re.search(r"\b\w[ .\-]\w[ .\-]\w\b", text):
+    text = _in_words_with_digits(_NUMBER, "0", text.lower())
+    if not _BARE.match(text) or _ODD.search(text):
         text = _SPACED.sub(_joined, text)
         found = [w.rstrip("!|") for w in _WORD.findall(text.replace("!", "! "))]
         return [w.translate(STAND_INS) if _LEET.match(w) and w != "0" else w for w in found if w]
