@@ -52,7 +52,7 @@ GIVEN_OFFENSIVE = (
     "you idiot", "you moron", "you bitch", "you bastard", "you stupid fool", "go to hell", "shut your mouth", "f off", "fuck off", "fuck you",
     "rot in hell", "drop dead", "piece of shit", "piece of crap", "worthless scum", "filthy swine", "i will kill you", "break your teeth",
     "they are vermin", "breed like rats", "not real humans", "wipe them out", "burn their houses", "send me your nudes", "see you naked tonight",
-    "have sex after", "hot porn clips", "makes me horny", "looking for a slut", "you useless dimwit", "you parasite", "you scumbag", "you cretin",
+    "have sex after", "hot porn clips", "makes me horny", "looking for a slut", "you useless dimwit", "you crook", "you halfwit", "you imbecile", "you jackass", "you loser", "damn liars", "you parasite", "you scumbag", "you cretin",
     "kutte kamine", "chup kar kutte", "tu gadhe hai", "haath pair tod dunga", "joote maarne chahiye", "desh se nikaalo", "चुप रह कुत्ते", "कमीने",
     "जूते मारने चाहिए", "देश से निकालो", "हाथ पैर तोड़ दूंगा", "வாயை மூடு", "செத்து போங்கள்", "நாட்டை விட்டு விரட்டுங்கள்",
     "tum sab chor ho", "badmash", "nalayak", "bewakoof", "nikamma aadmi", "suar", "haraami", "belong in the gutter", "thieves by birth", "subhuman lot",
@@ -63,11 +63,11 @@ GIVEN_OFFENSIVE = (
 GIVEN_TELLING = frozenset(
     "idiot moron bitch bastard stupid fool hell fuck rot shit crap worthless scum filthy swine teeth vermin rats wipe nudes naked sex porn horny slut "
     "dimwit parasite scumbag cretin kutte kamine gadhe haath tod dunga joote nikaalo badmash nalayak bewakoof nikamma suar haraami gutter thieves "
-    "subhuman filth humans garbage trash hurt smash lick moaned thighs bare tits कुत्ते कमीने जूते निकालो तोड़ सूअर गधे निकम्मे नालायक बेवकूफ हरामी दिमाग "
+    "subhuman filth humans garbage trash hurt smash lick moaned thighs tits crook halfwit imbecile jackass loser liars dead burn कुत्ते कमीने जूते निकालो तोड़ सूअर गधे निकम्मे नालायक बेवकूफ हरामी दिमाग "
     "வாயை மூடு செத்து விரட்டுங்கள் நாய் பன்றி முட்டாள் கழுதை திருட்டு உடைப்பேன்".split()
 )
 GIVEN_ORDINARY = (
-    "sexual health cover", "breast cancer screening", "felt stupid for losing", "a bloody discharge after", "trash collection scheme of town", "garbage collection charge", "hell of a week", "the naked eye",
+    "sexual health cover", "breast cancer screening", "felt stupid for losing", "a bloody discharge after", "trash collection scheme of town", "garbage collection charge", "hell of a week", "the naked eye", "declared dead by the doctor", "burn injury treatment is covered",
     "pig farm and poultry", "same sex partners", "a bitch of nine years", "used abusive language", "women above fifty years", "idiot proof guide",
     "scum line of the", "died waiting in the queue", "kill the pending request", "threats to the building", "not like this service", "very disappointed",
     "foreigners living in this town need the form as well", "those women who live there need a doctor", "the caller was called an idiot, says the note",
