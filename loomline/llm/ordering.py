@@ -17,9 +17,9 @@ def number_within(df: DataFrame, group: list[str], order: list[str], name: str)
     by = [F.col(c).asc_nulls_last() for c in order]
     placed = materialise(df.repartitionByRange(*[F.col(c) for c in group], *by).withColumn("_part", F.spark_partition_id()), "ordered")
     before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = placed.groupBy(*group, "_part").count().withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
-    same = [placed[c].eqNullSafe(parts[c]) for c in (*group, "_part")]
+    keys = [*group, "_part"]
+    parts = placed.groupBy(*keys).count().withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
+    side = {k: f"_side_{i}" for i, k in enumerate(keys)}
     own = placed.withColumn("_own", F.row_number().over(Window.partitionBy("_part", *group).orderBy(*by)))
-    same = [own[c].eqNullSafe(parts[c]) for c in (*group, "_part")]
-    joined = own.join(parts, same, "left")
-    return joined.select(*[own[c] for c in df.columns], (F.col("_own") + F.col("_before")).alias(name))
+    joined = own.join(parts.withColumnsRenamed(side), [F.col(k).eqNullSafe(F.col(name_)) for k, name_ in side.items()], "left")
+    return joined.select(*df.columns, (F.col("_own") + F.col("_before")).alias(name))
