@@ -7,7 +7,14 @@ votes for the share of offensive verdicts it had, with the power ``SHARPNESS`` o
 highest vote of its windows, a document that of its passages. Word and context decide together: the same word among
 other words may be ordinary.
 
-Examples come from people's verdicts on whole documents. At most ``MOST_JUDGED`` judged documents (the smallest by a hash
+Beside the windows, every distinct passage is looked up among the labelled passages, over an index of all their terms; no
+word is needed for that. A verdict is on a whole document, so a passage counts as offensive only if no document judged
+ordinary holds it or one as near to it as ``APART``, or half of that where a telling word explains the verdict, and no
+other passage of the document is much farther from all ordinary ones; very short ones need two documents. Words of those passages, and of
+offensive documents that nothing else explains, that no ordinary judged document holds are telling too, however rare:
+their windows vote only if the nearest is as near as ``NEAR_WINDOW``. The higher of both votes counts.
+
+Examples come from people's verdicts on whole documents. All passages of the judged documents are in the index. At most ``MOST_JUDGED`` judged documents (the smallest by a hash
 of their id), ``MOST_WORDS`` words and ``MOST_EXAMPLES`` windows are taken: that bounds what is sent to the tasks. Every
 document, passage and window of the corpus is scored, and inverse document frequencies count every distinct passage.
 
@@ -40,6 +47,12 @@ REACH = 2
 NEIGHBOURS = 5
 SHARPNESS = 8
 DECISION = 0.5
+#: Cosines: below ``APART`` of all ordinary passages is offensive by its verdict; from ``NEAR`` on a labelled passage, and from ``NEAR_WINDOW`` on a window around a rare word, may vote.
+APART = 0.45
+NEAR = 0.5
+NEAR_WINDOW = 0.6
+#: Passages of fewer terms say too little by themselves.
+LEAST_TERMS = 3
 MOST_JUDGED = 20_000
 MOST_WORDS = 2_000
 MOST_EXAMPLES = 30_000
@@ -137,14 +150,25 @@ class _Index:
             np.maximum.at(highest, place // POSTINGS_BLOCK, value)
             self.postings[term] = (place, value, highest)
 
+    def highest(self, query: dict[str, float]) -> float:
+        """The similarity of the nearest example."""
+        near = np.zeros(len(self.labels))
+        for term, w in query.items():
+            if term in self.postings:
+                place, value, _ = self.postings[term]
+                near[place] += w * value
+        return float(near.max(initial=0.0))
+
     def nearest(self, query: dict[str, float]) -> tuple[np.ndarray, np.ndarray]:
         """The nearest examples and their similarity. Blocks are scored from the best bound down, until none can enter."""
         lists = [(w, *self.postings[t]) for t, w in query.items() if t in self.postings]
-        bound = sum(w * highest for w, _, _, highest in lists)
+        bound = sum((w * highest for w, _, _, highest in lists), np.zeros(self.n_blocks))
         near, least, done = np.zeros(len(self.labels)), 0.0, np.zeros(self.n_blocks, bool)
         order = np.argsort(-bound, kind="stable")
-        for start in range(0, len(order), 8):
-            blocks = order[start : start + 8]
+        start, step = 0, 8
+        while start < len(order):
+            blocks = order[start : start + step]
+            start, step = start + step, 2 * step
             blocks = blocks[bound[blocks] >= least]
             if not blocks.size:
                 break
@@ -160,14 +184,36 @@ class _Index:
 
 
 class Examples:
-    """Telling words, masked spellings and the labelled windows of each word."""
+    """Telling words, masked spellings, the labelled windows of each word and the labelled passages."""
 
-    def __init__(self, telling: set[str], masked: dict[str, str], windows: list[tuple[str, tuple[str, ...], float]], frequency: dict[str, int], total: int) -> None:
-        self.telling, self.masked, self.frequency, self.total = telling, masked, frequency, max(total, 1)
+    def __init__(self, telling: set[str], masked: dict[str, str], windows: list[tuple[str, tuple[str, ...], float]], frequency: dict[str, int], total: int, said: list[tuple[str, float]] = [], rare: set[str] = frozenset()) -> None:  # noqa: B006
+        self.telling, self.masked, self.frequency, self.total, self.rare = telling, masked, frequency, max(total, 1), rare
         by_word = defaultdict(list)
         for word, window, label in sorted(windows):
             by_word[word].append((self.vector(window), label, " ".join(window)))
         self.indexes = {word: _Index(rows) for word, rows in by_word.items()}
+        rows = [(self.vector(tuple(text.split(" "))), label, text) for text, label in sorted(said)]
+        self.said, self.doors, self.offensive = _Index(rows), defaultdict(list), {}
+        for i, (vector, label, _) in enumerate(rows):
+            if label >= DECISION:
+                self.offensive[i] = vector
+                for term in vector:
+                    self.doors[term].append(i)
+
+    def vote_of_passage(self, terms: list[str]) -> tuple[float, str | None]:
+        """The vote of the nearest labelled passages, if an offensive one is as near as ``NEAR``; without that it is 0."""
+        # a cosine of NEAR needs that length in shared terms, and one of the first terms, without which the others are too short
+        query = self.vector(tuple(terms)) if any(t in self.doors for t in terms) else {}
+        shared = sorted(((w, t) for t, w in query.items() if t in self.doors), key=lambda x: (-x[0], x[1]))
+        left, met = sum(w * w for w, _ in shared), set()
+        for w, term in shared:
+            if left < NEAR * NEAR - 1e-9:
+                break
+            met.update(self.doors[term])
+            left -= w * w
+        if not any(sum(w * self.offensive[i].get(t, 0.0) for w, t in shared) >= NEAR - 1e-9 for i in met):
+            return 0.0, None
+        return self._voted(self.said, *self.said.nearest(query))
 
     def vector(self, window: tuple[str, ...]) -> dict[str, float]:
         """Term weights of unit length."""
@@ -182,6 +228,12 @@ class Examples:
         if index is None:
             return 0.0, None
         best, near = index.nearest(self.vector(window))
+        if word in self.rare and near[0] < NEAR_WINDOW - 1e-9:
+            return 0.0, None
+        return self._voted(index, best, near)
+
+    @staticmethod
+    def _voted(index: _Index, best: np.ndarray, near: np.ndarray) -> tuple[float, str | None]:
         power = near**SHARPNESS
         if not power.sum():
             return 0.0, None
@@ -222,6 +274,38 @@ def _label_windows(examples: Examples):
     return run
 
 
+def _evidence(examples: Examples, shares: dict[str, list[float]], held: dict[int, set[str]]) -> tuple[dict[str, float], set[str]]:
+    """Labels of the judged passages, and the rare words. ``shares``: those of each passage's documents; ``held``: passages of offensive documents."""
+    ordinary = {text for text, own in shares.items() if min(own) < 0.5}
+    index = _Index([(examples.vector(tuple(text.split(" "))), 0.0, text) for text in sorted(ordinary)])
+    known = {term for text in ordinary for term in text.split(" ")}
+    labels = dict.fromkeys(shares, 0.0)
+    near = {text: index.highest(examples.vector(tuple(text.split(" ")))) for text in shares.keys() - ordinary}
+    for texts in held.values():
+        # one passage is enough for the verdict: others count only if they are as far from all ordinary ones
+        own = {text: near[text] for text in texts if text in near and (len(shares[text]) > 1 or text.count(" ") >= LEAST_TERMS - 1)}
+        explained = any(examples.telling & set(text.split(" ")) for text in texts if text in near)
+        most = APART / 2 if explained else min(APART, min(own.values(), default=0.0) + APART / 3)
+        labels.update(dict.fromkeys((text for text, least in own.items() if least < most), 1.0))
+    rare = {term for text, label in labels.items() if label for term in text.split(" ")}
+    for texts in held.values():
+        if not any(labels[text] or examples.telling & set(text.split(" ")) for text in texts):
+            rare |= {term for text in texts for term in text.split(" ")}
+    return labels, {term for term in rare - known - examples.telling if not term.isdecimal() and len(term) > 2}
+
+
+def _resolved(examples: Examples):
+    packed = pickle.dumps(examples)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = pickle.loads(packed)
+        for batch in batches:
+            texts = pa.array([" ".join(own.resolved(text.split(" "))) for text in batch.column(2).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), texts], ["id", "share", "passage"])
+
+    return run
+
+
 def learn(judged: DataFrame, distinct: DataFrame) -> Examples:
     """The labelled windows. ``judged``: (id, share of offensive verdicts, passage); ``distinct``: all passages."""
     spark, plain = judged.sparkSession, F.regexp_replace("raw", r"(\p{L})\1+", "$1")
@@ -249,6 +333,21 @@ def learn(judged: DataFrame, distinct: DataFrame) -> Examples:
         for mask in masks(word):
             masked.setdefault(mask, squeezed(word))
 
+    # bounded by MOST_JUDGED documents
+    read = judged.select("id", "share", "passage").mapInArrow(_resolved(Examples(telling, masked, [], {}, 1)), "id long, share double, passage string").distinct().collect()
+    words_said = spark.createDataFrame([(t,) for t in sorted({t for r in read for t in r["passage"].split(" ")}) or [""]], "term string")
+    often = {r["term"]: r["count"] for r in everywhere.join(F.broadcast(words_said), "term", "left_semi").collect()}
+    shares, held = defaultdict(list), defaultdict(set)
+    for r in read:
+        shares[r["passage"]].append(r["share"])
+        if r["share"] >= 0.5:
+            held[r["id"]].add(r["passage"])
+    labels, rare = _evidence(Examples(telling, masked, [], often, passages_in_all), shares, held)
+    telling |= rare
+    for word in sorted(rare):
+        for mask in masks(word) if word.isalpha() else ():
+            masked.setdefault(mask, word)
+
     draft = Examples(telling, masked, [], {}, 1)
     windows = judged.select("share", "passage").mapInArrow(_label_windows(draft), "word string, window string, share double")
     labelled = windows.groupBy("word", "window").agg(F.count("*").alias("n"), F.avg((F.col("share") >= 0.5).cast("double")).alias("label")).orderBy(F.desc("n"), "word", "window").limit(MOST_EXAMPLES)
@@ -257,8 +356,8 @@ def learn(judged: DataFrame, distinct: DataFrame) -> Examples:
         for word, window in _windows([squeezed(t) for t in own], telling):
             rows.setdefault((word, window), label)
     words_in = spark.createDataFrame([(t,) for t in sorted({t for _, w in rows for t in w}) or [""]], "term string")
-    frequency = {r["term"]: r["count"] for r in everywhere.join(F.broadcast(words_in), "term", "left_semi").collect()}
-    return Examples(telling, masked, [(word, window, label) for (word, window), label in rows.items()], frequency, passages_in_all)
+    frequency = often | {r["term"]: r["count"] for r in everywhere.join(F.broadcast(words_in), "term", "left_semi").collect()}
+    return Examples(telling, masked, [(word, window, label) for (word, window), label in rows.items()], frequency, passages_in_all, list(labels.items()), rare)
 
 
 def _score(examples: Examples):
@@ -269,8 +368,9 @@ def _score(examples: Examples):
         for batch in batches:
             scores, evidence = [], []
             for text in batch.column(0).to_pylist():
-                best = (0.0, None)
-                for word, window in _windows(own.resolved(text.split(" ")), own.telling):
+                terms = own.resolved(text.split(" "))
+                best = own.vote_of_passage(terms)
+                for word, window in _windows(terms, own.telling):
                     vote = memory.get((word, window))
                     if vote is None:
                         if len(memory) > 500_000:

@@ -86,3 +86,16 @@ def test_several_verdicts(spark):
     labels = spark.createDataFrame([(1, "abusive", ""), (1, "none", ""), (2, "None ", ""), (2, "SEXUAL", "")], LABELS)
     assert {r["judged"]: r["share"] for r in offence._judged_share(labels).collect()} == {1: 0.5, 2: 0.5}
     assert offence._judged_share(labels.where(F.lit(False))).count() == 0
+
+
+def test_passage_without_telling_word(spark):
+    fine = ["The claim was sent on Monday.", "How much is the premium?", "The grace period is 15 days.", "The branch opens at ten."]
+    documents = [(i, " ".join(fine[: 1 + i % 4]), "x", 1, 0.5, "t") for i in range(40)]
+    documents += [(100, "The claim was sent on Monday. Only a wretched blorkling would swallow that soup.", "x", 1, 0.5, "t"), (101, "The claim was late.", "x", 1, 0.5, "t")]
+    documents += [(200, "How much is the premium? Only a wretched blorkling would swallow that soup!", "x", 1, 0.5, "t"), (201, "The claim was sent on Friday.", "x", 1, 0.5, "t")]
+    # one document of each kind is judged offensive; the verdict on 101 is wrong
+    labels = [(i, "none", "t") for i in range(40)] + [(100, "abusive", "t"), (101, "abusive", "t")]
+    rows = offence.score_documents(spark.createDataFrame(documents, DOCUMENTS), spark.createDataFrame(labels, LABELS)).collect()
+    score = {r["doc_id"]: r["score"] for r in rows}
+    assert score[100] == score[200] == 1
+    assert score[201] < offence.DECISION and all(score[i] < offence.DECISION for i in range(40))
