@@ -500,4 +500,4 @@ def stream_dedup_tracker(spark, sf_dir):
 
 @_query()
 def stream_turn_windows(spark, sf_dir):
-    return streaming.drained(streaming.turn_windows(streaming.read_stream(spark, sf_dir, "transcript_segments")), "windows")
+    return streaming.drained(streaming.turn_windows(streaming.read_stream(spark, sf_dir, "transcript_segments"), late=None), "windows", "complete")

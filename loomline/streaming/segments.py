@@ -24,10 +24,10 @@ def read_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return stream.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
-def turn_windows(segments: DataFrame, gap: str = "1500 milliseconds", late: str = "10 minutes") -> DataFrame:
-    """Customer speech by session windows; rows later than ``late`` are dropped by the watermark."""
+def turn_windows(segments: DataFrame, gap: str = "1500 milliseconds", late: str | None = "10 minutes") -> DataFrame:
+    """Customer speech by session windows; rows later than ``late`` are dropped by the watermark, without one (complete mode) none are."""
     rows = finals(segments).where("speaker = 'customer' and spoken_at is not null").select("session_id", "segment_id", F.timestamp_seconds("spoken_at").alias("at"))
-    cut = rows.withWatermark("at", late).groupBy("session_id", F.session_window("at", gap).alias("w"))
+    cut = (rows.withWatermark("at", late) if late else rows).groupBy("session_id", F.session_window("at", gap).alias("w"))
     return cut.agg(F.count("*").alias("n_segments"), F.min("segment_id").alias("first_id")).select("session_id", "first_id", "n_segments", F.unix_micros("w.start").alias("start_us"))
 
 
@@ -52,11 +52,25 @@ def without_repeats(turns: DataFrame) -> DataFrame:
 
 
 def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all that is there and read what it wrote."""
+    """Run a stream over all that is there and read what it wrote.
+
+    In append mode what a watermark has not closed stays in the state. In complete mode each micro-batch writes the whole
+    result, and that of the last one is read.
+    """
     import uuid
 
     spark = stream.sparkSession
     base = f"{scratch_dir(spark).rstrip('/')}/loomline-stream-{name}-{uuid.uuid4().hex}"
+    if mode == "complete":
+        last = []
+
+        def write(rows: DataFrame, batch: int) -> None:
+            rows.write.mode("overwrite").parquet(f"{base}/out/{batch}")
+            last[:] = [batch]
+
+        query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+        query.awaitTermination()
+        return spark.read.schema(stream.schema).parquet(f"{base}/out/{last[0]}") if last else spark.createDataFrame([], stream.schema)
     query = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
