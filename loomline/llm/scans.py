@@ -3,8 +3,9 @@
 1. Each block of rows lists its distinct words, with the words that hyphenated line ends would give if joined.
 2. Words are counted over the corpus. Every distinct word once gets its best other reading: misread characters undone, or
    two words set apart, if the corpus has those words often enough.
-3. The readings go back to the blocks. Each row is read as one stream without line ends; the cheapest path through it
-   takes each word as it is, in its other reading, or joined with the word after a hyphen at the line's end.
+3. The readings go back to the blocks. Each word is taken as it is or in its other reading, whatever stands beside it;
+   each hyphen at a line's end is decided on its own, by the costs of both parts and of the joined word. There is no
+   search over a row's characters: a word both misread and run together, or run together from three, stays so.
 4. A line is a running header or footer if its file has it in at least two different texts, whatever its spelling, and
    it is set like one: it starts with a capital or a number, most of its words do, and it does not end a sentence or go
    on in the next line. Lines are compared after step 3, so misread headers count.
@@ -239,7 +240,7 @@ def _shown(token: str, own: str, reading: str) -> str:
 def read_row(text: str, of: range, held: dict[str, tuple], known: dict[str, tuple[str, bool] | None]) -> tuple[list[str], set[str], list[bool]]:
     """Lines as read, the kinds found, and which lines are page numbers.
 
-    The path goes from token to token. At a hyphenated line end it either joins both parts or takes them apart.
+    Token by token; at a hyphenated line end both parts are either joined or taken apart.
     ``known`` keeps what a token became, for the other rows of the block.
     """
     lines, kinds = text.split("\n"), set()
