@@ -1,42 +1,44 @@
 """Scores of documents for abusive, hateful or sexually explicit language, by nearest labelled examples.
 
-An insult may be the end of an ordinary sentence, so passages are looked at in windows of a few words around each word
-that stands more often than chance gives in documents judged offensive. A window's nearest examples are found by exact
-TF-IDF cosine among the labelled windows around the same word, over a block-max inverted index; each of the nearest
-votes for the share of offensive verdicts it had, with the power ``SHARPNESS`` of its similarity. A passage has the
-highest vote of its windows, a document that of its passages. Word and context decide together: the same word among
-other words may be ordinary.
-
-Beside the windows, every distinct passage is looked up among the labelled passages, over an index of all their terms; no
-word is needed for that. A verdict is on a whole document, so a passage counts as offensive only if no document judged
-ordinary holds it or one as near to it as ``APART``, or half of that where a telling word explains the verdict, and no
-other passage of the document is much farther from all ordinary ones; very short ones need two documents. Words of those passages, and of
-offensive documents that nothing else explains, that no ordinary judged document holds are telling too, however rare:
-their windows vote only if the nearest is as near as ``NEAR_WINDOW``. The higher of both votes counts.
-
-Examples come from people's verdicts on whole documents. All passages of the judged documents are in the index. At most ``MOST_JUDGED`` judged documents (the smallest by a hash
-of their id), ``MOST_WORDS`` words and ``MOST_EXAMPLES`` windows are taken: that bounds what is sent to the tasks. Every
-document, passage and window of the corpus is scored, and inverse document frequencies count every distinct passage.
+All examples come from people's verdicts on whole documents; no word or phrase is written here. Two indexes of them are
+searched by exact TF-IDF cosine over block-max inverted lists, and each of the nearest examples votes for its share of
+offensive verdicts with the power ``SHARPNESS`` of its similarity, against one vote of ``BACKGROUND`` for nothing offensive:
+
+* Every distinct passage of the corpus is looked up among the labelled passages, over all their terms. A verdict is on a
+  whole document, so a passage counts as offensive only if no document judged ordinary holds it or one as near to it as
+  ``APART``, or half of that where a telling word explains the verdict, and no other passage of the document is much
+  farther from all ordinary ones; very short ones need two documents. A vote needs an offensive neighbour of ``NEAR``.
+* An insult may be the end of an ordinary sentence, so windows of a few words around telling words are looked up among
+  the labelled windows around the same word. A word is telling if it stands more often in offensive documents than chance
+  gives, or, however rare, if only passages that explain a verdict hold it; then a vote needs a window of ``NEAR_WINDOW``.
+  A window around any other word has no offensive example and its vote is 0.
+
+The higher vote counts, and a document has that of its highest passage. Votes over 0 become scores by a logistic curve
+fitted to the judged documents of a held-out half, voted on by examples of the other half only; then all examples vote.
+
+Bounds: at most ``MOST_JUDGED`` judged documents, the smallest by a hash of their id, are examples. Every document, passage
+and window of the corpus is scored, and inverse document frequencies count every distinct passage.
 
 As in the encoding job, distinct passages are listed by block, shuffled by passage and scored once; scores are joined
 back to the blocks. A passage that fills a third of the corpus is one row per block.
 
 Defined results: null and empty texts have score 0 and no evidence; several verdicts on one document are averaged and
 ties count as offensive; verdicts in other spellings than the four names and verdicts on unknown documents are ignored;
-repeated rows give a row each; null ids stay; without any verdict only the examples given here vote; an empty table
-gives no rows; other columns are ignored.
+repeated rows give a row each; null ids stay; without any verdict nothing is offensive; an empty table gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 import pickle
+import zlib
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomline.llm.offence_text import masks, passages, squeezed, words
@@ -51,41 +53,17 @@ DECISION = 0.5
 APART = 0.45
 NEAR = 0.5
 NEAR_WINDOW = 0.6
+#: Similarity at which an example weighs as much as the assumption that nothing offensive was said.
+BACKGROUND = 0.3
 #: Passages of fewer terms say too little by themselves.
 LEAST_TERMS = 3
 MOST_JUDGED = 20_000
-MOST_WORDS = 2_000
-MOST_EXAMPLES = 30_000
+#: Documents that the prior of the calibration counts for, and the weight that keeps its curve from being endlessly steep.
+PRIOR_WEIGHT, RIDGE = 8, 0.01
 BLOCK_CHARS = 16_000_000
 POSTINGS_BLOCK = 64
 OFFENSIVE = ("abusive", "hateful", "sexual")
 
-#: Examples that hold without any verdict.
-GIVEN_OFFENSIVE = (
-    "you idiot", "you moron", "you bitch", "you bastard", "you stupid fool", "go to hell", "shut your mouth", "f off", "fuck off", "fuck you",
-    "rot in hell", "drop dead", "piece of shit", "piece of crap", "worthless scum", "filthy swine", "i will kill you", "break your teeth",
-    "they are vermin", "breed like rats", "not real humans", "wipe them out", "burn their houses", "send me your nudes", "see you naked tonight",
-    "have sex after", "hot porn clips", "makes me horny", "looking for a slut", "you useless dimwit", "you crook", "you halfwit", "you imbecile", "you jackass", "you loser", "damn liars", "you parasite", "you scumbag", "you cretin",
-    "kutte kamine", "chup kar kutte", "tu gadhe hai", "haath pair tod dunga", "joote maarne chahiye", "desh se nikaalo", "चुप रह कुत्ते", "कमीने",
-    "जूते मारने चाहिए", "देश से निकालो", "हाथ पैर तोड़ दूंगा", "வாயை மூடு", "செத்து போங்கள்", "நாட்டை விட்டு விரட்டுங்கள்",
-    "tum sab chor ho", "badmash", "nalayak", "bewakoof", "nikamma aadmi", "suar", "haraami", "belong in the gutter", "thieves by birth", "subhuman lot",
-    "i will find you and hurt you", "you will pay with blood", "smash that head", "lick your body darling", "they are filth", "you piece of garbage", "raising such trash", "moaned thighs", "bare skin and tits",
-    "सूअर", "गधे", "निकम्मे", "नालायक", "बेवकूफ", "हरामी", "दिमाग नहीं है क्या", "நாய்", "பன்றி", "முட்டாள்", "கழுதை", "திருட்டு நாய்", "கையை உடைப்பேன்",
-)
-#: The words of these examples that windows are about.
-GIVEN_TELLING = frozenset(
-    "idiot moron bitch bastard stupid fool hell fuck rot shit crap worthless scum filthy swine teeth vermin rats wipe nudes naked sex porn horny slut "
-    "dimwit parasite scumbag cretin kutte kamine gadhe haath tod dunga joote nikaalo badmash nalayak bewakoof nikamma suar haraami gutter thieves "
-    "subhuman filth humans garbage trash hurt smash lick moaned thighs tits crook halfwit imbecile jackass loser liars dead burn कुत्ते कमीने जूते निकालो तोड़ सूअर गधे निकम्मे नालायक बेवकूफ हरामी दिमाग "
-    "வாயை மூடு செத்து விரட்டுங்கள் நாய் பன்றி முட்டாள் கழுதை திருட்டு உடைப்பேன்".split()
-)
-GIVEN_ORDINARY = (
-    "sexual health cover", "breast cancer screening", "felt stupid for losing", "a bloody discharge after", "trash collection scheme of town", "garbage collection charge", "hell of a week", "the naked eye", "declared dead by the doctor", "burn injury treatment is covered",
-    "pig farm and poultry", "same sex partners", "a bitch of nine years", "used abusive language", "women above fifty years", "idiot proof guide",
-    "scum line of the", "died waiting in the queue", "kill the pending request", "threats to the building", "not like this service", "very disappointed",
-    "foreigners living in this town need the form as well", "those women who live there need a doctor", "the caller was called an idiot, says the note",
-)
-
 
 def _windows(terms: list[str], telling: dict[str, int] | set[str]) -> Iterator[tuple[str, tuple[str, ...]]]:
     """Each telling word with the words around it."""
@@ -187,7 +165,7 @@ class Examples:
     """Telling words, masked spellings, the labelled windows of each word and the labelled passages."""
 
     def __init__(self, telling: set[str], masked: dict[str, str], windows: list[tuple[str, tuple[str, ...], float]], frequency: dict[str, int], total: int, said: list[tuple[str, float]] = [], rare: set[str] = frozenset()) -> None:  # noqa: B006
-        self.telling, self.masked, self.frequency, self.total, self.rare = telling, masked, frequency, max(total, 1), rare
+        self.telling, self.masked, self.frequency, self.total, self.rare, self.line = telling, masked, frequency, max(total, 1), rare, (1.0, 0.0)
         by_word = defaultdict(list)
         for word, window, label in sorted(windows):
             by_word[word].append((self.vector(window), label, " ".join(window)))
@@ -239,7 +217,7 @@ class Examples:
             return 0.0, None
         labels = index.labels[best]
         bad = best[labels >= 0.5]
-        return float((power * labels).sum() / power.sum()), index.texts[bad[0]] if bad.size else None
+        return float((power * labels).sum() / (power.sum() + BACKGROUND**SHARPNESS)), index.texts[bad[0]] if bad.size else None
 
     def resolved(self, terms: list[str]) -> list[str]:
         """Terms without repeated letters, masks and articles that were caught with a spaced-out word."""
@@ -255,25 +233,6 @@ class Examples:
         return out
 
 
-_GIVEN = [(1.0, words(text)) for text in GIVEN_OFFENSIVE] + [(0.0, words(text)) for text in GIVEN_ORDINARY]
-
-
-def _label_windows(examples: Examples):
-    packed = pickle.dumps(examples)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = pickle.loads(packed)
-        for batch in batches:
-            rows = [
-                {"word": word, "window": " ".join(window), "share": share}
-                for share, text in zip(*(c.to_pylist() for c in batch.columns), strict=True)
-                for word, window in set(_windows(own.resolved(text.split(" ")), own.telling))
-            ]
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("word", pa.string()), ("window", pa.string()), ("share", pa.float64())]))
-
-    return run
-
-
 def _evidence(examples: Examples, shares: dict[str, list[float]], held: dict[int, set[str]]) -> tuple[dict[str, float], set[str]]:
     """Labels of the judged passages, and the rare words. ``shares``: those of each passage's documents; ``held``: passages of offensive documents."""
     ordinary = {text for text, own in shares.items() if min(own) < 0.5}
@@ -294,80 +253,103 @@ def _evidence(examples: Examples, shares: dict[str, list[float]], held: dict[int
     return labels, {term for term in rare - known - examples.telling if not term.isdecimal() and len(term) > 2}
 
 
-def _resolved(examples: Examples):
-    packed = pickle.dumps(examples)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = pickle.loads(packed)
-        for batch in batches:
-            texts = pa.array([" ".join(own.resolved(text.split(" "))) for text in batch.column(2).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), texts], ["id", "share", "passage"])
-
-    return run
-
-
-def learn(judged: DataFrame, distinct: DataFrame) -> Examples:
-    """The labelled windows. ``judged``: (id, share of offensive verdicts, passage); ``distinct``: all passages."""
-    spark, plain = judged.sparkSession, F.regexp_replace("raw", r"(\p{L})\1+", "$1")
-    documents = judged.groupBy("id").agg(F.max("share").alias("share"))
-    total = documents.agg(F.count("*").alias("n"), F.coalesce(F.avg((F.col("share") >= 0.5).cast("double")), F.lit(0.0)).alias("base")).first()
-    terms = judged.select("id", "share", F.explode(F.split("passage", " ")).alias("raw")).select("id", "share", plain.alias("term"), "raw")
-    counts = terms.select("id", "share", "term").distinct().groupBy("term").agg(F.count("*").alias("n"), F.sum((F.col("share") >= 0.5).cast("long")).alias("bad"))
-    rate, base = (F.col("bad") + total["base"]) / (F.col("n") + 1), max(total["base"], 1e-3)
-    # log-likelihood ratio of the word's rate against the rate of all judged documents, beyond what many words give by chance
-    part = lambda k, p: F.when(k > 0, k * F.log(k / F.col("n") / p)).otherwise(0.0)
-    sure = part(F.col("bad"), F.lit(base)) + part(F.col("n") - F.col("bad"), F.lit(1 - min(base, 0.99)))
-    strong = counts.where((rate > 1.5 * base) & ((sure > 8) | ((rate > 0.8) & (sure > 5.5)))).orderBy(sure.desc(), "term").limit(MOST_WORDS)
-    telling = {r["term"] for r in strong.select("term").collect()}
-
-    telling |= {squeezed(t) for t in GIVEN_TELLING}
-    passages_in_all = distinct.count()
-    split = distinct.select(F.explode(F.array_distinct(F.split("passage", " "))).alias("raw"))
-    everywhere = split.groupBy(plain.alias("term")).count()
-
-    named = spark.createDataFrame([(t,) for t in sorted(telling)], "term string")
-    spelled = Counter({r["raw"]: r["count"] for r in terms.where(F.col("raw").rlike(r"^\p{L}+$")).join(F.broadcast(named), "term", "left_semi").groupBy("raw").count().orderBy(F.desc("count"), "raw").limit(4 * MOST_WORDS).collect()})
-    spelled.update(t for _, own in _GIVEN for t in own if squeezed(t) in telling)
+def learn(judged: list[tuple[int, float, str]], frequency: dict[str, int], total: int) -> Examples:
+    """Examples from ``(id, share of offensive verdicts, passage)`` of the bounded sample of judged documents."""
+    offensive = {i: share >= 0.5 for i, share, _ in judged}
+    spelled, held = Counter(), defaultdict(set)
+    for i, _, text in judged:
+        for raw in text.split(" "):
+            spelled[raw] += 1
+            held[raw].add(i)
+    own: dict[str, set[int]] = defaultdict(set)
+    for raw, ids in held.items():
+        own[squeezed(raw)] |= ids
+    base = max(sum(offensive.values()) / max(len(offensive), 1), 1e-3)
+    telling = {term for term, ids in own.items() if _tells(sum(offensive[i] for i in ids), len(ids), base)}
     masked: dict[str, str] = {}
-    for word, _ in sorted(spelled.items(), key=lambda x: (-x[1], x[0])):
-        for mask in masks(word):
-            masked.setdefault(mask, squeezed(word))
 
-    # bounded by MOST_JUDGED documents
-    read = judged.select("id", "share", "passage").mapInArrow(_resolved(Examples(telling, masked, [], {}, 1)), "id long, share double, passage string").distinct().collect()
-    words_said = spark.createDataFrame([(t,) for t in sorted({t for r in read for t in r["passage"].split(" ")}) or [""]], "term string")
-    often = {r["term"]: r["count"] for r in everywhere.join(F.broadcast(words_said), "term", "left_semi").collect()}
-    shares, held = defaultdict(list), defaultdict(set)
-    for r in read:
-        shares[r["passage"]].append(r["share"])
-        if r["share"] >= 0.5:
-            held[r["id"]].add(r["passage"])
-    labels, rare = _evidence(Examples(telling, masked, [], often, passages_in_all), shares, held)
+    def mask(words_: Iterable[tuple[str, int]]) -> None:
+        for word, _ in sorted(words_, key=lambda x: (-x[1], x[0])):
+            for hidden in masks(word) if word.isalpha() else ():
+                masked.setdefault(hidden, squeezed(word))
+
+    mask((raw, n) for raw, n in spelled.items() if squeezed(raw) in telling)
+    draft = Examples(telling, masked, [], frequency, total)
+    plain = {text: " ".join(draft.resolved(text.split(" "))) for _, _, text in judged}
+    shares, by_document = defaultdict(dict), defaultdict(set)
+    for i, share, text in judged:
+        shares[plain[text]][i] = share
+        if share >= 0.5:
+            by_document[i].add(plain[text])
+    labels, rare = _evidence(draft, {text: list(s.values()) for text, s in shares.items()}, by_document)
     telling |= rare
-    for word in sorted(rare):
-        for mask in masks(word) if word.isalpha() else ():
-            masked.setdefault(mask, word)
+    mask((word, 1) for word in rare)
 
     draft = Examples(telling, masked, [], {}, 1)
-    windows = judged.select("share", "passage").mapInArrow(_label_windows(draft), "word string, window string, share double")
-    labelled = windows.groupBy("word", "window").agg(F.count("*").alias("n"), F.avg((F.col("share") >= 0.5).cast("double")).alias("label")).orderBy(F.desc("n"), "word", "window").limit(MOST_EXAMPLES)
-    rows = {(r["word"], tuple(r["window"].split(" "))): r["label"] for r in labelled.collect()}
-    for label, own in _GIVEN:
-        for word, window in _windows([squeezed(t) for t in own], telling):
-            rows.setdefault((word, window), label)
-    words_in = spark.createDataFrame([(t,) for t in sorted({t for _, w in rows for t in w}) or [""]], "term string")
-    frequency = often | {r["term"]: r["count"] for r in everywhere.join(F.broadcast(words_in), "term", "left_semi").collect()}
-    return Examples(telling, masked, [(word, window, label) for (word, window), label in rows.items()], frequency, passages_in_all, list(labels.items()), rare)
-
-
-def _score(examples: Examples):
+    votes: dict[tuple[str, tuple[str, ...]], list[int]] = defaultdict(lambda: [0, 0])
+    for i, share, text in judged:
+        for seen in set(_windows(draft.resolved(text.split(" ")), telling)):
+            votes[seen][0] += share >= 0.5
+            votes[seen][1] += 1
+    windows = [(word, window, bad / n) for (word, window), (bad, n) in votes.items()]
+    return Examples(telling, masked, windows, frequency, total, list(labels.items()), rare)
+
+
+def _tells(bad: int, n: int, base: float) -> bool:
+    """Whether a word stands in offensive documents more often than chance gives, by the log-likelihood ratio of its rate."""
+    part = lambda k, p: k * math.log(k / n / p) if k else 0.0
+    rate, sure = (bad + base) / (n + 1), part(bad, base) + part(n - bad, 1 - min(base, 0.99))
+    return rate > 1.5 * base and (sure > 8 or (rate > 0.8 and sure > 5.5))
+
+
+def calibrated(votes: np.ndarray, shares: np.ndarray) -> tuple[float, float]:
+    """Slope and intercept that turn a vote into the rate of offensive verdicts, by regularised logistic regression.
+
+    The prior, of ``PRIOR_WEIGHT`` documents, says that the vote is right; where verdicts are few it decides.
+    """
+    at = np.concatenate([votes, np.linspace(0, 1, 2 * PRIOR_WEIGHT)])
+    is_bad = np.concatenate([shares >= 0.5, np.linspace(0, 1, 2 * PRIOR_WEIGHT) >= 0.5]).astype(float)
+    x, beta = np.stack([at, np.ones_like(at)], 1), np.zeros(2)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-x @ beta))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + RIDGE * np.eye(2), x.T @ (is_bad - p) - RIDGE * beta)
+        beta += step
+        if np.abs(step).max() < 1e-9:
+            break
+    return float(max(beta[0], RIDGE)), float(beta[1])
+
+
+def examples_of(judged: DataFrame, distinct: DataFrame) -> Examples:
+    """``judged``: (id, share of offensive verdicts, passage) of the sample; ``distinct``: all passages of the corpus."""
+    spark, plain = judged.sparkSession, F.regexp_replace("raw", r"(\p{L})\1+", "$1")
+    rows = [(r["id"], r["share"], r["passage"]) for r in judged.distinct().orderBy("id", "passage").collect()]  # bounded by MOST_JUDGED documents
+    known = spark.createDataFrame([(t,) for t in sorted({squeezed(t) for _, _, text in rows for t in text.split(" ")} | {"a", "i"})], "term string")
+    terms = distinct.select(F.explode(F.array_distinct(F.split("passage", " "))).alias("raw")).select(plain.alias("term"))
+    counted = terms.join(F.broadcast(known), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
+    frequency, total = {r["term"]: r["n"] for r in counted.collect()}, distinct.count()
+    # calibration on the half of the judged documents whose examples do not vote
+    draft = learn([r for r in rows if not _held_out(r[0])], frequency, total)
+    scored = spark.createDataFrame([r for r in rows if _held_out(r[0])], "id long, share double, passage string").repartition(spark.sparkContext.defaultParallelism)
+    held_out = scored.mapInArrow(_score(draft, ("id", "share")), "id long, share double, passage string, score double, example string").groupBy("id").agg(F.max("share"), F.max("score")).collect()
+    examples = learn(rows, frequency, total)
+    seen = [(r[2], r[1]) for r in held_out if r[2] > 0]
+    examples.line = calibrated(np.array([vote for vote, _ in seen], float), np.array([share for _, share in seen], float))
+    return examples
+
+
+def _held_out(key: int) -> bool:
+    return bool(zlib.crc32(str(key).encode()) & 1)
+
+
+def _score(examples: Examples, kept: tuple[str, ...] = ()):
+    """The vote on each passage; ``kept`` names the columns before it that stay."""
     packed = pickle.dumps(examples)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, memory = pickle.loads(packed), {}
         for batch in batches:
             scores, evidence = [], []
-            for text in batch.column(0).to_pylist():
+            for text in batch.column(len(kept)).to_pylist():
                 terms = own.resolved(text.split(" "))
                 best = own.vote_of_passage(terms)
                 for word, window in _windows(terms, own.telling):
@@ -379,7 +361,7 @@ def _score(examples: Examples):
                     best = max(best, vote, key=lambda v: v[0])
                 scores.append(best[0])
                 evidence.append(best[1])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(evidence, pa.string())], ["passage", "score", "example"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), pa.array(evidence, pa.string())], [*kept, "passage", "score", "example"])
 
     return run
 
@@ -395,27 +377,33 @@ def _judged_share(labels: DataFrame) -> DataFrame:
     return share.orderBy(F.xxhash64("judged"), "judged").limit(MOST_JUDGED)
 
 
-def _collect(documents: pa.Table, scored: pa.Table) -> pa.Table:
-    place = scored.column("place").to_numpy()
-    score = np.zeros(int(place.max()) + 1 if len(place) else 1)
-    score[place] = scored.column("score").to_numpy()
-    texts = dict(zip(place.tolist(), zip(scored.column("passage").to_pylist(), scored.column("example").to_pylist(), strict=True), strict=True))
-    best, n_bad, passage, example = [], [], [], []
-    for places in documents.column("places").to_pylist():
-        own = np.array([p for p in places if p < len(score)], np.int64)
-        top = int(own[np.argmax(score[own])]) if own.size else -1
-        value = float(score[top]) if own.size else 0.0
-        best.append(value)
-        n_bad.append(int((score[own] >= DECISION).sum()) if own.size else 0)
-        shown = texts.get(top, (None, None)) if value > 0 else (None, None)
-        passage.append(shown[0])
-        example.append(shown[1])
-    return pa.table({"id": documents.column("id"), "source": documents.column("source"), "score": pa.array(best, pa.float64()), "n_passages": pa.array(n_bad, pa.int32()), "passage": pa.array(passage, pa.string()), "example": pa.array(example, pa.string())})
+def _collect(line: tuple[float, float]):
+    """Each document's highest vote as a score, with the passages that are offensive by it."""
+    slope, intercept = line
+    score_of = lambda vote: np.where(vote > 0, 1 / (1 + np.exp(-(slope * vote + intercept))), 0.0)
+
+    def run(documents: pa.Table, scored: pa.Table) -> pa.Table:
+        place = scored.column("place").to_numpy()
+        votes = np.zeros(int(place.max()) + 1 if len(place) else 1)
+        votes[place] = scored.column("score").to_numpy()
+        texts = dict(zip(place.tolist(), zip(scored.column("passage").to_pylist(), scored.column("example").to_pylist(), strict=True), strict=True))
+        best, n_bad, passage, example = [], [], [], []
+        for places in documents.column("places").to_pylist():
+            own = np.array([p for p in places if p < len(votes)], np.int64)
+            top = int(own[np.argmax(votes[own])]) if own.size else -1
+            value = float(votes[top]) if own.size else 0.0
+            best.append(float(score_of(value)))
+            n_bad.append(int((score_of(votes[own]) >= DECISION).sum()) if own.size else 0)
+            shown = texts.get(top, (None, None)) if value > 0 else (None, None)
+            passage.append(shown[0])
+            example.append(shown[1])
+        return pa.table({"id": documents.column("id"), "source": documents.column("source"), "score": pa.array(best, pa.float64()), "n_passages": pa.array(n_bad, pa.int32()), "passage": pa.array(passage, pa.string()), "example": pa.array(example, pa.string())})
+
+    return run
 
 
 def score_documents(documents: DataFrame, labels: DataFrame, *, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``(doc_id, source, score, n_passages, passage, example)``: the score, the worst passage and its nearest example."""
-    spark: SparkSession = documents.sparkSession
     source = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("source").cast("string"))
     blocks = materialise(spread(source).mapInArrow(_blocks(block_chars), _BLOCKS), "offence-blocks")
     listed = blocks.where("texts is not null").select(F.col("block").alias("owner"), F.posexplode("texts").alias("place", "passage"))
@@ -424,12 +412,12 @@ def score_documents(documents: DataFrame, labels: DataFrame, *, block_chars: int
     # bounded by MOST_JUDGED documents
     judged = blocks.where("texts is null").join(F.broadcast(_judged_share(labels)), F.col("id") == F.col("judged")).select("block", "id", "share", F.explode("places").alias("at"))
     said = judged.join(listed, (F.col("owner") == F.col("block")) & (F.col("at") == F.col("place"))).select("id", "share", "passage")
-    examples = learn(materialise(said, "offence-judged"), distinct)
+    examples = examples_of(materialise(said, "offence-judged"), distinct)
 
     scored = distinct.mapInArrow(_score(examples), "passage string, score double, example string").where("score > 0")
     back = listed.join(scored, "passage").select("owner", "place", "passage", "score", "example")
     kept = blocks.where("texts is null").select("block", "id", "source", "places")
-    done = kept.groupBy("block").cogroup(back.groupBy("owner")).applyInArrow(_collect, "id long, source string, score double, n_passages int, passage string, example string")
+    done = kept.groupBy("block").cogroup(back.groupBy("owner")).applyInArrow(_collect(examples.line), "id long, source string, score double, n_passages int, passage string, example string")
     return done.withColumnRenamed("id", "doc_id")
 
 

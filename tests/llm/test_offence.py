@@ -64,7 +64,8 @@ def test_scores(spark):
 def test_no_labels_and_no_documents(spark):
     documents, labels = corpus(spark)
     one = spark.createDataFrame([(1, "Go to hell, you moron.", "x", 1, 0.0, "t"), (2, "The claim was sent.", "x", 1, 0.0, "t")], DOCUMENTS)
-    assert [r["doc_id"] for r in offence.offensive_documents(one, labels.limit(0)).collect()] == [1]
+    # without a verdict there is no example, and no list stands in for it
+    assert {r["score"] for r in offence.score_documents(one, labels.limit(0)).collect()} == {0.0}
     assert offence.score_documents(documents.limit(0), labels).count() == 0
 
 
@@ -97,5 +98,15 @@ def test_passage_without_telling_word(spark):
     labels = [(i, "none", "t") for i in range(40)] + [(100, "abusive", "t"), (101, "abusive", "t")]
     rows = offence.score_documents(spark.createDataFrame(documents, DOCUMENTS), spark.createDataFrame(labels, LABELS)).collect()
     score = {r["doc_id"]: r["score"] for r in rows}
-    assert score[100] == score[200] == 1
+    assert score[100] > 0.8 and score[200] > 0.8
     assert score[201] < offence.DECISION and all(score[i] < offence.DECISION for i in range(40))
+
+
+def test_calibration():
+    rng = np.random.default_rng(5)
+    votes = rng.random(4_000)
+    slope, intercept = offence.calibrated(votes, (rng.random(4_000) < 1 / (1 + np.exp(-(6 * votes - 2)))).astype(float))
+    assert abs(slope - 6) < 0.8 and abs(intercept + 2) < 0.5
+    # without verdicts the prior decides: a vote over a half is offensive
+    slope, intercept = offence.calibrated(np.zeros(0), np.zeros(0))
+    assert slope > 0 and abs(slope / 2 + intercept) < 0.05
