@@ -109,4 +109,4 @@ def test_calibration():
     assert abs(slope - 6) < 0.8 and abs(intercept + 2) < 0.5
     # without verdicts the prior decides: a vote over a half is offensive
     slope, intercept = offence.calibrated(np.zeros(0), np.zeros(0))
-    assert slope > 0 and abs(slope / 2 + intercept) < 0.05
+    assert slope > 0 and abs(-intercept / slope - 0.5) < 0.05
