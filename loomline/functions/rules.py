@@ -20,7 +20,8 @@ INTENTS = {
 REFINEMENTS = ("make it shorter", "rephrase", "add example", "add an example")
 #: Which side a stream carries (fixed values).
 STREAMS = {"mic": "agent", "system": "customer"}
-ANSWER_FIELDS = ("answer", "response", "text", "content", "message", "output")
+#: Names under which an answer may come, in this order (fixed values).
+ANSWER_FIELDS = ("answer", "response", "result", "text", "message", "output")
 
 
 def intents_of(text: Column) -> Column:
@@ -56,15 +57,17 @@ def folder_parts(folder: Column, prefix: str = "kml-") -> Column:
     return F.struct(humanized(F.regexp_replace(own, "^-+|-+$", "")).alias("sub_category"), plan.alias("plan_no"), uin.alias("uin"))
 
 
+#: Patterns that tell kinds of documents, and what ends a line (fixed values).
 _BROCHURE = r"(?i)(?<![a-zA-Z0-9])(brochure|brouchure|leaflet)(?![a-zA-Z0-9])"
 _SHEET = r"(?i)(?<![a-zA-Z0-9])cis(?![a-zA-Z0-9])|customer\s*information\s*sheet"
 _POLICY = r"(?i)pol(?:icy)?[\s_]*doc(?:ument)?"
+LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
 def title_of(meta_title: Column, first_page: Column) -> Column:
     """The stored title unless it is a stand-in, else the first line of five characters or more, else empty."""
     own = strip(F.coalesce(meta_title, F.lit("")))
-    line = F.get(F.filter(F.transform(F.split(F.coalesce(first_page, F.lit("")), "\n"), strip), lambda x: F.length(x) >= 5), F.lit(0))
+    line = F.get(F.filter(F.transform(F.split(F.coalesce(first_page, F.lit("")), LINE_ENDS), strip), lambda x: F.length(x) >= 5), F.lit(0))
     return F.when((own != "") & ~F.lower(own).isin("untitled", "microsoft word"), own).otherwise(F.coalesce(line, F.lit("")))
 
 
@@ -89,9 +92,15 @@ def retry_delays(attempts: Column, base: float = 1.0) -> Column:
 
 def answer_text(body: Column) -> Column:
     """The first of the known fields that holds a string, else the whole body."""
-    fields = F.from_json(body, "map<string,string>")
-    quoted = [F.when(body.rlike(rf'"{f}"\s*:\s*"'), F.try_element_at(fields, F.lit(f))) for f in ANSWER_FIELDS]
-    return F.coalesce(*quoted, body)
+    parsed = F.try_parse_json(body)
+    field = lambda name: F.try_variant_get(parsed, f"$.{name}", "variant")
+    texts = [F.when(F.schema_of_variant(field(name)) == "STRING", F.try_variant_get(parsed, f"$.{name}", "string")) for name in ANSWER_FIELDS]
+    return F.coalesce(*texts, body)
+
+
+def age_hours(stamp: Column, now: Column) -> Column:
+    """Hours from an ISO text to ``now``; texts without a zone are UTC, as the session is. Null for what is no time."""
+    return (F.unix_micros(now) - F.unix_micros(F.try_to_timestamp(stamp))) / 3.6e9
 
 
 def recency(age_hours: Column) -> Column:

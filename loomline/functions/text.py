@@ -30,9 +30,9 @@ def word_count(c: ColumnOrName) -> Column:
 
 
 def first_words(c: ColumnOrName, n: int = 30) -> Column:
-    """At most ``n`` words, with `` ...`` where some are left out."""
+    """At most ``n`` words joined by single blanks, with `` ...`` where some are left out."""
     all_words = words(c)
-    return F.when(F.size(all_words) > n, F.concat(F.array_join(F.slice(all_words, 1, n), " "), F.lit(" ..."))).otherwise(_col(c))
+    return F.concat(F.array_join(F.slice(all_words, 1, n), " "), F.when(F.size(all_words) > n, " ...").otherwise(""))
 
 
 def one_line(c: ColumnOrName, n: int = 250) -> Column:
@@ -69,9 +69,11 @@ def last_space_before(c: ColumnOrName, n: int) -> Column:
 
 
 def event_payload(line: ColumnOrName) -> Column:
-    """The payload of a server-sent line: without ``data:``; null for empty lines and ``[DONE]``."""
-    body = strip(F.regexp_replace(strip(line), r"^data:", ""))
-    return F.when((body == "") | (body == "[DONE]"), None).otherwise(body)
+    """The payload of a server-sent chunk: without ``data:`` and the white space after it; other chunks stay as they are,
+    blanks included. Null for what is then empty, and for ``[DONE]``."""
+    chunk = _col(line)
+    body = F.when(chunk.startswith("data:"), F.regexp_replace(chunk, r"(?U)^data:\s*", "")).otherwise(chunk)
+    return F.when((body == "") | (strip(body) == "[DONE]"), None).otherwise(body)
 
 
 def setting(line: ColumnOrName) -> Column:

@@ -46,10 +46,10 @@ def pcm16_asymmetric(a: Column) -> Column:
 
 
 def resampled(a: Column, source: int, target: int) -> Column:
-    """Linear interpolation at ``target`` samples a second."""
-    n = F.greatest(F.lit(1), F.round(F.size(a) * target / F.lit(source)).cast("int"))
+    """Linear interpolation at ``target`` samples a second; a part of a sample at the end is cut off."""
+    n = F.floor(F.size(a) * F.lit(target) / F.lit(source)).cast("int")
     at = lambda i: F.when(n > 1, i * (F.size(a) - 1) / (n - 1)).otherwise(F.lit(0.0))
     low = lambda i: F.floor(at(i)).cast("int")
     high = lambda i: F.least(low(i) + 1, F.size(a) - 1)
     value = lambda i: F.get(a, low(i)) + (at(i) - low(i)) * (F.get(a, high(i)) - F.get(a, low(i)))
-    return F.when(F.size(a) > 0, F.transform(F.sequence(F.lit(0), n - 1), value)).otherwise(a.cast("array<double>"))
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), value)).otherwise(F.when(a.isNotNull(), F.array().cast("array<double>")))

@@ -8,8 +8,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomline.functions.rules import doc_type, folder_parts
+from loomline.functions.rules import doc_type, folder_parts, title_of
 from loomline.functions.text import strip
+from loomline.operators.ordering import number_within
 
 CHUNK, OVERLAP, PAGES = 1_000, 50, 3
 STRINGS = ("text", "source_file", "product_type", "category", "sub_category", "plan_no", "uin", "doc_type", "page_range", "processed_at")
@@ -50,17 +51,14 @@ def chunk_documents(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_chunked, "doc_id long, place int, text string")
 
 
+def next_index(stored: DataFrame, key: str = "chunk_index") -> int:
+    """One more than the largest stored id; 0 where nothing is stored."""
+    return int(stored.agg(F.coalesce(F.max(key) + 1, F.lit(0))).first()[0])
+
+
 def numbered(chunks: DataFrame, start: int = 0) -> DataFrame:
-    """Add ``chunk_index`` from ``start`` in the order of document and place, by the number of chunks before each document."""
-    sizes = chunks.groupBy("doc_id").agg(F.count("*").alias("n"))
-    # documents are counted in buckets of ids, so no window holds all of them
-    bucketed = sizes.withColumn("bucket", F.floor(F.col("doc_id") / 10_000))
-    inside = Window.partitionBy("bucket").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    totals = bucketed.groupBy("bucket").agg(F.sum("n").alias("total"))
-    across = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select("bucket", F.coalesce(F.sum("total").over(across), F.lit(0)).alias("base"))
-    firsts = bucketed.withColumn("own", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(bases, "bucket").select("doc_id", (F.col("own") + F.col("base") + start).alias("first"))
-    return chunks.join(firsts, "doc_id").withColumn("chunk_index", F.col("first") + F.col("place")).drop("first")
+    """Add ``chunk_index`` from ``start`` on, in the order of document and place."""
+    return number_within(chunks, [], ["doc_id", "place"], "_n").withColumn("chunk_index", F.col("_n") - 1 + start).drop("_n")
 
 
 def chunk_statistics(documents: DataFrame) -> DataFrame:
@@ -77,14 +75,22 @@ def mirror(chunks: DataFrame) -> DataFrame:
 
 
 def upserted(old: DataFrame, new: DataFrame, key: str = "chunk_index") -> DataFrame:
-    """``old`` with the rows of ``new`` in place of those with the same key."""
-    return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
+    """``old`` with the rows of ``new`` in place of those with the same key; of several new ones the last."""
+    last = F.row_number().over(Window.partitionBy(key).orderBy(F.col("_at").desc()))
+    kept = new.withColumn("_at", F.monotonically_increasing_id()).withColumn("_at", last).where("_at = 1").drop("_at")
+    return old.join(kept.select(key), key, "left_anti").unionByName(kept)
 
 
 def without_range(df: DataFrame, key: str, first: int, last: int) -> DataFrame:
     return df.where(~F.col(key).between(first, last))
 
 
+def deletion_counts(df: DataFrame, key: str, first: int, last: int) -> DataFrame:
+    """``(n_before, n_deleted, n_after)`` of a deletion, in one pass."""
+    hit = F.coalesce(F.col(key).between(first, last), F.lit(False)).cast("long")
+    return df.agg(F.count("*").alias("n_before"), F.coalesce(F.sum(hit), F.lit(0)).alias("n_deleted"), F.coalesce(F.sum(1 - hit), F.lit(0)).alias("n_after"))
+
+
 def folders(plan_folders: DataFrame) -> DataFrame:
     """What each folder's name tells."""
     return plan_folders.select("folder_id", folder_parts(F.col("source_folder")).alias("p")).select("folder_id", "p.sub_category", "p.plan_no", "p.uin")
@@ -95,7 +101,8 @@ def file_types(chunks: DataFrame) -> DataFrame:
     first = F.min(F.struct("batch_num", "chunk_index", F.coalesce("text", F.lit("")).alias("text"))).alias("f")
     name = F.regexp_replace(strip("source_file"), r"^(\./)+", "")
     files = chunks.where("source_file is not null").groupBy(name.alias("file")).agg(first, F.max("total_pages").alias("total_pages"), F.count("*").alias("n_chunks"), F.sum(F.length("text")).alias("n_characters"))
-    return files.select("file", doc_type(F.col("file"), F.lit(""), F.col("f.text")).alias("doc_type"), "total_pages", "n_chunks", "n_characters")
+    title = title_of(F.lit(None).cast("string"), F.col("f.text"))
+    return files.select("file", doc_type(F.col("file"), title, F.col("f.text")).alias("doc_type"), "total_pages", "n_chunks", "n_characters")
 
 
 def with_folder(chunks: DataFrame, plan_folders: DataFrame) -> DataFrame:
@@ -117,3 +124,59 @@ def paragraphs(documents: DataFrame) -> DataFrame:
     """Parts between blank lines, stripped, without empty ones."""
     parts = documents.select("doc_id", F.posexplode(F.split("text", r"\n\s*\n")).alias("place", "part"))
     return parts.select("doc_id", "place", strip("part").alias("paragraph")).where("paragraph <> ''")
+
+
+def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages of files in order; what is held is the rest of a chunk and one page."""
+    file, held, n, empty = None, "", 0, ("file", "place", "text")
+
+    def cut(last: bool) -> None:
+        nonlocal held, n
+        while len(held) >= CHUNK:
+            end = CHUNK
+            if end < len(held) and held[end] not in " \n" and (blank := held.rfind(" ", 0, end)) > OVERLAP:
+                end = blank
+            add(held[:end].strip())
+            held = held[max(0, end - OVERLAP) :]
+        if last:
+            add(held.strip())
+            held, n = "", 0
+
+    def add(piece: str) -> None:
+        nonlocal n
+        if piece:
+            out.append((file, n, piece))
+            n += 1
+
+    for batch in batches:
+        out: list[tuple] = []
+        for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if name != file:
+                cut(True)
+                file = name
+            held = f"{held}\n\n{text or ''}" if held else text or ""
+            cut(False)
+        yield pa.RecordBatch.from_pylist([dict(zip(empty, r, strict=True)) for r in out], schema=_PIECES)
+    out = []
+    cut(True)
+    yield pa.RecordBatch.from_pylist([dict(zip(empty, r, strict=True)) for r in out], schema=_PIECES)
+
+
+_PIECES = pa.schema([("file", pa.string()), ("place", pa.int32()), ("text", pa.string())])
+
+
+def chunk_pages(pages: DataFrame) -> DataFrame:
+    """``(file, place, text)`` of pages ``(file, page, text)``: chunks that run on over the pages of a file.
+
+    Where a chunk ends depends on all pages before it, so a file's pages are read in order by one task without being held.
+    """
+    ordered = pages.where("file is not null").repartition("file").sortWithinPartitions("file", "page").select("file", "text")
+    return ordered.mapInArrow(_streamed, "file string, place int, text string")
+
+
+def run_totals(chunks: DataFrame) -> DataFrame:
+    """One row for each file ``(filename, total_pages, total_chars, num_chunks)`` and one with a null name for all of them."""
+    name = F.regexp_replace(strip("source_file"), r"^(\./)+", "")
+    by_file = chunks.where("source_file is not null").groupBy(name.alias("filename")).agg(F.max("total_pages").cast("long").alias("total_pages"), F.sum(F.length("text")).alias("total_chars"), F.count("*").alias("num_chunks"))
+    sums = by_file.agg(F.lit(None).cast("string").alias("filename"), *[F.sum(c).alias(c) for c in ("total_pages", "total_chars", "num_chunks")])
+    return by_file.unionByName(sums)

@@ -34,7 +34,7 @@ def _fires(candidates: DataFrame) -> DataFrame:
     return cut.groupBy("session_id", "island").agg(fold.alias("fired")).select("session_id", F.explode("fired").alias("f")).select("session_id", "f.at", "f.id")
 
 
-def decide(turns: DataFrame, second: Callable[[Column], Column] | None = None) -> DataFrame:
+def decide(turns: DataFrame, second: Callable[[Column], Column] | None = None, confident: float = CONFIDENT) -> DataFrame:
     """``(id, session_id, at, action, reason, intents)`` for every turn with a time. Event time is the clock.
 
     ``second`` gives ``(intent, confidence)`` of a text, and is asked only where no pattern matched.
@@ -47,7 +47,7 @@ def decide(turns: DataFrame, second: Callable[[Column], Column] | None = None) -
     rows = rows.withColumn("intents", F.when(open_, intents_of(F.col("text"))).otherwise(F.expr("cast(array() as array<string>)")))
     if second is not None:
         asked = second(F.when(open_ & (F.size("intents") == 0), F.col("text")))
-        sure = open_ & (F.size("intents") == 0) & F.coalesce(F.col("m.confidence") >= CONFIDENT, F.lit(False))
+        sure = open_ & (F.size("intents") == 0) & F.coalesce(F.col("m.confidence") >= confident, F.lit(False))
         rows = rows.withColumn("m", asked).withColumn("by_phrase", F.when(sure, F.col("m.intent"))).drop("m")
     else:
         rows = rows.withColumn("by_phrase", F.lit(None).cast("string"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomline.functions.text import strip, tagged, token_estimate
+from loomline.operators.ordering import number_within
 from loomline.operators.segments import latest
 
 RECENT, CAP, EVICTED, END_LIMIT = 5, 20, 5, 35
@@ -34,36 +35,73 @@ def evictions(turns: DataFrame) -> DataFrame:
     return counted.withColumn("n_summarised_at_end", F.least("n_live", F.lit(END_LIMIT).cast("long")))
 
 
-def session_end(turns: DataFrame, limit: int = END_LIMIT) -> DataFrame:
-    """The lines that a session's closing summary is made from: its first ``limit`` turns."""
-    rows = latest(turns.where("session_id is not null"), ["session_id"], ["created_at", "id"], limit, newest=False)
+def _lines(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``[speaker]: text`` of the rows of each key by ``rank``, as one text."""
     line = F.concat(F.lit("["), F.coalesce("speaker", F.lit("")), F.lit("]: "), F.coalesce("text", F.lit("")))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda x: x["line"]), "\n---\n")
-    return rows.groupBy("session_id").agg(F.count("*").alias("n_turns"), joined.alias("lines"))
+    return rows.groupBy(*keys).agg(F.count("*").alias("n_turns"), joined.alias("lines"))
+
+
+def live_turns(turns: DataFrame) -> DataFrame:
+    """The turns that evictions leave in each session's history, with ``rank`` 1, 2, ... from the oldest.
+
+    At most ``CAP`` are left and they are the newest, so each session is cut to that before the shuffle.
+    """
+    newest = latest(turns.where("session_id is not null"), ["session_id"], ["created_at", "id"], CAP, newest=True)
+    kept = newest.join(evictions(turns).select("session_id", "n_live"), "session_id").where(F.col("rank") <= F.col("n_live"))
+    return kept.withColumn("rank", F.col("n_live") - F.col("rank") + 1).drop("n_live")
+
+
+def evicted_turns(turns: DataFrame) -> DataFrame:
+    """``(session_id, eviction_no, n_turns, lines)``: what each eviction takes out, oldest first, as its summary's input."""
+    rows = turns.where("session_id is not null").select("session_id", "created_at", "id", "speaker", "text")
+    ranked = number_within(rows, ["session_id"], ["created_at", "id"], "rank").withColumn("eviction_no", F.floor((F.col("rank") - 1) / EVICTED) + 1)
+    due = evictions(turns).where("n_evictions > 0").select("session_id", "n_evictions")
+    return _lines(ranked.join(due, "session_id").where("eviction_no <= n_evictions"), ["session_id", "eviction_no"])
+
+
+def session_end(turns: DataFrame, limit: int = END_LIMIT) -> DataFrame:
+    """The lines that a session's closing summary is made from: the first ``limit`` turns that evictions have left."""
+    return _lines(live_turns(turns).where(F.col("rank") <= limit), ["session_id"])
+
+
+def add_turn(state: dict, key: int, n_tokens: int) -> tuple | None:
+    """One turn more: ``(epoch, turn, covered, merged, summaries, last covered turn)`` if the budget is exceeded by it."""
+    state["held"].append((n_tokens, key))
+    state["tokens"] += n_tokens
+    if state["tokens"] + SUMMARY_TOKENS * len(state["summaries"]) <= BUDGET:
+        return None
+    taken, state["held"] = state["held"][:TURNS_PER_EPOCH], state["held"][TURNS_PER_EPOCH:]
+    state["tokens"] -= sum(n for n, _ in taken)
+    summaries, merged = [*state["summaries"], len(taken)], 0
+    if len(summaries) > MOST_SUMMARIES:
+        merged = sum(summaries[:MERGED])
+        summaries = [merged, *summaries[MERGED:]]
+    state["summaries"] = summaries
+    state["epoch"] += 1
+    return state["epoch"] - 1, key, len(taken), merged, len(summaries), taken[-1][1]
+
+
+def fresh() -> dict:
+    return {"held": [], "tokens": 0, "summaries": [], "epoch": 0}
+
+
+EPOCHS = ("epoch_index", "last_id", "covers_turn_count", "merged_turn_count", "n_summaries", "last_covered_id")
+EPOCH_TYPES = "session_id string, epoch_index int, last_id long, covers_turn_count int, merged_turn_count int, n_summaries int, last_covered_id long"
 
 
 def _compact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One pass over turns in order; the state of a session is four numbers, so a session of any length streams through."""
-    session, tokens, held, summaries, covered, epoch = None, 0, 0, [], 0, 0
+    """One pass over turns in order; a session's state is what its budget holds, so a session of any length streams through."""
+    session, state = None, fresh()
     for batch in batches:
         out = []
-        for row in batch.itertuples(index=False):
-            if row.session_id != session:
-                session, tokens, held, summaries, epoch = row.session_id, [], 0, [], 0
-            tokens.append(row.tokens)
-            held += row.tokens
-            if held + SUMMARY_TOKENS * len(summaries) > BUDGET:
-                taken = tokens[:TURNS_PER_EPOCH]
-                tokens = tokens[TURNS_PER_EPOCH:]
-                held -= sum(taken)
-                summaries.append(len(taken))
-                merged = 0
-                if len(summaries) > MOST_SUMMARIES:
-                    merged = sum(summaries[:MERGED])
-                    summaries = [merged, *summaries[MERGED:]]
-                out.append((session, epoch, row.id, len(taken), merged, len(summaries)))
-                epoch += 1
-        yield pd.DataFrame(out, columns=["session_id", "epoch_index", "last_id", "covers_turn_count", "merged_turn_count", "n_summaries"])
+        for own, key, n_tokens in zip(batch["session_id"], batch["id"].tolist(), batch["tokens"].tolist(), strict=True):
+            if own != session:
+                session, state = own, fresh()
+            made = add_turn(state, key, n_tokens)
+            if made:
+                out.append((session, *made))
+        yield pd.DataFrame(out, columns=["session_id", *EPOCHS])
 
 
 def compactions(turns: DataFrame) -> DataFrame:
@@ -74,7 +112,14 @@ def compactions(turns: DataFrame) -> DataFrame:
     """
     rows = turns.where("session_id is not null").select("session_id", "created_at", "id", token_estimate("text").alias("tokens"))
     ordered = rows.repartition("session_id").sortWithinPartitions("session_id", "created_at", "id").select("session_id", "id", "tokens")
-    return ordered.mapInPandas(_compact, "session_id string, epoch_index int, last_id long, covers_turn_count int, merged_turn_count int, n_summaries int")
+    return ordered.mapInPandas(_compact, EPOCH_TYPES)
+
+
+def held_turns(turns: DataFrame) -> DataFrame:
+    """The turns that compaction has left in each session's window: those after the last one an epoch covers."""
+    covered = compactions(turns).groupBy("session_id").agg(F.max_by("last_covered_id", "epoch_index").alias("id"))
+    ends = turns.select("session_id", "id", F.struct("created_at", "id").alias("_end")).join(covered, ["session_id", "id"]).select("session_id", "_end")
+    return turns.where("session_id is not null").join(ends, "session_id", "left").where(F.col("_end").isNull() | (F.struct("created_at", "id") > F.col("_end"))).drop("_end")
 
 
 def session_tokens(turns: DataFrame, summaries: DataFrame) -> DataFrame:
@@ -86,13 +131,11 @@ def session_tokens(turns: DataFrame, summaries: DataFrame) -> DataFrame:
     return joined.select("session_id", zero("turn_tokens"), zero("summary_tokens"), zero("covered_turns"), zero("next_epoch"), (zero("turn_tokens") + zero("summary_tokens") > BUDGET).alias("over_budget"))
 
 
-def formatted_context(turns: DataFrame, summaries: DataFrame, n: int = RECENT) -> DataFrame:
-    """The last ``MOST_SUMMARIES`` live summaries by epoch, then the last ``n`` usable turns, as one text for each session."""
-    kept = latest(summaries.where("not superseded"), ["session_id"], ["epoch_index", "id"], MOST_SUMMARIES, newest=True)
-    live = kept.select("session_id", F.lit(0).alias("part"), F.col("epoch_index").cast("long").alias("place"), "id", F.concat(F.lit("[SESSION HISTORY]: "), "summary_text").alias("line"))
+def formatted_context(turns: DataFrame, summaries: DataFrame) -> DataFrame:
+    """All live summaries by epoch, then the usable turns that compaction has left, as one text for each session."""
+    live = summaries.where("not superseded").select("session_id", F.lit(0).alias("part"), F.col("epoch_index").cast("long").alias("place"), "id", F.concat(F.lit("[SESSION HISTORY]: "), "summary_text").alias("line"))
     usable = turns.where("is_final and session_id is not null and speaker is not null and text is not null")
-    last = latest(usable, ["session_id"], ["created_at", "id"], n, newest=True)
-    said = last.select("session_id", F.lit(1).alias("part"), (-F.col("rank")).cast("long").alias("place"), "id", tagged("speaker", strip("text"), "is_important").alias("line"))
+    said = held_turns(usable).select("session_id", F.lit(1).alias("part"), F.unix_micros("created_at").alias("place"), "id", tagged("speaker", strip("text"), "is_important").alias("line"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "place", "id", "line"))), lambda x: x["line"]), "\n")
     return live.unionByName(said).groupBy("session_id").agg(F.count("*").alias("n_lines"), joined.alias("context"))
 

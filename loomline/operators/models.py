@@ -1,7 +1,7 @@
 """Where models come in: embedding, summarising and answering. Each takes its model as a function and has an offline stand-in.
 
-The stand-in for embedding hashes words and letter triples into a fixed number of places; that for a language model keeps the
-first sentences. They are deterministic, so what is computed around a model can be tested.
+The stand-ins for embedding count letters, or hash words and letter triples into a fixed number of places; that for a language
+model keeps the first sentences. They are deterministic, so what is computed around a model can be tested.
 """
 
 from __future__ import annotations
@@ -12,14 +12,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomline.functions.rules import INTENTS
-from loomline.functions.text import scored_line, strip, word_count
-from loomline.operators.retrieval import ASKED_EVERY, nearest
-from loomline.operators.segments import finals, latest
+from loomline.functions.rules import INTENTS, final_score
+from loomline.functions.text import prompt, scored_line, strip, word_count
+from loomline.operators.memory import TURNS_PER_EPOCH, compactions, recent_turns, session_end
+from loomline.operators.ordering import number_within
+from loomline.operators.retrieval import ASKED_EVERY, contexts, nearest
+from loomline.operators.segments import finals
 from loomline.session import materialise, spread
 
 DIMENSIONS, CONFIDENT = 64, 0.5
@@ -33,10 +35,17 @@ PHRASES = {
     "buying_signal": ["how do I sign up", "what documents are needed", "send me the payment link"],
 }
 
-Embedder = Callable[[list[str]], np.ndarray]
+#: A vector for a text column. ``by_function(f)`` makes one of a model that takes a list of texts.
+Embedder = Callable[[Column], Column]
 Writer = Callable[[str], str]
 
 
+def letter_counts(text: Column) -> Column:
+    """The stand-in for an embedding model, inside the JVM: how often each of the 26 letters occurs."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return F.array(*[(F.length(low) - F.length(F.replace(low, F.lit(chr(c))))).cast("double") for c in range(97, 123)])
+
+
 def hashed(texts: list[str]) -> np.ndarray:
     """Vectors of unit length; 0 for texts without words."""
     out = np.zeros((len(texts), DIMENSIONS))
@@ -54,38 +63,44 @@ def first_sentences(prompt: str, limit: int = 300) -> str:
     return re.sub(r"\s+", " ", prompt or "").strip()[:limit]
 
 
-def embedded(text: Column, embedder: Embedder = hashed) -> Column:
-    """A vector for each text; the model is made once a worker."""
+def by_function(model: Callable[[list[str]], np.ndarray] = hashed) -> Embedder:
+    """An embedder of a model that takes texts in batches; the model is made once a worker."""
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series(list(embedder(batch.fillna("").tolist())))
+            yield pd.Series(list(model(batch.fillna("").tolist())))
 
-    return run(text)
+    return run
 
 
-def second_tier(text: Column, embedder: Embedder = hashed) -> Column:
+def second_tier(text: Column, embedder: Embedder = letter_counts) -> Column:
     """``(intent, confidence)``: the intent with the phrase nearest by cosine; null if none is over 0. The first wins ties."""
-    names, phrases = list(PHRASES), [p for own in PHRASES.values() for p in own]
+    names, phrases = list(PHRASES), [(i, p) for i, p in enumerate(p for own in PHRASES.values() for p in own)]
+    rows = SparkSession.active().createDataFrame(phrases, "i int, p string").select("i", embedder(F.col("p")).alias("v")).orderBy("i").collect()
+    known = _unit(np.array([r["v"] for r in rows], float))
 
     @F.pandas_udf(T.StructType([T.StructField("intent", T.StringType()), T.StructField("confidence", T.DoubleType())]))
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        known = embedder(phrases)
-        for batch in batches:
-            scores = (embedder(batch.fillna("").tolist()) @ known.T).reshape(len(batch), len(names), -1).max(2).round(9)
-            best = scores.argmax(1)
-            top = scores[np.arange(len(batch)), best]
-            yield pd.DataFrame({"intent": [names[b] if t > 0 else None for b, t in zip(best, top, strict=True)], "confidence": np.where(top > 0, top, np.nan)})
+    def run(batch: pd.Series) -> pd.DataFrame:
+        own = _unit(np.array([np.zeros(known.shape[1]) if v is None else v for v in batch], float).reshape(len(batch), -1))
+        scores = (own @ known.T).reshape(len(batch), len(names), -1).max(2).round(9)
+        best = scores.argmax(1)
+        top = scores[np.arange(len(batch)), best]
+        return pd.DataFrame({"intent": [names[b] if t > 0 else None for b, t in zip(best, top, strict=True)], "confidence": np.where(top > 0, top, np.nan)})
+
+    return run(embedder(text))
 
-    return run(text)
 
+def _unit(matrix: np.ndarray) -> np.ndarray:
+    size = np.linalg.norm(matrix, axis=1, keepdims=True)
+    return np.divide(matrix, size, out=np.zeros_like(matrix), where=size > 0)
 
-def intents_by_embedding(turns: DataFrame, embedder: Embedder = hashed) -> DataFrame:
-    """The second tier of every final turn with text, with what the intent's row says."""
+
+def intents_by_embedding(turns: DataFrame, embedder: Embedder = letter_counts, confident: float = CONFIDENT) -> DataFrame:
+    """The second tier of every final turn with text, with what the intent's row says: its collections, tone and priority."""
     rows = spread(finals(turns).select("id", "text")).select("id", second_tier(F.col("text"), embedder).alias("m"))
-    priority = F.coalesce(*[F.when(F.col("m.intent") == name, F.lit(own[2])) for name, own in INTENTS.items()])
-    return rows.where("m.intent is not null").select("id", "m.intent", F.round("m.confidence", 6).alias("confidence"), priority.alias("priority"), (F.col("m.confidence") >= CONFIDENT).alias("confident"))
+    named = lambda i: F.coalesce(*[F.when(F.col("m.intent") == name, F.lit(", ".join(own[i]) if i == 0 else own[i])) for name, own in INTENTS.items()])
+    return rows.where("m.intent is not null").select("id", "m.intent", F.round("m.confidence", 6).alias("confidence"), named(0).alias("collections"), named(1).alias("tone"), named(2).alias("priority"), (F.col("m.confidence") >= confident).alias("confident"))
 
 
 def written(prompt: Column, writer: Writer = first_sentences) -> Column:
@@ -98,15 +113,27 @@ def written(prompt: Column, writer: Writer = first_sentences) -> Column:
     return run(prompt)
 
 
-def session_summaries(turns: DataFrame, limit: int = 35, characters: int = 4_000, writer: Writer = first_sentences) -> DataFrame:
-    """A summary of the first ``limit`` turns of each session, from at most ``characters`` of them."""
-    rows = latest(turns.where("session_id is not null and text is not null"), ["session_id"], ["created_at", "id"], limit, newest=False)
-    line = F.concat(F.lit("["), F.coalesce("speaker", F.lit("")), F.lit("]: "), "text")
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda x: x["line"]), "\n---\n")
-    prompts = rows.groupBy("session_id").agg(F.count("*").alias("chunk_count"), F.substring(joined, 1, characters).alias("prompt"))
+def session_summaries(turns: DataFrame, characters: int = 4_000, writer: Writer = first_sentences) -> DataFrame:
+    """A summary of what evictions have left of each session, from at most ``characters`` of its lines."""
+    prompts = session_end(turns).select("session_id", F.col("n_turns").alias("chunk_count"), F.substring("lines", 1, characters).alias("prompt"))
     return prompts.select("session_id", "chunk_count", F.length("prompt").alias("prompt_length"), written(F.col("prompt"), writer).alias("summary"))
 
 
+def epoch_texts(turns: DataFrame, writer: Writer = first_sentences) -> DataFrame:
+    """The summary text of each epoch of compaction, written from the lines of the turns it covers."""
+    epochs = compactions(turns).select("session_id", "epoch_index", "covers_turn_count")
+    upto = Window.partitionBy("session_id").orderBy("epoch_index").rowsBetween(Window.unboundedPreceding, 0)
+    spans = epochs.withColumn("last", F.sum("covers_turn_count").over(upto)).select("session_id", "epoch_index", (F.col("last") - F.col("covers_turn_count") + 1).alias("first"), "last")
+    ranked = number_within(turns.where("session_id is not null").select("session_id", "created_at", "id", "speaker", "text"), ["session_id"], ["created_at", "id"], "n")
+    # an epoch covers at most TURNS_PER_EPOCH turns, so turns and epochs meet in tiles of that many
+    tile = lambda c: F.floor((F.col(c) - 1) / TURNS_PER_EPOCH)
+    wide = spans.withColumn("tile", F.explode(F.sequence(tile("first"), tile("last"))))
+    met = ranked.withColumn("tile", tile("n")).join(wide, ["session_id", "tile"]).where(F.col("n").between(F.col("first"), F.col("last")))
+    line = F.concat(F.lit("["), F.upper(F.coalesce("speaker", F.lit(""))), F.lit("]: "), F.coalesce("text", F.lit("")))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", line.alias("line")))), lambda x: x["line"]), "\n")
+    return met.groupBy("session_id", "epoch_index").agg(F.count("*").alias("n_turns"), joined.alias("prompt")).select("session_id", "epoch_index", "n_turns", written(F.col("prompt"), writer).alias("summary_text"))
+
+
 def enriched(chunks: DataFrame, every: int = 3, writer: Writer = first_sentences) -> DataFrame:
     """A summary and key points of every third chunk, from its first 1,500 and 1,000 characters."""
     chosen = F.pmod("chunk_index", F.lit(every)) == 0
@@ -114,22 +141,85 @@ def enriched(chunks: DataFrame, every: int = 3, writer: Writer = first_sentences
     return chunks.select("chunk_index", written(part(1_500), writer).alias("summary"), written(part(1_000), writer).alias("key_info"))
 
 
-def evaluation(turns: DataFrame, chunks: DataFrame, k: int = 4, shown: int = 3, embedder: Embedder = hashed) -> DataFrame:
-    """Questions with what is found for them, raw and as text: of their own session's turns, and of all chunks.
+HISTORY_K, SUMMARY_K, DOCUMENTS_K, SHOWN, SNIPPET = 4, 4, 10, 3, 300
+
+
+def asked_turns(turns: DataFrame) -> DataFrame:
+    """The questions: customers' final turns with words whose id is divisible by ``ASKED_EVERY``."""
+    return finals(turns).where((F.col("id") % ASKED_EVERY == 0) & (F.col("speaker") == "customer") & F.col("session_id").isNotNull() & (word_count("text") > 0))
+
+
+def _listed(rows: DataFrame, place: str, line: Column, name: str) -> DataFrame:
+    own = F.array_sort(F.collect_list(F.struct(F.col(place).alias("p"), line.alias("line"))))
+    return rows.groupBy("query_id").agg(F.array_join(F.transform(own, lambda x: x["line"]), "\n").alias(name))
+
+
+def found_for(turns: DataFrame, summaries: DataFrame, chunks: DataFrame, now: Column, embedder: Embedder = letter_counts) -> dict[str, DataFrame]:
+    """What is found for each question: ``questions``, ``recent`` turns of its session, and hits of its session's ``history``
+    and ``summaries``, both also reranked by their age at ``now``, and of all ``documents``, which have no age."""
+    said = finals(turns).where("session_id is not null").select(F.col("id").alias("vec_id"), "session_id", F.col("created_at").alias("at"), strip("text").alias("text"))
+    history = materialise(spread(said).withColumn("embedding", embedder(F.col("text"))), "history")
+    asked = history.join(asked_turns(turns).select(F.col("id").alias("vec_id")), "vec_id", "left_semi")
+    past = summaries.where("summary_text is not null and session_id is not null").select(F.col("id").alias("vec_id"), "session_id", F.col("created_at").alias("at"), F.col("summary_text").alias("text"))
+    pages = chunks.where("text is not null").select(F.col("chunk_index").cast("long").alias("vec_id"), F.lit(None).cast("timestamp").alias("at"), "text")
+    past, pages = (materialise(spread(x).withColumn("embedding", embedder(F.col("text"))), "embedded") for x in (past, pages))
+
+    def hits(rows: DataFrame, k: int, within: str | None) -> DataFrame:
+        found = nearest(rows, asked, k, within=within).join(rows.select("vec_id", "text", "at"), "vec_id")
+        final = final_score(F.col("score"), (F.unix_micros(now) - F.unix_micros("at")) / 3.6e9)
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("final", 9).desc(), "rank"))
+        return materialise(found.withColumn("final", final).withColumn("final_rank", place), "hits")
 
-    Questions are the customers' final turns whose id is divisible by ``ASKED_EVERY``.
-    """
-    said = finals(turns).where("session_id is not null").select(F.col("id").alias("vec_id"), "session_id", "speaker", strip("text").alias("text"))
-    history = materialise(spread(said).withColumn("embedding", embedded(F.col("text"), embedder)), "history")
-    asked = history.where((F.col("vec_id") % ASKED_EVERY == 0) & (F.col("speaker") == "customer") & (word_count("text") > 0))
-    pages = chunks.where("text is not null").select(F.col("chunk_index").alias("vec_id"), "text")
-    documents = materialise(spread(pages).withColumn("embedding", embedded(F.col("text"), embedder)), "pages")
-    lines = []
-    for name, rows, found in (("history", history, nearest(history, asked, k, within="session_id")), ("documents", documents, nearest(documents, asked, k))):
-        top = found.where(F.col("rank") <= shown).join(rows.select("vec_id", "text"), "vec_id")
-        own = F.array_sort(F.collect_list(F.struct("rank", scored_line("score", "text").alias("line"))))
-        lines.append(top.groupBy("query_id").agg(F.array_join(F.transform(own, lambda x: x["line"]), "\n").alias(name)))
     questions = asked.select(F.col("vec_id").alias("query_id"), "session_id", F.col("text").alias("question"))
-    for own in lines:
-        questions = questions.join(own, "query_id", "left")
-    return questions
+    line = F.concat(F.lit("["), F.coalesce("speaker", F.lit("")), F.lit("]: "), F.coalesce("text", F.lit("")))
+    recent = recent_turns(turns).select("session_id", "place", line.alias("line")).join(questions.select("query_id", "session_id"), "session_id")
+    return {"questions": questions, "recent": recent, "history": hits(history, HISTORY_K, "session_id"), "summaries": hits(past, SUMMARY_K, "session_id"), "documents": hits(pages, DOCUMENTS_K, None)}
+
+
+def context_of(found: dict[str, DataFrame]) -> DataFrame:
+    """``(query_id, context, n_lines)``: recent turns, and the ``SHOWN`` best of history, summaries and documents."""
+    best = lambda name, place, n=None: found[name].where(F.col(place) <= SHOWN).select("query_id", F.col(place).alias("place"), (F.substring("text", 1, n) if n else F.col("text")).alias("line"))
+    return contexts(
+        [
+            ("Last conversation turns (chronological)", "", found["recent"].select("query_id", "place", "line")),
+            ("Semantically relevant history", "• ", best("history", "final_rank")),
+            ("Past session summaries", "• ", best("summaries", "final_rank")),
+            ("Insurance document knowledge", "• ", best("documents", "rank", SNIPPET)),
+        ],
+        "query_id",
+    )
+
+
+def context_usage(found: dict[str, DataFrame]) -> DataFrame:
+    """How many of what was found for each question goes into its context, by section and in all."""
+    used = None
+    for name in ("recent", "history", "summaries", "documents"):
+        n = F.count("*") if name == "recent" else F.least(F.count("*"), F.lit(SHOWN).cast("long"))
+        own = found[name].groupBy("query_id").agg(n.alias(name))
+        used = found["questions"].select("query_id").join(own, "query_id", "left") if used is None else used.join(own, "query_id", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    names = ("recent", "history", "summaries", "documents")
+    return used.select("query_id", *[zero(n).alias(n) for n in names], sum((zero(n) for n in names[1:]), zero(names[0])).alias("total"))
+
+
+def evaluation(turns: DataFrame, summaries: DataFrame, chunks: DataFrame, now: Column, embedder: Embedder = letter_counts, writer: Writer = first_sentences) -> DataFrame:
+    """Every question with what is found for it, raw and reranked, both contexts, and the answers to them.
+
+    One context has the documents only, all that were found; the other is that of ``context_of``.
+    """
+    found = found_for(turns, summaries, chunks, now, embedder)
+    rows = found["questions"].select(F.col("query_id").alias("id"), F.col("session_id").alias("product_type"), F.col("question").alias("query"), "query_id")
+    parts = [_listed(found["recent"], "place", F.col("line"), "runtime_history_recent")]
+    for name, column in (("history", "history_retrieval"), ("summaries", "summary_retrieval")):
+        parts.append(_listed(found[name], "rank", scored_line("score", "text"), column))
+        parts.append(_listed(found[name], "final_rank", scored_line("final", "text"), f"{column}_rerank"))
+    parts.append(_listed(found["documents"], "rank", scored_line("score", "text"), "docs_retrieval"))
+    only = found["documents"].select("query_id", F.col("rank").alias("place"), F.substring("text", 1, SNIPPET).alias("line"))
+    parts.append(contexts([("Insurance document knowledge", "• ", only)], "query_id").select("query_id", F.col("context").alias("context_docs_only")))
+    parts.append(context_of(found).select("query_id", F.col("context").alias("context_all")))
+    for part in parts:
+        rows = rows.join(part, "query_id", "left")
+    texts = [c for c in rows.columns if c not in ("id", "product_type", "query", "query_id")]
+    rows = rows.select("id", "product_type", "query", *[F.coalesce(c, F.lit("")).alias(c) for c in texts])
+    answer = lambda c: written(prompt(c, "query"), writer)
+    return rows.withColumn("final_answer_docs_only", answer("context_docs_only")).withColumn("final_answer_all", answer("context_all"))

@@ -11,71 +11,100 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomline.functions.rules import final_score
+from loomline.session import materialise
 
-#: Queries that are sent to every task; more are joined block by block.
+#: Values of queries that are sent to every task; more meet the rows in blocks.
 MOST_BROADCAST_VALUES = 4_000_000
-#: Values of queries, and rows, that meet in one group where queries are not broadcast.
-QUERY_VALUES, GROUP_ROWS = 32_768, 20_000
+#: Queries and rows that meet in one group where queries are not broadcast.
+GROUP_QUERIES, GROUP_ROWS = 4_096, 50_000
 ASKED_EVERY = 50
 
+_NEAR = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+_SHAPE = "query_id long, vec_id long, score double"
+
 
-def _unit(rows: list) -> np.ndarray:
-    matrix = np.asarray(rows, np.float64)
+def _unit(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Vectors of unit length; 0 where a norm is 0."""
+    if isinstance(vectors, pa.ChunkedArray):
+        vectors = vectors.combine_chunks()
+        vectors = pa.concat_arrays(vectors.chunks) if isinstance(vectors, pa.ChunkedArray) else vectors
+    matrix = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
     size = np.linalg.norm(matrix, axis=1, keepdims=True)
     return np.divide(matrix, size, out=np.zeros_like(matrix), where=size > 0)
 
 
-_NEAR = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
-
-
-def _best(ids: np.ndarray, own: np.ndarray, asked: np.ndarray, query_ids: np.ndarray, k: int, same: np.ndarray | None) -> pa.RecordBatch:
-    """The best ``k`` rows of this batch for each query; ties by the smaller id."""
+def _best(ids: np.ndarray, own: np.ndarray, query_ids: np.ndarray, asked: np.ndarray, k: int) -> pa.RecordBatch:
+    """The best ``k`` of these rows for each query; ties by the smaller id."""
     scores = asked @ own.T
-    if same is not None:
-        scores = np.where(same, scores, -np.inf)
-    order = np.lexsort((np.broadcast_to(ids, scores.shape), -np.round(scores, 9)), axis=1)[:, :k]
-    kept = np.take_along_axis(scores, order, 1)
-    at = np.isfinite(kept)
-    return pa.RecordBatch.from_arrays([pa.array(np.repeat(query_ids, at.sum(1))), pa.array(ids[order[at]]), pa.array(kept[at])], schema=_NEAR)
+    near = np.round(scores, 9)
+    if len(ids) > k:
+        # all rows as good as the k-th, so that ties are decided by id
+        q, r = np.nonzero(near >= np.partition(near, len(ids) - k, axis=1)[:, len(ids) - k, None])
+    else:
+        q, r = (x.ravel() for x in np.indices(scores.shape))
+    order = np.lexsort((ids[r], -near[q, r], q))
+    q, r = q[order], r[order]
+    place = np.arange(len(q)) - np.searchsorted(q, q, "left")
+    q, r = q[place < k], r[place < k]
+    return pa.RecordBatch.from_arrays([pa.array(query_ids[q]), pa.array(ids[r]), pa.array(scores[q, r])], schema=_NEAR)
+
+
+def _to_all(rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """Queries of a checked size, sent to every task; each batch sends on only its best ``k`` for each."""
+    held = asked.select("query_id", "query").toArrow()
+    packed = pickle.dumps((held.column(0).to_numpy(), _unit(held.column(1)))) if held.num_rows else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if packed is None:
+            return
+        query_ids, matrix = pickle.loads(packed)
+        for batch in batches:
+            if batch.num_rows:
+                yield _best(batch.column(0).to_numpy(), _unit(batch.column(1)), query_ids, matrix, k)
+
+    return rows.select("vec_id", "embedding").mapInArrow(run, _SHAPE)
+
+
+def _in_blocks(rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """Queries meet the rows with their key, and no others. A large key is cut into blocks of queries and parts of rows; small keys share a group."""
+    sizes = asked.groupBy("key").agg(F.count("*").alias("nq")).join(rows.groupBy("key").agg(F.count("*").alias("nr")), "key")
+    cut = sizes.select("key", F.ceil(F.col("nq") / GROUP_QUERIES).cast("int").alias("blocks"), F.ceil(F.col("nr") / GROUP_ROWS).cast("int").alias("parts"), "nr")
+    cut = materialise(cut.withColumn("small", (F.col("blocks") == 1) & (F.col("parts") == 1)), "keys")
+    together = int(cut.where("small").agg(F.coalesce(F.sum("nr"), F.lit(0))).first()[0]) // GROUP_ROWS + rows.sparkSession.sparkContext.defaultParallelism
+    cell = F.when(F.col("small"), F.concat(F.lit("s"), F.pmod(F.xxhash64("key"), F.lit(together)).cast("string"))).otherwise(F.concat(F.lit("k"), "key"))
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    left = rows.join(cut, "key").withColumn("part", own("vec_id", "parts")).withColumn("block", upto("blocks")).select(cell.alias("cell"), "block", "part", "key", "vec_id", "embedding")
+    right = asked.join(cut, "key").withColumn("block", own("query_id", "blocks")).withColumn("part", upto("parts")).select(cell.alias("cell"), "block", "part", "key", "query_id", "query")
+
+    def meet(rows_: pa.Table, asked_: pa.Table) -> pa.Table:
+        if not rows_.num_rows or not asked_.num_rows:
+            return pa.Table.from_batches([], schema=_NEAR)
+        rows_, asked_ = rows_.sort_by("key"), asked_.sort_by("key")
+        keys, names = rows_.column("key").to_numpy(), asked_.column("key").to_numpy()
+        ids, query_ids, matrix, queries = rows_.column("vec_id").to_numpy(), asked_.column("query_id").to_numpy(), _unit(rows_.column("embedding")), _unit(asked_.column("query"))
+        found = []
+        for name in dict.fromkeys(names.tolist()):
+            r = slice(*np.searchsorted(keys, name, "left").reshape(1), *np.searchsorted(keys, name, "right").reshape(1))
+            q = slice(*np.searchsorted(names, name, "left").reshape(1), *np.searchsorted(names, name, "right").reshape(1))
+            if r.stop > r.start:
+                found.append(_best(ids[r], matrix[r], query_ids[q], queries[q], k))
+        return pa.Table.from_batches(found, schema=_NEAR)
+
+    by = ("cell", "block", "part")
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(meet, _SHAPE)
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 4, *, within: str | None = None) -> DataFrame:
-    """``(query_id, vec_id, score, rank)``: the ``k`` nearest rows of each query, with an equal ``within`` if given.
+    """``(query_id, vec_id, score, rank)``: the ``k`` nearest rows of each query, among those with its ``within`` if given.
 
-    Each batch of rows meets all queries at once and sends on only its best ``k`` for each, so little is shuffled. Queries
-    are broadcast up to a checked number of values; beyond it, rows meet them in blocks.
+    Null vectors and null keys match nothing. Every group sends on only its best ``k`` for each query.
     """
-    asked = queries.select(F.col("vec_id").cast("long").alias("query_id"), F.col("embedding").alias("query"), F.col(within).cast("string").alias("query_key") if within else F.lit("").alias("query_key"))
-    rows = vectors.where(F.col("embedding").isNotNull()).select(F.col("vec_id").cast("long"), "embedding", F.col(within).cast("string").alias("key") if within else F.lit("").alias("key"))
-    size = asked.agg(F.coalesce(F.sum(F.size("query")), F.lit(0))).first()[0]
-    shape = "query_id long, vec_id long, score double"
-    if size <= MOST_BROADCAST_VALUES:
-        held = asked.where("query is not null").collect()
-        packed = pickle.dumps((np.array([r["query_id"] for r in held], np.int64), _unit([r["query"] for r in held]) if held else None, np.array([r["query_key"] for r in held], object)))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, matrix, keys = pickle.loads(packed)
-            for batch in batches:
-                if matrix is None or not batch.num_rows:
-                    continue
-                same = keys[:, None] == np.array(batch.column(2).to_pylist(), object)[None, :] if within else None
-                yield _best(batch.column(0).to_numpy(), _unit(batch.column(1).to_pylist()), matrix, ids, k, same)
-
-        found = rows.mapInArrow(run, shape)
-    else:
-        blocks, parts = -(-size // QUERY_VALUES), -(-rows.count() // GROUP_ROWS) + 1
-        spread = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(int(blocks) - 1))))
-        grouped = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(int(blocks))).cast("int"))
-
-        def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-            if not left.num_rows or not right.num_rows:
-                return pa.Table.from_batches([], schema=_NEAR)
-            same = np.array(right.column("query_key").to_pylist(), object)[:, None] == np.array(left.column("key").to_pylist(), object)[None, :] if within else None
-            return pa.Table.from_batches([_best(left.column("vec_id").to_numpy(), _unit(left.column("embedding").to_pylist()), _unit(right.column("query").to_pylist()), right.column("query_id").to_numpy(), k, same)])
-
-        salted = spread.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(int(parts))).cast("int"))
-        copies = grouped.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(int(parts) - 1))))
-        found = salted.groupBy("block", "part").cogroup(copies.groupBy("block", "part")).applyInArrow(meet, shape)
+    key = F.col(within).cast("string") if within else F.lit("")
+    asked = queries.where(F.col("embedding").isNotNull()).select(F.col("vec_id").cast("long").alias("query_id"), F.col("embedding").alias("query"), key.alias("key"))
+    rows = vectors.where(F.col("embedding").isNotNull()).select(F.col("vec_id").cast("long"), "embedding", key.alias("key"))
+    size = 0 if within else asked.agg(F.coalesce(F.sum(F.size("query")), F.lit(0))).first()[0]
+    found = _in_blocks(rows, asked, k) if within or size > MOST_BROADCAST_VALUES else _to_all(rows, asked, k)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 

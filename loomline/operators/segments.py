@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from loomline.functions.text import has_text, strip
 from loomline.operators.timeline import islands, running_sum, with_previous
-from loomline.session import materialise
 
 REPEAT_SECONDS = 0.5
 SILENCE_SECONDS = 1.5
@@ -22,33 +21,43 @@ def finals(segments: DataFrame) -> DataFrame:
     return segments.where(F.coalesce("is_final", F.lit(False)) & has_text("text"))
 
 
-def _fold_kept(df: DataFrame, session: str, at: str, key: str, is_repeat) -> DataFrame:
-    """Keys of the rows that an in-order fold keeps. ``is_repeat(kept rows, row)`` decides for each."""
-    rows = materialise(df.select(session, "speaker", strip("text").alias("said"), F.col(at).alias("at"), F.col(key).alias("key")), "said")
-    cut = islands(rows, [session, "speaker"], "at", "key", lambda p: F.col("at") - p["at"] > REPEAT_SECONDS)
-    own = F.array_sort(F.collect_list(F.struct("at", "key", "said")))
-    none = F.expr("cast(array() as array<struct<at:double,key:bigint,said:string>>)")
-    kept = F.aggregate("rows", none, lambda held, x: F.when(is_repeat(held, x), held).otherwise(F.concat(held, F.array(x))))
-    grouped = cut.groupBy(session, "speaker", "island").agg(own.alias("rows"))
-    return grouped.select(F.explode(F.transform(kept, lambda x: x["key"])).alias(key))
+def _thinned(cut: DataFrame, keys: list[str], key: str) -> DataFrame:
+    """Keys of the rows that stay: the first of an island, and each next one over ``REPEAT_SECONDS`` after the last that stayed.
+
+    An island holds only rows of the same words, each at most ``REPEAT_SECONDS`` after the one before, so it is short.
+    """
+    none = F.expr("cast(array() as array<struct<at:double,key:bigint>>)")
+    free = lambda held, x: (F.size(held) == 0) | (x["at"] - F.try_element_at(held, F.lit(-1))["at"] > REPEAT_SECONDS)
+    fold = F.aggregate(F.array_sort(F.collect_list(F.struct("at", "key"))), none, lambda held, x: F.when(free(held, x), F.concat(held, F.array(x))).otherwise(held))
+    return cut.groupBy(*keys, "island").agg(fold.alias("kept")).select(F.explode(F.col("kept.key")).alias(key))
+
+
+def _said(df: DataFrame, session: str, at: str, key: str) -> DataFrame:
+    return df.select(session, "speaker", strip("text").alias("said"), F.col(at).alias("at"), F.col(key).alias("key"))
 
 
 def without_echoes(segments: DataFrame, session: str = "session_id", at: str = "timestamp", key: str = "segment_id") -> DataFrame:
-    """Drop a row whose text a kept row of its speaker had at most ``REPEAT_SECONDS`` before. ``(key)`` of the kept rows."""
-    same = lambda held, x: F.exists(held, lambda k: (x["at"] - k["at"] <= REPEAT_SECONDS) & (k["said"] == x["said"]))
-    return _fold_kept(segments, session, at, key, same)
+    """Drop a row whose text a kept row of its speaker had at most ``REPEAT_SECONDS`` before. ``(key)`` of the kept rows.
+
+    Only rows of the same words matter for each other, so words are part of the key and a busy session is spread.
+    """
+    keys = [session, "speaker", "said"]
+    return _thinned(islands(_said(segments, session, at, key), keys, "at", "key", lambda p: F.col("at") - p["at"] > REPEAT_SECONDS), keys, key)
 
 
 def without_repeats(turns: DataFrame, session: str = "session_id", at: str = "spoken_at", key: str = "id") -> DataFrame:
-    """Drop a row that says what the last kept row of its speaker said at most ``REPEAT_SECONDS`` before."""
-    last = lambda held: F.try_element_at(held, F.lit(-1))
-    same = lambda held, x: (F.size(held) > 0) & (x["at"] - last(held)["at"] <= REPEAT_SECONDS) & (last(held)["said"] == x["said"])
-    return _fold_kept(turns, session, at, key, lambda h, x: F.coalesce(same(h, x), F.lit(False)))
+    """Drop a row that says what the last kept row of its speaker said at most ``REPEAT_SECONDS`` before.
+
+    A row with other words than the last kept one is kept, so only runs of the same words have to be thinned.
+    """
+    new = lambda p: (F.col("at") - p["at"] > REPEAT_SECONDS) | (F.col("said") != p["said"])
+    keys = [session, "speaker"]
+    return _thinned(islands(_said(turns, session, at, key), keys, "at", "key", new, ["said"]), keys, key)
 
 
 def customer_turns(segments: DataFrame, session: str = "session_id", at: str = "timestamp", key: str = "segment_id") -> DataFrame:
     """Customer rows joined until an agent's row or ``SILENCE_SECONDS`` without speech."""
-    rows = materialise(segments.select(session, "speaker", strip("text").alias("said"), F.col(at).alias("at"), F.col(key).alias("key")), "said")
+    rows = _said(segments, session, at, key)
     new = lambda p: (p["speaker"] != F.col("speaker")) | (F.col("at") - p["at"] > SILENCE_SECONDS)
     cut = islands(rows, [session], "at", "key", new, ["speaker"]).where(F.col("speaker") == "customer")
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "key", "said"))), lambda x: x["said"]), " ")

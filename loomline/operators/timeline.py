@@ -60,8 +60,24 @@ def running_sum(df: DataFrame, keys: list[str], at: str, tie: str, value: Column
     return joined.withColumn(name, F.coalesce(F.sum("_value").over(here), F.lit(0)) + F.col("_before")).drop("_before", "_slice", "_value")
 
 
-def islands(df: DataFrame, keys: list[str], at: str, tie: str, starts: Callable[[Column], Column], columns: list[str] | None = None) -> DataFrame:
-    """Add ``island``, the tie value of its first row. ``starts`` tells from the row before whether a new one starts."""
-    before = with_previous(df, keys, at, tie, [at, tie, *(columns or [])])
-    first = F.when(F.col("prev").isNull() | F.coalesce(starts(F.col("prev")), F.lit(False)), F.col(tie))
-    return carried(before, keys, at, tie, first, "island", current=True).drop("prev")
+def islands(df: DataFrame, keys: list[str], at: str, tie: str, starts: Callable[[Column], Column], columns: list[str] | None = None, width: float = SLICE_SECONDS) -> DataFrame:
+    """Add ``island``, the tie value of its first row. ``starts`` tells from the row before whether a new one starts.
+
+    One shuffle by key and slice. Inside a slice islands are found as if each slice began one; one row per slice then tells
+    whether its first island goes on from the slice before, and where that began.
+    """
+    row = F.struct(at, tie, *[c for c in columns or [] if c not in (at, tie)])
+    here = Window.partitionBy(*keys, "_slice").orderBy(at, tie)
+    seen = _sliced(df, at, width).withColumn("_row", row).withColumn("_prev", F.lag("_row").over(here))
+    first = F.when(F.col("_prev").isNull() | F.coalesce(starts(F.col("_prev")), F.lit(False)), F.col(tie))
+    cut = seen.withColumn("_start", first).withColumn("island", F.last("_start", ignorenulls=True).over(here.rowsBetween(Window.unboundedPreceding, 0))).drop("_start", "_prev")
+    ends = cut.groupBy(*keys, "_slice").agg(F.min_by("island", "_row").alias("_first"), F.max_by("island", "_row").alias("_last"), F.min("_row").alias("_head"), F.max("_row").alias("_end"))
+    slices = Window.partitionBy(*keys).orderBy("_slice")
+    # ``starts`` reads the later row by its column names
+    joint = ends.withColumn("_before_row", F.lag("_end").over(slices)).select(*keys, "_slice", "_first", "_last", "_before_row", *[F.col("_head")[c].alias(c) for c in dict.fromkeys([at, tie, *(columns or [])]) if c not in keys])
+    joint = joint.withColumn("_goes_on", F.col("_before_row").isNotNull() & ~F.coalesce(starts(F.col("_before_row")), F.lit(False)))
+    own = F.when(F.col("_last") != F.col("_first"), F.col("_last")).when(~F.col("_goes_on"), F.col("_first"))
+    carried_ = joint.withColumn("_own", own).withColumn("_from", F.last("_own", ignorenulls=True).over(slices.rowsBetween(Window.unboundedPreceding, -1)))
+    moved = carried_.where("_goes_on").select(*keys, "_slice", "_first", "_from")
+    joined = _attached(cut, moved, [*keys, "_slice"])
+    return joined.withColumn("island", F.when(F.col("island") == F.col("_first"), F.col("_from")).otherwise(F.col("island"))).drop("_first", "_from", "_slice", "_row")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.functions.rules import INTENTS, REFINEMENTS, intents_of
-from loomline.functions.text import first_words, has_text, one_line, token_estimate, word_count
+from loomline.functions.rules import ANSWER_FIELDS, INTENTS, REFINEMENTS, age_hours, answer_text, error_action, intents_of, recency, retry_delays
+from loomline.functions.text import first_words, has_text, one_line, strip, token_estimate, word_count
 from loomline.operators import documents, gate, memory, models, retrieval, segments, voice
 from loomline.session import spread
 from loomline.sources.tables import parsed_payloads, table
@@ -85,22 +85,6 @@ def collection_stats(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").groupBy("label").agg(F.count("*").alias("n_vectors"), F.min(F.size("embedding")).alias("least_size"), F.max(F.size("embedding")).alias("most_size"))
 
 
-@_query(
-    _SCORES.format(where="")
-    + """, hits AS (SELECT query_id, 0 AS section, rank AS place, '  • vector ' || vec_id AS line FROM f WHERE rank <= 3),
-near AS (SELECT query_id, 1 AS section, rank AS place, '  • label ' || v.label AS line FROM f JOIN embeddings v ON v.vec_id = f.vec_id WHERE rank <= 3),
-lines AS (SELECT * FROM hits UNION ALL SELECT * FROM near
-  UNION ALL SELECT DISTINCT query_id, 0, -1, '--- Relevant passages ---' FROM hits UNION ALL SELECT DISTINCT query_id, 1, -1, '--- Their kinds ---' FROM near)
-SELECT query_id, string_agg(line, chr(10) ORDER BY section, place, line) AS context, count(*) FILTER (WHERE place >= 0) AS n_lines FROM lines GROUP BY query_id"""
-)
-def context_build(spark, sf_dir):
-    found = _found(spark, sf_dir).where("rank <= 3")
-    kinds = found.join(table(spark, sf_dir, "embeddings").select("vec_id", "label"), "vec_id")
-    hits = found.select("query_id", F.col("rank").alias("place"), F.concat(F.lit("vector "), "vec_id").alias("line"))
-    near = kinds.select("query_id", F.col("rank").alias("place"), F.concat(F.lit("label "), "label").alias("line"))
-    return retrieval.contexts([("Relevant passages", "• ", hits), ("Their kinds", "• ", near)], "query_id")
-
-
 # ------------------------------------------------------------------------------------------------------------- segments
 
 
@@ -227,11 +211,34 @@ def intent_tier1(spark, sf_dir):
     return found.where("intents <> ''")
 
 
+_LETTERS = "list_transform(range(97, 123), lambda c: CAST(length(lower(coalesce({0}, ''))) - length(replace(lower(coalesce({0}, '')), chr(CAST(c AS INTEGER)), '')) AS DOUBLE))"
+
+
+def _alike(a: str, b: str) -> str:
+    """Cosine, 0 where a norm is 0."""
+    return f"CASE WHEN list_sum({a}) = 0 OR list_sum({b}) = 0 THEN 0.0 ELSE list_cosine_similarity({a}, {b}) END"
+
+
+def _tier2_sql(letters: str) -> str:
+    """The best phrase of the best intent, by letters that are counted once."""
+    best = ", ".join(
+        "{{'c': round(greatest({}), 9), 'p': {}, 'i': '{}'}}".format(", ".join(f"list_cosine_similarity({letters}, [" + ", ".join(f"{own.count(chr(c))}.0" for c in range(97, 123)) + "]::DOUBLE[])" for own in (p.lower() for p in phrases)), -i, name)
+        for i, (name, phrases) in enumerate(models.PHRASES.items())
+    )
+    return f"CASE WHEN list_sum({letters}) > 0 THEN list_max([{best}]) END"
+
+
 _REFINE = " OR ".join(f"contains(lower(text), '{p}')" for p in REFINEMENTS)
-_GATE = f"""
-WITH RECURSIVE rows_ AS (
+def _gate_sql(text: str, confident: float | None = None) -> str:
+    """The gate as a fold; with ``confident`` the second tier is asked where no pattern matches."""
+    tier = f"(SELECT CASE WHEN m.c >= {confident} THEN m.i END FROM second_ WHERE second_.id = turns.id)" if confident else "CAST(NULL AS VARCHAR)"
+    second = f"""letters_ AS MATERIALIZED (SELECT id, {_LETTERS.format(text)} AS e FROM turns WHERE {text} IS NOT NULL),
+second_ AS MATERIALIZED (SELECT id, {_tier2_sql("e")} AS m FROM letters_),
+""" if confident else ""
+    return f"""
+WITH RECURSIVE {second}rows_ AS (
   SELECT id, session_id, spoken_at AS stamp, is_final, is_final AND coalesce(speaker = 'agent' AND ({_REFINE}), FALSE) AS refine,
-    CASE WHEN is_final AND text IS NOT NULL THEN {_intent_sql("text")} ELSE '' END AS hits,
+    CASE WHEN is_final AND text IS NOT NULL THEN {_intent_sql("text")} ELSE '' END AS hits, CASE WHEN is_final AND text IS NOT NULL THEN {tier} END AS near,
     is_final AND text IS NOT NULL AND len(list_filter(regexp_split_to_array(text, '{_WS}+'), lambda x: x <> '')) <= 6 AS short,
     row_number() OVER (PARTITION BY session_id ORDER BY spoken_at, id) AS n
   FROM turns WHERE spoken_at IS NOT NULL AND NOT isnan(spoken_at) AND session_id IS NOT NULL),
@@ -239,16 +246,19 @@ fold AS (
   SELECT session_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS id, CAST(NULL AS DOUBLE) AS stamp, CAST(NULL AS DOUBLE) AS last_fire, CAST(0 AS BIGINT) AS fires, '' AS reason, '' AS intents
   FROM (SELECT DISTINCT session_id FROM rows_)
   UNION ALL
-  SELECT session_id, n, id, stamp, CASE WHEN reason IN ('intent', 'follow_up') THEN stamp ELSE last_fire END, fires + CASE WHEN reason IN ('intent', 'follow_up') THEN 1 ELSE 0 END,
-    reason, CASE reason WHEN 'intent' THEN hits WHEN 'follow_up' THEN 'follow_up' ELSE '' END
-  FROM (SELECT r.session_id, r.n, r.id, r.stamp, f.last_fire, f.fires, r.hits,
-      CASE WHEN NOT r.is_final THEN 'not final' WHEN r.refine THEN 'refinement' WHEN r.stamp - f.last_fire < 3.0 THEN 'cooldown' WHEN r.hits <> '' THEN 'intent'
+  SELECT session_id, n, id, stamp, CASE WHEN reason IN ('intent', 'embedding', 'follow_up') THEN stamp ELSE last_fire END, fires + CASE WHEN reason IN ('intent', 'embedding', 'follow_up') THEN 1 ELSE 0 END,
+    reason, CASE reason WHEN 'intent' THEN hits WHEN 'embedding' THEN near WHEN 'follow_up' THEN 'follow_up' ELSE '' END
+  FROM (SELECT r.session_id, r.n, r.id, r.stamp, f.last_fire, f.fires, r.hits, r.near,
+      CASE WHEN NOT r.is_final THEN 'not final' WHEN r.refine THEN 'refinement' WHEN r.stamp - f.last_fire < 3.0 THEN 'cooldown' WHEN r.hits <> '' THEN 'intent' WHEN r.near IS NOT NULL THEN 'embedding'
            WHEN f.fires >= 2 AND r.short THEN 'follow_up' ELSE 'no match' END AS reason
     FROM fold f JOIN rows_ r ON r.session_id = f.session_id AND r.n = f.n + 1)),
-decided AS (SELECT id, session_id, stamp, CASE reason WHEN 'refinement' THEN 'refine' WHEN 'intent' THEN 'fire' WHEN 'follow_up' THEN 'fire' ELSE 'no_trigger' END AS action, reason, intents FROM fold WHERE n > 0)
+decided AS (SELECT id, session_id, stamp, CASE reason WHEN 'refinement' THEN 'refine' WHEN 'intent' THEN 'fire' WHEN 'embedding' THEN 'fire' WHEN 'follow_up' THEN 'fire' ELSE 'no_trigger' END AS action, reason, intents FROM fold WHERE n > 0)
 """
 
 
+_GATE = _gate_sql("text")
+
+
 @_query(_GATE + "SELECT id, session_id, action, reason, intents FROM decided")
 def trigger_gate(spark, sf_dir):
     return gate.decide(table(spark, sf_dir, "turns")).drop("at")
@@ -276,6 +286,14 @@ def recent_turns(spark, sf_dir):
     return memory.recent_turns(table(spark, sf_dir, "turns"))
 
 
+#: Turns in order of storing, with the number of evictions of their session: eviction e takes turns 5 e - 4 to 5 e.
+_HISTORY = """WITH c AS (SELECT session_id, id, '[' || coalesce(speaker, '') || ']: ' || coalesce(text, '') AS line, row_number() OVER w AS rank, count(*) OVER (PARTITION BY session_id) AS n
+  FROM turns WHERE session_id IS NOT NULL WINDOW w AS (PARTITION BY session_id ORDER BY created_at, id)),
+e AS (SELECT *, CASE WHEN n <= 20 THEN 0 ELSE (n - 21) // 5 + 1 END AS n_evictions FROM c),
+kept AS (SELECT *, rank - 5 * n_evictions AS place FROM e WHERE rank > 5 * n_evictions)
+"""
+
+
 @_query(
     """WITH c AS (SELECT session_id, count(*) AS n_turns FROM turns WHERE session_id IS NOT NULL GROUP BY session_id),
 e AS (SELECT *, CASE WHEN n_turns <= 20 THEN 0 ELSE (n_turns - 21) // 5 + 1 END AS n_evictions FROM c)
@@ -286,18 +304,27 @@ def history_evictions(spark, sf_dir):
 
 
 @_query(
-    """WITH r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY created_at, id) AS rank FROM turns WHERE session_id IS NOT NULL)
-SELECT session_id, count(*) AS n_turns, string_agg('[' || coalesce(speaker, '') || ']: ' || coalesce(text, ''), chr(10) || '---' || chr(10) ORDER BY rank) AS lines FROM r WHERE rank <= 35 GROUP BY session_id"""
+    _HISTORY + "SELECT session_id, count(*) AS n_turns, string_agg(line, chr(10) || '---' || chr(10) ORDER BY rank) AS lines FROM kept WHERE place <= 35 GROUP BY session_id"
 )
 def session_end(spark, sf_dir):
     return memory.session_end(table(spark, sf_dir, "turns"))
 
 
+@_query(_HISTORY + "SELECT session_id, CAST((rank - 1) // 5 + 1 AS BIGINT) AS eviction_no, count(*) AS n_turns, string_agg(line, chr(10) || '---' || chr(10) ORDER BY rank) AS lines FROM e WHERE rank <= 5 * n_evictions GROUP BY 1, 2")
+def evicted_history(spark, sf_dir):
+    return memory.evicted_turns(table(spark, sf_dir, "turns"))
+
+
+@_query(_HISTORY + "SELECT session_id, id, place AS rank FROM kept")
+def live_history(spark, sf_dir):
+    return memory.live_turns(table(spark, sf_dir, "turns")).select("session_id", "id", "rank")
+
+
 _TOKENS = "CASE WHEN coalesce({0}, '') = '' THEN 0 ELSE greatest(1, length({0}) // 4) END"
 
 
-@_query(
-    f"""WITH RECURSIVE rows_ AS (SELECT session_id, id, {_TOKENS.format("text")} AS k, row_number() OVER (PARTITION BY session_id ORDER BY created_at, id) AS n FROM turns WHERE session_id IS NOT NULL),
+def _epochs(where: str = "session_id IS NOT NULL") -> str:
+    return f"""WITH RECURSIVE rows_ AS (SELECT session_id, id, {_TOKENS.format("text")} AS k, row_number() OVER (PARTITION BY session_id ORDER BY created_at, id) AS n FROM turns WHERE {where}),
 fold AS (
   SELECT session_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS id, CAST([] AS BIGINT[]) AS held, CAST([] AS BIGINT[]) AS s, CAST(-1 AS BIGINT) AS epoch, FALSE AS made, CAST(0 AS BIGINT) AS covers, CAST(0 AS BIGINT) AS merged FROM (SELECT DISTINCT session_id FROM rows_)
   UNION ALL
@@ -306,10 +333,12 @@ fold AS (
     epoch + CASE WHEN over_ THEN 1 ELSE 0 END, over_, least(len(grown), 500), CASE WHEN len(s) + 1 > 10 THEN s[1] + s[2] ELSE 0 END
   FROM (SELECT r.session_id, r.n, r.id, list_append(f.held, CAST(r.k AS BIGINT)) AS grown, f.s, f.epoch, list_sum(list_append(f.held, CAST(r.k AS BIGINT))) + 75 * len(f.s) > 1000 AS over_
         FROM fold f JOIN rows_ r ON r.session_id = f.session_id AND r.n = f.n + 1))
-SELECT session_id, CAST(epoch AS INTEGER) AS epoch_index, id AS last_id, CAST(covers AS INTEGER) AS covers_turn_count, CAST(merged AS INTEGER) AS merged_turn_count, CAST(len(s) AS INTEGER) AS n_summaries FROM fold WHERE made"""
-)
+"""
+
+
+@_query(_epochs() + "SELECT session_id, CAST(epoch AS INTEGER) AS epoch_index, id AS last_id, CAST(covers AS INTEGER) AS covers_turn_count, CAST(merged AS INTEGER) AS merged_turn_count, CAST(len(s) AS INTEGER) AS n_summaries FROM fold WHERE made")
 def epoch_compaction(spark, sf_dir):
-    return memory.compactions(table(spark, sf_dir, "turns"))
+    return memory.compactions(table(spark, sf_dir, "turns")).drop("last_covered_id")
 
 
 @_query(
@@ -322,11 +351,16 @@ def session_tokens(spark, sf_dir):
     return memory.session_tokens(table(spark, sf_dir, "turns"), table(spark, sf_dir, "epoch_summaries"))
 
 
+_USABLE = "is_final AND session_id IS NOT NULL AND speaker IS NOT NULL AND text IS NOT NULL"
+
+
 @_query(
-    f"""WITH k AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY epoch_index DESC, id DESC) AS rank FROM epoch_summaries WHERE NOT superseded),
-l AS (SELECT session_id, 0 AS part, CAST(epoch_index AS BIGINT) AS place, id, '[SESSION HISTORY]: ' || summary_text AS line FROM k WHERE rank <= 10),
-r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY created_at DESC, id DESC) AS rank FROM turns WHERE is_final AND session_id IS NOT NULL AND speaker IS NOT NULL AND text IS NOT NULL),
-u AS (SELECT * FROM l UNION ALL SELECT session_id, 1, -rank, id, '[' || upper(speaker) || CASE WHEN is_important THEN ' — IMPORTANT' ELSE '' END || ']: ' || {_s("text")} FROM r WHERE rank <= 5)
+    _epochs(_USABLE)
+    + f""", gone AS (SELECT session_id, sum(covers) AS n_gone FROM fold WHERE made GROUP BY session_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY created_at, id) AS rank FROM turns WHERE {_USABLE}),
+u AS (SELECT session_id, 0 AS part, CAST(epoch_index AS BIGINT) AS place, id, '[SESSION HISTORY]: ' || summary_text AS line FROM epoch_summaries WHERE NOT superseded
+  UNION ALL SELECT r.session_id, 1, rank, id, '[' || upper(speaker) || CASE WHEN is_important THEN ' — IMPORTANT' ELSE '' END || ']: ' || {_s("text")}
+  FROM r LEFT JOIN gone g ON g.session_id = r.session_id WHERE rank > coalesce(n_gone, 0))
 SELECT session_id, count(*) AS n_lines, string_agg(line, chr(10) ORDER BY part, place, id, line) AS context FROM u GROUP BY session_id"""
 )
 def formatted_context(spark, sf_dir):
@@ -347,26 +381,32 @@ def superseded_summaries(spark, sf_dir):
 # ------------------------------------------------------------------------------------------------------------ documents
 
 
-@_query(
-    f"""WITH RECURSIVE c AS (
+_CHUNKS = f"""WITH RECURSIVE c AS (
   SELECT doc_id, CAST(0 AS BIGINT) AS n, coalesce(text, '') AS buf, CAST(NULL AS VARCHAR) AS piece, length(coalesce(text, '')) > 0 AS more FROM documents
   UNION ALL
   SELECT doc_id, n + 1, CASE WHEN length(buf) >= 1000 THEN substr(buf, greatest(0, cut - 50) + 1) ELSE '' END,
     CASE WHEN length(buf) >= 1000 THEN {_s("substr(buf, 1, cut)")} ELSE {_s("buf")} END, length(buf) >= 1000
   FROM (SELECT *, CASE WHEN length(buf) > 1000 AND substr(buf, 1001, 1) NOT IN (' ', chr(10)) AND 1000 - strpos(reverse(substr(buf, 1, 1000)), ' ') > 50 AND strpos(substr(buf, 1, 1000), ' ') > 0
-        THEN 1000 - strpos(reverse(substr(buf, 1, 1000)), ' ') ELSE 1000 END AS cut FROM c WHERE more))
-SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS INTEGER) AS place, piece AS text FROM c WHERE n > 0 AND piece <> ''"""
-)
+        THEN 1000 - strpos(reverse(substr(buf, 1, 1000)), ' ') ELSE 1000 END AS cut FROM c WHERE more)),
+p AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS INTEGER) AS place, piece AS text FROM c WHERE n > 0 AND piece <> '')
+"""
+
+
+@_query(_CHUNKS + "SELECT * FROM p")
 def chunk_documents(spark, sf_dir):
     return documents.chunk_documents(table(spark, sf_dir, "documents"))
 
 
-@_query()
+@_query(_CHUNKS + "SELECT (SELECT max(chunk_index) FROM doc_chunks) + row_number() OVER (ORDER BY doc_id, place) AS chunk_index, doc_id, place FROM p")
 def chunk_index(spark, sf_dir):
-    return documents.numbered(documents.chunk_documents(table(spark, sf_dir, "documents"))).select("chunk_index", "doc_id", "place")
+    start = documents.next_index(table(spark, sf_dir, "doc_chunks"))
+    return documents.numbered(documents.chunk_documents(table(spark, sf_dir, "documents")), start).select("chunk_index", "doc_id", "place")
 
 
-@_query()
+@_query(
+    _CHUNKS + """, s AS (SELECT doc_id, count(*) AS n, max(length(text)) AS longest FROM p GROUP BY doc_id)
+SELECT d.doc_id, coalesce(length(d.text), 0) AS n_characters, coalesce(n, 0) AS n_chunks, coalesce(longest, 0) AS longest FROM documents d LEFT JOIN s ON s.doc_id = d.doc_id"""
+)
 def chunk_statistics(spark, sf_dir):
     return documents.chunk_statistics(table(spark, sf_dir, "documents"))
 
@@ -404,10 +444,11 @@ def folder_metadata(spark, sf_dir):
 @_query(
     rf"""WITH f AS (SELECT regexp_replace({_s("source_file")}, '^(\./)+', '') AS file, batch_num, chunk_index, coalesce(text, '') AS text, total_pages FROM doc_chunks WHERE source_file IS NOT NULL),
 g AS (SELECT file, arg_min(text, CAST(batch_num AS BIGINT) * 1000000000 + chunk_index) AS t, max(total_pages) AS total_pages, count(*) AS n_chunks, CAST(sum(length(text)) AS BIGINT) AS n_characters FROM f GROUP BY file),
-h AS (SELECT *, file || chr(10) || '' || chr(10) || substr(t, 1, 1000) AS hay FROM g)
+k AS (SELECT *, coalesce(list_filter(list_transform(regexp_split_to_array(t, '\r\n|[\n\r\x0b\x0c\x{{1c}}-\x{{1e}}\x{{85}}\x{{2028}}\x{{2029}}]'), lambda x: {_s("x")}), lambda x: length(x) >= 5)[1], '') AS title FROM g),
+h AS (SELECT *, file || chr(10) || title || chr(10) || substr(t, 1, 1000) AS hay FROM k)
 SELECT file, CASE WHEN regexp_matches(hay, '(^|[^a-zA-Z0-9])(brochure|brouchure|leaflet)([^a-zA-Z0-9]|$)', 'i') THEN 'Sales Brochure'
   WHEN regexp_matches(hay, '(^|[^a-zA-Z0-9])cis([^a-zA-Z0-9]|$)|customer\s*information\s*sheet', 'i') THEN 'Customer Information Sheet'
-  WHEN regexp_matches(hay, 'pol(?:icy)?[\s_]*doc(?:ument)?', 'i') THEN 'Policy Document' ELSE 'Other' END AS doc_type, total_pages, n_chunks, n_characters FROM h"""
+  WHEN regexp_matches(hay, 'pol(?:icy)?[\s_]*doc(?:ument)?', 'i') THEN 'Policy Document' WHEN title <> '' THEN title ELSE 'Other' END AS doc_type, total_pages, n_chunks, n_characters FROM h"""
 )
 def doc_types(spark, sf_dir):
     return documents.file_types(table(spark, sf_dir, "doc_chunks"))
@@ -435,7 +476,7 @@ def text_measures(spark, sf_dir):
 
 
 @_query(
-    f"""SELECT id, CASE WHEN len(w) > 30 THEN array_to_string(w[1:30], ' ') || ' ...' ELSE text END AS shown FROM (SELECT id, text, list_filter(regexp_split_to_array(text, '{_WS}+'), lambda x: x <> '') AS w FROM turns WHERE {_s("text")} <> '')"""
+    f"""SELECT id, array_to_string(w[1:30], ' ') || CASE WHEN len(w) > 30 THEN ' ...' ELSE '' END AS shown FROM (SELECT id, text, list_filter(regexp_split_to_array(text, '{_WS}+'), lambda x: x <> '') AS w FROM turns WHERE {_s("text")} <> '')"""
 )
 def short_turns(spark, sf_dir):
     return table(spark, sf_dir, "turns").where(has_text("text")).select("id", first_words("text", 30).alias("shown"))
@@ -444,15 +485,26 @@ def short_turns(spark, sf_dir):
 # --------------------------------------------------------------------------------------------------------------- models
 
 
-@_query()
+_ROWS = "(VALUES " + ", ".join("('{}', '{}', '{}', {})".format(name, ", ".join(own[0]), own[1], own[2]) for name, own in INTENTS.items()) + ") v(name, collections, tone, priority)"
+
+
+@_query(
+    f"""WITH l AS MATERIALIZED (SELECT id, {_LETTERS.format("text")} AS e FROM turns WHERE is_final AND {_s("text")} <> ''),
+t AS MATERIALIZED (SELECT id, {_tier2_sql("e")} AS m FROM l)
+SELECT id, m.i AS intent, round(m.c, 6) AS confidence, collections, tone, priority, m.c >= 0.9 AS confident FROM t JOIN {_ROWS} ON v.name = m.i WHERE m.c > 0"""
+)
 def intent_tier2(spark, sf_dir):
-    return models.intents_by_embedding(table(spark, sf_dir, "turns"))
+    return models.intents_by_embedding(table(spark, sf_dir, "turns"), confident=0.9)
+
+
+@_query(_gate_sql("text", 0.9) + "SELECT id, session_id, action, reason, intents FROM decided")
+def trigger_gate_tiers(spark, sf_dir):
+    return gate.decide(table(spark, sf_dir, "turns"), models.second_tier, 0.9).drop("at")
 
 
 @_query(
-    r"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY created_at, id) AS rank FROM turns WHERE session_id IS NOT NULL AND text IS NOT NULL),
-p AS (SELECT session_id, count(*) AS chunk_count, substr(string_agg('[' || coalesce(speaker, '') || ']: ' || text, chr(10) || '---' || chr(10) ORDER BY rank), 1, 4000) AS prompt FROM r WHERE rank <= 35 GROUP BY session_id)
-SELECT session_id, chunk_count, CAST(length(prompt) AS INTEGER) AS prompt_length, substr(regexp_replace(regexp_replace(prompt, '[\s\x0b\x{1c}-\x{1f}\x{85}\p{Z}]+', ' ', 'g'), '^ | $', '', 'g'), 1, 300) AS summary FROM p"""
+    _HISTORY + rf""", p AS (SELECT session_id, count(*) AS chunk_count, substr(string_agg(line, chr(10) || '---' || chr(10) ORDER BY rank), 1, 4000) AS prompt FROM kept WHERE place <= 35 GROUP BY session_id)
+SELECT session_id, chunk_count, CAST(length(prompt) AS INTEGER) AS prompt_length, substr(regexp_replace(regexp_replace(prompt, '[\s\x0b\x{{1c}}-\x{{1f}}\x{{85}}\p{{Z}}]+', ' ', 'g'), '^ | $', '', 'g'), 1, 300) AS summary FROM p"""
 )
 def session_summaries(spark, sf_dir):
     return models.session_summaries(table(spark, sf_dir, "turns"))
@@ -468,9 +520,178 @@ def enriched_chunks(spark, sf_dir):
     return models.enriched(table(spark, sf_dir, "doc_chunks"))
 
 
-@_query()
+NOW = "2026-01-01 00:00:00"
+
+
+def _snippet(text: str) -> str:
+    return f"substr({_s(f"regexp_replace({text}, '{_WS}+', ' ', 'g')")}, 1, 250)"
+
+
+def _hits(name: str, rows: str, k: int, join: str) -> str:
+    age = f"coalesce(exp(-(epoch_us(TIMESTAMP '{NOW}') - epoch_us(told)) / 3.6e9 / 168.0), 1.0)"
+    return f"""{name}_rows AS MATERIALIZED ({rows}),
+{name}_all AS (SELECT query_id, v.id AS vec_id, v.text, v.told, {_alike("q.e", "v.e")} AS score FROM q, {name}_rows v {join}),
+{name}_near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS rank FROM {name}_all) WHERE rank <= {k}),
+{name}_scored AS (SELECT *, 0.7 * score + 0.3 * {age} AS final FROM {name}_near),
+{name} AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(final, 9) DESC, rank) AS final_rank FROM {name}_scored)"""
+
+
+def _line(score: str) -> str:
+    return f"'[' || printf('%.4f', {score}) || '] ' || " + _snippet("text")
+
+
+_FOUND = f"""WITH said AS MATERIALIZED (SELECT id, session_id, speaker, CAST(created_at AS TIMESTAMP) AS told, {_s("text")} AS text, {_LETTERS.format(_s("text"))} AS e FROM turns WHERE is_final AND session_id IS NOT NULL AND {_s("text")} <> ''),
+q AS MATERIALIZED (SELECT id AS query_id, session_id, text AS question, e FROM said WHERE id % 50 = 0 AND speaker = 'customer'),
+{_hits("history", "SELECT * FROM said", 4, "WHERE v.session_id = q.session_id")},
+{_hits("summaries", f"SELECT id, session_id, CAST(created_at AS TIMESTAMP) AS told, summary_text AS text, {_LETTERS.format('summary_text')} AS e FROM epoch_summaries WHERE summary_text IS NOT NULL", 4, "WHERE v.session_id = q.session_id")},
+{_hits("documents_", f"SELECT chunk_index AS id, CAST(NULL AS TIMESTAMP) AS told, text, {_LETTERS.format('text')} AS e FROM doc_chunks WHERE text IS NOT NULL", 10, "")},
+last_ AS (SELECT session_id, '[' || coalesce(speaker, '') || ']: ' || coalesce(text, '') AS line, -rank AS place FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY created_at DESC, id DESC) AS rank FROM turns WHERE session_id IS NOT NULL) WHERE rank <= 5),
+recent AS MATERIALIZED (SELECT query_id, place, line FROM last_ JOIN q ON q.session_id = last_.session_id),
+lines AS (SELECT query_id, 0 AS section, place, '  ' || line AS line FROM recent
+  UNION ALL SELECT query_id, 1, final_rank, '  • ' || text FROM history WHERE final_rank <= 3 UNION ALL SELECT query_id, 2, final_rank, '  • ' || text FROM summaries WHERE final_rank <= 3
+  UNION ALL SELECT query_id, 3, rank, '  • ' || substr(text, 1, 300) FROM documents_ WHERE rank <= 3),
+titled AS (SELECT * FROM lines UNION ALL SELECT DISTINCT query_id, section, -100, ['--- Last conversation turns (chronological) ---', '--- Semantically relevant history ---', '--- Past session summaries ---', '--- Insurance document knowledge ---'][section + 1] FROM lines),
+context AS MATERIALIZED (SELECT query_id, string_agg(line, chr(10) ORDER BY section, place) AS context, count(*) FILTER (WHERE place > -100) AS n_lines FROM titled GROUP BY query_id)
+"""
+
+
+def _of(name: str, place: str, line: str) -> str:
+    return f"coalesce((SELECT string_agg({line}, chr(10) ORDER BY {place}) FROM {name} x WHERE x.query_id = q.query_id), '')"
+
+
+def _answer(context: str) -> str:
+    said = f"CASE WHEN {_s(context)} <> '' THEN 'Context:' || chr(10) || {context} || chr(10) || chr(10) || 'Customer question: ' || query ELSE query END"
+    collapsed = f"regexp_replace({said}, '{_WS}+', ' ', 'g')"
+    return f"substr({_s(collapsed)}, 1, 300)"
+
+
+def _found_for(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return models.found_for(table(spark, sf_dir, "turns"), table(spark, sf_dir, "epoch_summaries"), table(spark, sf_dir, "doc_chunks"), F.lit(NOW).cast("timestamp"))
+
+
+@_query(
+    _FOUND + f""", rows_ AS (SELECT query_id AS id, session_id AS product_type, question AS query,
+  {_of("recent", "place", "line")} AS runtime_history_recent, {_of("history", "rank", _line("score"))} AS history_retrieval, {_of("history", "final_rank", _line("final"))} AS history_retrieval_rerank,
+  {_of("summaries", "rank", _line("score"))} AS summary_retrieval, {_of("summaries", "final_rank", _line("final"))} AS summary_retrieval_rerank, {_of("documents_", "rank", _line("score"))} AS docs_retrieval,
+  coalesce((SELECT '--- Insurance document knowledge ---' || chr(10) || string_agg('  • ' || substr(text, 1, 300), chr(10) ORDER BY rank) FROM documents_ x WHERE x.query_id = q.query_id), '') AS context_docs_only,
+  coalesce((SELECT context FROM context x WHERE x.query_id = q.query_id), '') AS context_all FROM q)
+SELECT *, {_answer("context_docs_only")} AS final_answer_docs_only, {_answer("context_all")} AS final_answer_all FROM rows_"""
+)
 def evaluation_rows(spark, sf_dir):
-    return models.evaluation(table(spark, sf_dir, "turns"), table(spark, sf_dir, "doc_chunks"))
+    return models.evaluation(table(spark, sf_dir, "turns"), table(spark, sf_dir, "epoch_summaries"), table(spark, sf_dir, "doc_chunks"), F.lit(NOW).cast("timestamp"))
+
+
+@_query(_FOUND + "SELECT * FROM context")
+def context_build(spark, sf_dir):
+    return models.context_of(_found_for(spark, sf_dir))
+
+
+@_query(
+    _FOUND + """SELECT query_id, recent, history, summaries, documents, recent + history + summaries + documents AS total FROM (SELECT query_id,
+  (SELECT count(*) FROM recent x WHERE x.query_id = q.query_id) AS recent, least((SELECT count(*) FROM history x WHERE x.query_id = q.query_id), 3) AS history,
+  least((SELECT count(*) FROM summaries x WHERE x.query_id = q.query_id), 3) AS summaries, least((SELECT count(*) FROM documents_ x WHERE x.query_id = q.query_id), 3) AS documents FROM q)"""
+)
+def context_usage(spark, sf_dir):
+    return models.context_usage(_found_for(spark, sf_dir))
+
+
+@_query(_FOUND + "SELECT query_id, vec_id, round(score, 6) AS score, rank FROM documents_ WHERE rank <= 4")
+def docs_unranked(spark, sf_dir):
+    return _ranked(_found_for(spark, sf_dir)["documents"].where("rank <= 4"))
+
+
+@_query(
+    _epochs() + rf""", e AS (SELECT session_id, epoch, covers, sum(covers) OVER (PARTITION BY session_id ORDER BY epoch) AS last_ FROM fold WHERE made),
+r AS (SELECT session_id, '[' || upper(coalesce(speaker, '')) || ']: ' || coalesce(text, '') AS line, row_number() OVER (PARTITION BY session_id ORDER BY created_at, id) AS n FROM turns WHERE session_id IS NOT NULL),
+t AS (SELECT e.session_id, epoch, count(*) AS n_turns, string_agg(line, chr(10) ORDER BY r.n) AS prompt FROM e JOIN r ON r.session_id = e.session_id AND r.n BETWEEN last_ - covers + 1 AND last_ GROUP BY 1, 2)
+SELECT session_id, CAST(epoch AS INTEGER) AS epoch_index, n_turns, substr({_s(f"regexp_replace(prompt, '{_WS}+', ' ', 'g')")}, 1, 300) AS summary_text FROM t"""
+)
+def epoch_texts(spark, sf_dir):
+    return models.epoch_texts(table(spark, sf_dir, "turns"))
+
+
+# ------------------------------------------------------------------------------------------------- service and ingestion
+
+
+@_query("SELECT event_id, CASE WHEN event_id % 5 IN (1, 3) THEN 'fatal' ELSE 'retry' END AS action, list_transform(range(1, event_id % 6), lambda n: CAST(pow(2, n - 1) AS DOUBLE)) AS delays FROM events")
+def error_actions(spark, sf_dir):
+    code, attempts = (F.lit(400) + F.col("event_id") % 5).cast("int"), (F.col("event_id") % 6).cast("int")
+    return table(spark, sf_dir, "events").select("event_id", error_action(code).alias("action"), retry_delays(attempts).alias("delays"))
+
+
+@_query(
+    "SELECT segment_id, coalesce(" + ", ".join(f"CASE WHEN json_valid(payload) AND json_type(payload, '$.{f}') = 'VARCHAR' THEN json_extract_string(payload, '$.{f}') END" for f in ANSWER_FIELDS) + ", payload) AS answer FROM raw_segments"
+)
+def answer_fallback(spark, sf_dir):
+    return table(spark, sf_dir, "raw_segments").select("segment_id", answer_text(F.col("payload")).alias("answer"))
+
+
+@_query(f"SELECT chunk_index, round(coalesce(exp(-(epoch_us(TIMESTAMP '{NOW}') - epoch_us(CAST(TRY_CAST(processed_at AS TIMESTAMPTZ) AS TIMESTAMP))) / 3.6e9 / 168.0), 1.0), 6) AS recency FROM doc_chunks")
+def recency_scores(spark, sf_dir):
+    return table(spark, sf_dir, "doc_chunks").select("chunk_index", F.round(recency(age_hours(F.col("processed_at"), F.lit(NOW).cast("timestamp"))), 6).alias("recency"))
+
+
+_PAGES = f"SELECT {_s('source_file')} AS file, chunk_index + 1 AS page, coalesce(text, '') AS text FROM doc_chunks WHERE source_file IS NOT NULL"
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the mirror as pages, numbered in reading order."""
+    return table(spark, sf_dir, "doc_chunks").where("source_file is not null").select(strip("source_file").alias("file"), (F.col("chunk_index") + 1).alias("page"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+@_query(
+    f"""SELECT file, CAST((page - 1) // 3 + 1 AS INTEGER) AS batch_num, string_agg(text, chr(10) || chr(10) ORDER BY page, text) FILTER (WHERE {_s("text")} <> '') AS text, min(page) || '-' || max(page) AS page_range
+FROM ({_PAGES}) GROUP BY 1, 2 HAVING count(*) FILTER (WHERE {_s("text")} <> '') > 0"""
+)
+def pages_joined(spark, sf_dir):
+    return documents.pages_joined(_pages(spark, sf_dir))
+
+
+@_query(
+    f"""WITH RECURSIVE g AS (SELECT file, text, row_number() OVER (PARTITION BY file ORDER BY page) AS p FROM ({_PAGES})),
+c AS (SELECT DISTINCT file, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS p, '' AS buf, CAST(NULL AS VARCHAR) AS piece, TRUE AS more FROM g
+  UNION ALL
+  SELECT c.file, c.n + 1, CASE WHEN full_ THEN c.p ELSE coalesce(g.p, c.p) END,
+    CASE WHEN full_ THEN substr(buf, greatest(0, cut - 50) + 1) WHEN g.p IS NULL THEN '' WHEN buf = '' THEN g.text ELSE buf || chr(10) || chr(10) || g.text END,
+    CASE WHEN full_ THEN {_s("substr(buf, 1, cut)")} WHEN g.p IS NULL THEN {_s("buf")} END, full_ OR g.p IS NOT NULL
+  FROM (SELECT *, length(buf) >= 1000 AS full_, CASE WHEN length(buf) > 1000 AND substr(buf, 1001, 1) NOT IN (' ', chr(10)) AND 1000 - strpos(reverse(substr(buf, 1, 1000)), ' ') > 50 AND strpos(substr(buf, 1, 1000), ' ') > 0
+        THEN 1000 - strpos(reverse(substr(buf, 1, 1000)), ' ') ELSE 1000 END AS cut FROM c WHERE more) c LEFT JOIN g ON g.file = c.file AND g.p = c.p + 1)
+SELECT file, CAST(row_number() OVER (PARTITION BY file ORDER BY n) - 1 AS INTEGER) AS place, piece AS text FROM c WHERE piece <> ''"""
+)
+def page_chunks(spark, sf_dir):
+    return documents.chunk_pages(_pages(spark, sf_dir))
+
+
+@_query(
+    rf"""WITH f AS (SELECT regexp_replace({_s("source_file")}, '^(\./)+', '') AS filename, total_pages, length(text) AS k FROM doc_chunks WHERE source_file IS NOT NULL),
+g AS (SELECT filename, CAST(max(total_pages) AS BIGINT) AS total_pages, CAST(sum(k) AS BIGINT) AS total_chars, count(*) AS num_chunks FROM f GROUP BY filename)
+SELECT * FROM g UNION ALL SELECT NULL, CAST(sum(total_pages) AS BIGINT), CAST(sum(total_chars) AS BIGINT), CAST(sum(num_chunks) AS BIGINT) FROM g"""
+)
+def run_totals(spark, sf_dir):
+    return documents.run_totals(table(spark, sf_dir, "doc_chunks"))
+
+
+@_query("SELECT count(*) AS n_before, count(*) FILTER (WHERE chunk_index BETWEEN 0 AND 24) AS n_deleted, count(*) FILTER (WHERE NOT chunk_index BETWEEN 0 AND 24) AS n_after FROM doc_chunks")
+def delete_counts(spark, sf_dir):
+    return documents.deletion_counts(table(spark, sf_dir, "doc_chunks"), "chunk_index", 0, 24)
+
+
+@_query("SELECT vec_id, label, CAST(len(embedding) AS INTEGER) AS size, CAST(embedding[1] AS DOUBLE) AS first_value FROM embeddings ORDER BY vec_id LIMIT 10")
+def collection_sample(spark, sf_dir):
+    """A bounded look at a collection, vectors included: the limit is the feature."""
+    return table(spark, sf_dir, "embeddings").orderBy("vec_id").limit(10).select("vec_id", "label", F.size("embedding").alias("size"), F.get("embedding", F.lit(0)).cast("double").alias("first_value"))
+
+
+@_query("SELECT CAST(floor(spoken_at / 3600.0) AS BIGINT) AS hour_no, count(DISTINCT session_id) AS n_sessions FROM turns WHERE spoken_at IS NOT NULL AND NOT isnan(spoken_at) AND session_id IS NOT NULL GROUP BY 1")
+def active_sessions(spark, sf_dir):
+    rows = table(spark, sf_dir, "turns").where("spoken_at is not null and not isnan(spoken_at) and session_id is not null")
+    return rows.groupBy(F.floor(F.col("spoken_at") / 3600.0).alias("hour_no")).agg(F.countDistinct("session_id").alias("n_sessions"))
+
+
+@_query(f"SELECT session_id, count(*) AS n_questions, least(count(*), 5) AS n_run FROM turns WHERE is_final AND session_id IS NOT NULL AND speaker = 'customer' AND id % 50 = 0 AND {_s('text')} <> '' GROUP BY session_id")
+def question_totals(spark, sf_dir):
+    asked = models.asked_turns(table(spark, sf_dir, "turns")).groupBy("session_id").agg(F.count("*").alias("n_questions"))
+    return asked.withColumn("n_run", F.least("n_questions", F.lit(5).cast("long")))
 
 
 # ----------------------------------------------------------------------------------------------------- sound and streams
@@ -495,9 +716,29 @@ def rms_by_user(spark, sf_dir):
 @_query(ORACLE["dedup_tracker"])
 def stream_dedup_tracker(spark, sf_dir):
     stream = streaming.read_stream(spark, sf_dir, "turns")
-    return streaming.drained(streaming.without_repeats(stream.where(has_text("text"))), "repeats")
+    return streaming.drained(streaming.without_repeats(stream.where(has_text("text"))), "repeats").select("id")
+
 
+@_query(ORACLE["customer_turns"])
+def stream_customer_turns(spark, sf_dir):
+    return streaming.drained(streaming.customer_turns(streaming.read_stream(spark, sf_dir, "transcript_segments")), "turns", rest=streaming.open_turns)
 
-@_query()
+
+@_query(ORACLE["trigger_gate"])
+def stream_trigger_gate(spark, sf_dir):
+    return streaming.drained(streaming.decisions(streaming.read_stream(spark, sf_dir, "turns")), "gate")
+
+
+@_query(ORACLE["epoch_compaction"])
+def stream_compaction(spark, sf_dir):
+    return streaming.drained(streaming.compactions(streaming.read_stream(spark, sf_dir, "turns")), "epochs").drop("last_covered_id")
+
+
+@_query(
+    f"""WITH r AS (SELECT session_id, segment_id, CAST(trunc(spoken_at * 1000000) AS BIGINT) AS us FROM transcript_segments WHERE is_final AND speaker = 'customer' AND spoken_at IS NOT NULL AND NOT isnan(spoken_at) AND {_s("text")} <> ''),
+m AS (SELECT *, CASE WHEN us - lag(us) OVER w <= 1500000 THEN 0 ELSE 1 END AS new FROM r WINDOW w AS (PARTITION BY session_id ORDER BY us, segment_id)),
+i AS (SELECT *, sum(new) OVER (PARTITION BY session_id ORDER BY us, segment_id ROWS UNBOUNDED PRECEDING) AS island FROM m)
+SELECT session_id, min(segment_id) AS first_id, count(*) AS n_segments, min(us) AS start_us FROM i GROUP BY session_id, island"""
+)
 def stream_turn_windows(spark, sf_dir):
     return streaming.drained(streaming.turn_windows(streaming.read_stream(spark, sf_dir, "transcript_segments"), late=None), "windows", "complete")

@@ -17,7 +17,11 @@ def test_text(spark):
     assert one(spark, text.first_words("t", 3), t="a b c") == "a b c"
     assert [one(spark, text.token_estimate("t"), t=t) for t in ("", "abc", "abcdefgh")] == [0, 1, 2]
     assert one(spark, text.humanized("t"), t="money_back-plans") == "Money Back Plans"
+    assert one(spark, text.first_words("t", 3), t=" a  b\n") == "a b"
     assert one(spark, text.event_payload("t"), t="data: {}") == "{}"
+    assert one(spark, text.event_payload("t"), t=" word ") == " word "
+    assert one(spark, text.event_payload("t"), t="data:  word ") == "word "
+    assert one(spark, text.event_payload("t"), t=" ") == " " and one(spark, text.event_payload("t"), t="data: ") is None
     assert one(spark, text.event_payload("t"), t="data: [DONE]") is None
     assert one(spark, text.setting("t"), t="A = b=c") == ("A", "b=c")
     assert one(spark, text.setting("t"), t="# A=b") is None
@@ -36,6 +40,7 @@ def test_vectors(spark):
     assert one(spark, vectors.pcm16(F.array(F.lit(1.0), F.lit(-1.0), F.lit(0.5)))) == [32767, -32768, 16384]
     assert one(spark, vectors.pcm16_asymmetric(F.array(F.lit(1.0), F.lit(-1.0)))) == [32767, -32768]
     assert one(spark, vectors.resampled(F.array(F.lit(0.0), F.lit(1.0), F.lit(2.0)), 3, 5)) == [0.0, 0.5, 1.0, 1.5, 2.0]
+    assert one(spark, vectors.resampled(F.array(F.lit(0.0), F.lit(3.0), F.lit(6.0)), 5, 3)) == [0.0]  # 1.8 samples are one
 
 
 def test_rules(spark):
@@ -52,6 +57,10 @@ def test_rules(spark):
     assert one(spark, rules.error_action(F.lit(None).cast("int"))) == "retry"
     assert one(spark, rules.retry_delays(F.lit(5))) == [1.0, 2.0, 4.0, 8.0]
     assert one(spark, rules.answer_text(F.lit('{"answer": 5, "text": "x"}'))) == "x"
+    assert one(spark, rules.answer_text(F.lit('{"text": "x", "result": "y"}'))) == "y"
+    assert one(spark, rules.answer_text(F.lit('{"content": "x"}'))) == '{"content": "x"}'
     assert one(spark, rules.answer_text(F.lit('{"other": 5}'))) == '{"other": 5}'
+    now = F.lit("2026-01-02 00:00:00").cast("timestamp")
+    assert [one(spark, rules.age_hours(F.lit(t), now)) for t in ("2026-01-01T00:00:00", "2026-01-01T05:30:00+05:30", "no time")] == [24.0, 24.0, None]
     assert one(spark, rules.recency(F.lit(None).cast("double"))) == 1.0
     assert round(one(spark, rules.recency(F.lit(168.0))), 6) == 0.367879

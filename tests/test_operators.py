@@ -1,6 +1,7 @@
 """Hand-derived cases, and properties against one-row-at-a-time versions."""
 
 import random
+from datetime import datetime
 
 import numpy as np
 import pytest
@@ -175,7 +176,60 @@ def test_evaluation_and_vectors(spark):
     from loomline.operators import models
 
     assert np.allclose(np.linalg.norm(models.hashed(["a b", "x"]), axis=1), 1) and not models.hashed(["", None]).any()
-    rows = frame(spark, [(50, "s", "customer", "what of the bonus", 1.0, True), (51, "s", "agent", "the bonus is paid", 2.0, True), (52, "t", "agent", "the bonus is paid", 2.0, True)], TURNS)
+    at = datetime(2026, 1, 1)
+    rows = [(50, "s", "customer", "what of the bonus", 1.0, True, at), (51, "s", "agent", "the bonus is paid", 2.0, True, at), (52, "t", "agent", "the bonus is paid", 2.0, True, at)]
     chunks = frame(spark, [(1, "the bonus"), (2, None)], "chunk_index long, text string")
-    row = models.evaluation(rows, chunks).first()
-    assert row["query_id"] == 50 and row["documents"].endswith("] the bonus") and len(row["history"].split("\n")) == 2
+    past = frame(spark, [(7, "s", "an old bonus", at), (8, "t", "another", at)], "id long, session_id string, summary_text string, created_at timestamp")
+    now = F.lit("2026-01-08 00:00:00").cast("timestamp")
+    for embedder in (models.letter_counts, models.by_function(models.hashed)):
+        row = models.evaluation(frame(spark, rows, TURNS + ", created_at timestamp"), past, chunks, now, embedder).first()
+        assert row["id"] == 50 and row["docs_retrieval"].endswith("] the bonus") and len(row["history_retrieval"].split("\n")) == 2
+        # the question itself is nearest, and a week old: 0.7 + 0.3 / e
+        assert row["history_retrieval_rerank"].startswith("[0.8104] what of the bonus")
+        assert row["summary_retrieval"].endswith("an old bonus") and row["context_docs_only"] == "--- Insurance document knowledge ---\n  • the bonus"
+        assert row["context_all"].startswith("--- Last conversation turns (chronological) ---\n  [customer]: what of the bonus\n  [agent]: the bonus is paid\n--- Sem")
+        assert len(row) == 13
+
+
+def test_session_end_is_what_evictions_left(spark):
+    rows = [(i, "s", "agent", f"t{i}", datetime(2026, 1, 1, 0, i), True, False, float(i)) for i in range(30)]
+    turns = spark.createDataFrame(rows, "id long, session_id string, speaker string, text string, created_at timestamp, is_final boolean, is_important boolean, spoken_at double")
+    # 30 turns: evictions at 21 and 26 take ten
+    assert [r["lines"].count("]: t") for r in memory.evicted_turns(turns).orderBy("eviction_no").collect()] == [5, 5]
+    end = memory.session_end(turns).first()
+    assert end["n_turns"] == 20 and end["lines"].startswith("[agent]: t10\n---\n[agent]: t11")
+    assert memory.session_end(turns.limit(0)).count() == 0
+
+
+def test_last_of_two_new_rows_wins(spark):
+    old = spark.createDataFrame([(1, "a"), (2, "b")], "chunk_index int, text string")
+    new = spark.createDataFrame([(2, "c"), (2, "d"), (3, "e")], "chunk_index int, text string").coalesce(1)
+    assert sorted(map(tuple, documents.upserted(old, new).collect())) == [(1, "a"), (2, "d"), (3, "e")]
+
+
+def test_blocks_of_queries_equal_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    vectors = rng.integers(-2, 3, (300, 4)).astype(float)
+    rows = [(i, vectors[i].tolist(), "hot" if i % 3 else f"k{i % 7}") for i in range(300)] + [(900, None, "hot"), (901, [1.0, 0.0, 0.0, 0.0], None)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    monkeypatch.setattr(retrieval, "GROUP_ROWS", 40)
+    monkeypatch.setattr(retrieval, "GROUP_QUERIES", 16)
+    monkeypatch.setattr(retrieval, "MOST_BROADCAST_VALUES", 0)
+    size = np.linalg.norm(vectors, axis=1, keepdims=True)
+    unit = np.divide(vectors, size, out=np.zeros_like(vectors), where=size > 0)
+    near = np.round(unit @ unit.T, 9)
+    for within in ("label", None):
+        found = {}
+        for r in retrieval.nearest(table.where("vec_id <> 901"), table.where("vec_id % 5 = 0 and vec_id < 300"), 3, within=within).collect():
+            found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+        for q in range(0, 300, 5):
+            own = [i for i in range(300) if within is None or rows[i][2] == rows[q][2]]
+            best = sorted(own, key=lambda i: (-near[q, i], i))[:3]
+            assert [i for _, i in sorted(found[q])] == best
+
+
+def test_pages_run_on_over_batches(spark):
+    pages = spark.createDataFrame([("f", 1, "a" * 999), ("f", 2, "b" * 2_000), ("g", 1, None), ("g", 2, " "), (None, 1, "x")], "file string, page int, text string")
+    found = [(r["file"], r["place"], len(r["text"])) for r in documents.chunk_pages(pages).orderBy("place").collect()]
+    # the page's end is a line end, so the first chunk is cut at 1000 and stripped; each next one repeats 50
+    assert found == [("f", 0, 999), ("f", 1, 1000), ("f", 2, 1000), ("f", 3, 151)]

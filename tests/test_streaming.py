@@ -28,3 +28,13 @@ def test_all_session_windows(spark, data, tmp_path):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
     found = {(r["first_id"], r["n_segments"]) for r in streaming.drained(streaming.turn_windows(stream, late=None), "all", "complete").collect()}
     assert found == {(1, 3), (5, 1)}
+
+
+def test_turns_close_by_speaker_silence_and_end(spark, tmp_path):
+    rows = [(1, "s", "customer", "a", True, 0.0), (2, "s", "customer", "b", True, 1.0), (3, "s", "agent", "x", True, 1.2), (4, "s", "customer", "c", True, 1.3), (5, "s", "customer", "d", True, 9.0)]
+    path = str(tmp_path / "transcript_segments.parquet")
+    for row in rows:  # one micro-batch each
+        spark.createDataFrame([row], "segment_id long, session_id string, speaker string, text string, is_final boolean, timestamp double").coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 5).parquet(path)
+    found = {(r["island"], r["text"]) for r in streaming.drained(streaming.customer_turns(stream), "turns", rest=streaming.open_turns).collect()}
+    assert found == {(1, "a b"), (4, "c"), (5, "d")}
