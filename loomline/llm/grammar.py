@@ -48,6 +48,48 @@ def choice(*rules: Rule) -> Rule:
     return rule
 
 
+def starting(characters: str, part: Rule) -> Rule:
+    """The rule, asked only where one of the characters stands: it could begin with no other."""
+    own = frozenset(characters)
+    return lambda text, at: part(text, at) if text[at : at + 1] in own else None
+
+
+_OPENED = re.compile(r"[\[({\])}>]|<(?=[^\s<>=\d])|<(?=t=)")
+_CLOSES = {"]": "[", ")": "(", "}": "{", ">": "<"}
+
+
+def brackets(text: str) -> dict[int, int]:
+    """Where each bracket that is closed ends; notes may lie in notes to any depth. One that is not closed is a plain character."""
+    ends, opened = {}, {"[": [], "(": [], "{": [], "<": []}
+    for found in _OPENED.finditer(text):
+        mark, at = found.group(), found.start()
+        if mark in opened:
+            opened[mark].append(at)
+            continue
+        own = opened[_CLOSES[mark]]
+        if own:
+            start = own.pop()
+            ends[start] = at + 1
+            # what was opened inside and not closed stays plain
+            for others in opened.values():
+                while others and others[-1] > start:
+                    others.pop()
+    return ends
+
+
+def bracketed() -> Rule:
+    """A note in brackets, from its opening mark to where it is closed."""
+    held: dict = {"text": None, "ends": {}}
+
+    def rule(text: str, at: int):
+        if held["text"] is not text:
+            held.update(text=text, ends=brackets(text))
+        end = held["ends"].get(at)
+        return None if end is None else (end, [])
+
+    return rule
+
+
 def many(part: Rule) -> Rule:
     """As often as it matches and moves on."""
 
@@ -84,23 +126,3 @@ def node(kind: str, part: Rule, accept: Callable[[str], bool] = lambda _: True)
         return found[0], [(kind, text[at : found[0]], tuple(found[1]))]
 
     return rule
-
-
-def kept(part: Rule) -> Rule:
-    """Keeps what the rule gave at each place of the text at hand, so a place is read once."""
-    held: dict = {"text": None}
-
-    def rule(text: str, at: int):
-        if held["text"] is not text:
-            held.clear()
-            held["text"] = text
-        if at not in held:
-            held[at] = part(text, at)
-        return held[at]
-
-    return rule
-
-
-def nothing(text: str, at: int):
-    """Never matches."""
-    return None

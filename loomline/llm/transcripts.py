@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.grammar import Node, Rule, choice, kept, many, node, nothing, optional, sequence, token, unless
+from loomline.llm.grammar import Node, bracketed, choice, many, node, optional, sequence, starting, token
 from loomline.llm.ordering import number_within
 from loomline.llm.sides import side
 from loomline.session import spread
@@ -37,10 +37,13 @@ SOUND_STEMS = (
 ).split()
 PHRASES = ("you know", "i mean", "you see", "basically like", "sort of like", "kind of like", "sort of", "kind of", "basically", "like", "मतलब", "matlab")
 
+#: A label names a side in so many words; more of them tell something.
+LABEL_WORDS = 4
+
 _SOUND = re.compile(rf"(?<!\w)(?:{'|'.join(SOUND_STEMS)})", re.I)
 _TIME = re.compile(r"\s*(?:t\s*=\s*\d+(?:[.,]\d+)?|\d{1,3}:\d\d(?::\d\d)?(?:[.,]\d+)?(?:\s*(?:-->|–|-)\s*\d{1,3}:\d\d(?::\d\d)?(?:[.,]\d+)?)?)\s*[-–]?\s*s?\s*$", re.I)
 _EDGES = "[](){}<>~*/♪♫🎵🎶🔔📞🔊🔇🔕- "
-_ROLE = r"(?:the\s+)?(?:call\s+)?[^\W\d_]{2,16}\.?(?:[\s_#]*\d{1,3})?"
+_ROLE = r"(?:the\s+)?(?:call\s+)?[^\W\d_]{2,}\.?(?:[\s_#]*\d{1,3})?"
 
 
 def _content(note: str) -> str:
@@ -53,12 +56,12 @@ def _is_time(note: str) -> bool:
 
 def _is_side(note: str) -> bool:
     inner = _content(note)
-    return 2 <= sum(c.isalpha() for c in inner) and len(inner) <= 24 and side(inner) is not None
+    return 2 <= sum(c.isalpha() for c in inner) and len(inner.split()) <= LABEL_WORDS and side(inner) is not None
 
 
 def _is_sound(note: str) -> bool:
     inner = _content(note)
-    return not inner or (len(inner) <= 60 and bool(_SOUND.search(inner)))
+    return not inner or bool(_SOUND.search(inner))
 
 
 # --------------------------------------------------------------------------------------------------------- the grammar
@@ -66,59 +69,48 @@ def _is_sound(note: str) -> bool:
 _space = token(r"\s+")
 
 
-#: How deep notes may lie in notes; marks below that are plain characters.
-DEPTH = 3
-
-
-def _bracket(opening: str, closing: str, inner: Rule) -> Rule:
-    """A note: other notes and anything but the closing mark, up to it."""
-    inside = many(choice(token(r"[^\[\](){}<>/]+"), inner, sequence(unless(token(closing)), token(r"(?s)."))))
-    return sequence(token(opening), inside, token(closing))
-
-
 #: A note that nothing closes: the longest run of words for sounds after the opening mark.
 _UNCLOSED = rf"[\[({{<]{{1,2}}(?:(?:background|long|short|loud|heavy|distant|door|dog|baby|phone|line|clears?)\s+)?(?:{'|'.join(SOUND_STEMS)})\w*(?:\s+(?:throat|playing|ringing|barking|crying|slams|noise|breaks|up|from\s+tv|\d{{1,2}}:\d\d)\b)*(?=\s|$)"
-_brackets = [(r"\[\[", r"\]\]"), (r"\(\(", r"\)\)"), (r"\[", r"\]"), (r"\(", r"\)"), (r"\{", r"\}"), (r"<(?=[^\s<>=\d])|<(?=t=)", r"\s*/?>")]
-_nested: Rule = nothing
-for _ in range(DEPTH):
-    _nested = kept(choice(*(_bracket(a, b, _nested) for a, b in _brackets)))
+_nested = starting("[({<", bracketed())
 #: Marks that open and close alike; what is between them must be a sound.
 _paired = choice(
-    token(r"~[^~]{1,60}~"), token(r"\*[^*]{1,60}\*"), token(r"(?<![\w/])/[^/\d][^/]{0,58}/(?!\w)"), token(r"--\s[^-]{1,60}\s--"), token(r"♪[^♪]*♪|[♪♫🎵🎶]+"), token(r"[🔔📞🔊🔇🔕]+")
+    token(r"~[^~]+~"), token(r"\*[^*]+\*"), token(r"(?<![\w/])/[^/\d][^/]*/(?!\w)"), token(r"--\s[^-]+\s--"), token(r"♪[^♪]*♪|[♪♫🎵🎶]+"), token(r"[🔔📞🔊🔇🔕]+")
 )
 
-_stamp = choice(
+_stamp = starting("0123456789@", choice(
     token(r"\d{1,2}:\d\d:\d\d[.,]\d{1,3}\s*-->\s*\d{1,2}:\d\d:\d\d[.,]\d{1,3}", "clock"),
     token(r"(?<![\w:])\d{1,2}:\d\d:\d\d(?:[.,]\d{1,3})?(?![\w:])", "clock"),
     token(r"(?<!\w)@\s?\d+(?:\.\d+)?s(?:ec)?\b", "clock"),
     token(r"(?<!\w)(?:\d{1,2}h)?\d{1,3}m\d{1,2}s:?(?!\w)", "clock"),
-)
-_note = choice(
+))
+_note = starting("[({<~*/-♪♫🎵🎶🔔📞🔊🔇🔕", choice(
     node("clock", _nested, _is_time),
     node("label", _nested, _is_side),
     node("sound", _nested, _is_sound),
     node("sound", _paired, _is_sound),
     token(_UNCLOSED, "sound", re.I),
-)
+))
 _end = r"(?=\s*(?:[,.?!;:।…\[({<~*/♪🔔]|--|$))"
-_hesitation = token(
-    r"(?<![\w'’-])(?:[Uu]+-[Uu]*[Mm]+|[Uu]+[Hh]+[Mm]*|[Uu]+[Mm]+|UH+M*|UM+|[Ee]r+m*|[Hh][Mm]{2,}|[Mm]{3,}|[Mm]m-?h[m]+)(?![\w'’]|-\w)(?:\.{3}|…|,)?", "filler"
+_HESITATION = (
+    r"(?<![\w'’-])(?:[Uu]+-[Uu]*[Mm]+|[Uu]+[Hh]+[Mm]*|[Uu]+[Mm]+|UH+M*|UM+|[Ee]r+m*|[Hh][Mm]{2,}|[Mm]{3,}|[Mm]m-?h[m]+)(?![\w'’]|-\w)(?:\.{3}|…|,)?"
 )
+_hesitation = starting("UuEeHhMm", token(_HESITATION, "filler"))
 _phrase = r"(?:" + "|".join(p.replace(" ", r"\s+") for p in sorted(PHRASES, key=len, reverse=True)) + r")(?!\w)"
 #: A phrase between commas, or between a comma and the end of a sentence.
-_inserted = token(r",\s*" + _phrase + r"(?:\s*,\s*" + _phrase + r")*" + _end + r",?", "filler", re.I)
+_inserted = starting(",", token(r",\s*" + _phrase + r"(?:\s*,\s*" + _phrase + r")*" + _end + r",?", "filler", re.I))
 #: A phrase at the start of a sentence, with a comma after it.
 _opening = token(_phrase + r"(?:,|(?=\s*(?:\.?\s*$|[\[({<~*/♪🔔]|--)))", "filler", re.I)
 _label = sequence(node("label", choice(token(_ROLE + r"\s*(?::|>{1,2}|\s-)(?=\s|$)"), token(r"[AC]\s*(?::|>{1,2})(?=\s|$)")), lambda t: side(t) is not None))
 _lead = many(choice(_space, _stamp, _note, _label, _hesitation, _opening))
 #: After these a phrase may open a sentence.
 _gap = token(r"\s+", "space")
-_pause = sequence(choice(_stamp, _note, _hesitation, token(r"[.?!।]+(?=\s)", "word")), many(choice(_gap, _stamp, _note, _hesitation)), optional(_opening))
+_pause = sequence(choice(_stamp, _note, _hesitation, starting(".?!।", token(r"[.?!।]+(?=\s)", "word"))), many(choice(_gap, _stamp, _note, _hesitation)), optional(_opening))
 _letters = r"(?:[^\W\d_]|[ऀ-ॣ०-෿])+"
 _plain = token(_letters + rf"(?:['’-]{_letters})*", "word")
-#: Words that cannot begin a hesitation, at once.
-_run = token(rf"(?:(?![UuHhMmEe]){_letters}(?:['’-]{_letters})*(?:[ \t]+|(?=[,.?!])))+", "word")
-_item = choice(_run, _inserted, _pause, _gap, _plain, token(r"(?s).", "word"))
+#: Words that are no hesitation, at once.
+_run = token(rf"(?:(?!{_HESITATION}){_letters}(?:['’-]{_letters})*(?:[ \t]+|(?=[,.?!])))+", "word")
+_digits = token(r"\d+", "word")
+_item = choice(_run, _inserted, _pause, _gap, _plain, _digits, token(r"(?s).", "word"))
 _turn = sequence(_lead, many(_item))
 
 

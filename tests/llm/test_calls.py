@@ -124,3 +124,20 @@ def test_kinds_and_turns(spark):
     assert found == {(1, "filler"), (2, "label"), (3, "label"), (4, "sound"), (5, "label"), (6, "label")}
     clean = [(r["session_id"], r["turn_no"], r["id"], r["role"], r["said"]) for r in transcripts.clean_turns(turns(spark, rows)).orderBy("session_id", "turn_no").collect()]
     assert clean == [(None, 1, 6, "agent", "yes"), ("s", 1, 4, "customer", "Hi."), ("s", 2, 1, "agent", "hello.")]
+
+
+@pytest.mark.parametrize(
+    ("text", "kinds", "said"),
+    [
+        ("Hello [a very long note about music that is playing in the background for well over sixty characters in all] there.", ("sound",), "Hello there."),
+        ("Hello " + "[" * 40 + "door slams" + "]" * 40 + " there.", ("sound",), "Hello there."),
+        ("~" + "static " * 30 + "~ hello", ("sound",), "hello"),
+        ("Hello [the agent said that it would be on the music desk of the customer] x", ("sound",), "Hello x"),
+        ("It is [the agent who told the customer about it] x", (), "It is [the agent who told the customer about it] x"),
+        ("(a [b) c] d", (), "(a [b) c] d"),
+        ("It costs 30,000 or 1m15s: at 10:20", ("clock",), "It costs 30,000 or at 10:20"),
+    ],
+)
+def test_no_length_or_depth_is_too_much(text, kinds, said):
+    found = transcripts.read(text)
+    assert (found[0], found[1]) == (kinds, said)
