@@ -6,8 +6,8 @@ white space and punctuation (Unicode P). The job has four steps:
 1. each partition merges its own equal records in a trie, so a group that a third of all rows belong to becomes one
    entry per partition before anything is shuffled;
 2. entries are partitioned by the first bytes of their key; a bucket with more than ``BUCKET_KEYS`` entries is split by
-   further bytes, again and again, until each fits or the key ends;
-3. each bucket is counted in a trie whose terminal nodes hold the number of copies and the smallest id;
+   further bytes, again and again, until each fits or the key ends: then its entries are one key and are summed at once;
+3. buckets are counted in tries whose terminal nodes hold the number of copies and the smallest id; small buckets share one;
 4. for pairs, groups of more than one are joined back to the records by key; adaptive execution splits a hot key there.
 
 Defined results: a record with a null in session, speaker, text or timestamp, a timestamp that is no number (NaN), and a
@@ -18,6 +18,7 @@ are ignored.
 
 from __future__ import annotations
 
+import gc
 import json
 import math
 import re
@@ -25,6 +26,8 @@ import struct
 import sys
 import unicodedata
 from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,8 +39,8 @@ from loomline.session import materialise, spread
 BUCKET_KEYS = 50_000
 #: Bytes of the first split, and of each next one as a multiple of the one before.
 FIRST_BYTES, WIDER = 1, 2
-#: Bytes on one edge of a trie.
-EDGE = 8
+#: Bytes on the first edge of a trie; what follows is one edge, since below it chains without a branch are the rule.
+EDGE = 36
 
 _PUNCTUATION = {i: None for i in range(sys.maxunicode + 1) if unicodedata.category(chr(i))[0] == "P"}
 _ASCII = {i: None for i in range(128) if i in _PUNCTUATION or chr(i).isspace()}
@@ -51,6 +54,10 @@ def canonical(text: str) -> str:
     return _SPACE.sub("", text.casefold().translate(_PUNCTUATION))
 
 
+#: Speakers are few.
+_canonical_speaker = lru_cache(maxsize=10_000)(canonical)
+
+
 def _number(value: object) -> float | None:
     if value is None or isinstance(value, bool):
         return None
@@ -80,7 +87,7 @@ def key(session: str | None, speaker: object, text: object, timestamp: object) -
     if session is None or not isinstance(speaker, str) or not isinstance(text, str) or number is None:
         return None
     # the number's bits, so that equal numbers have equal bytes
-    return b"\0".join([session.encode(), struct.pack(">d", number).hex().encode(), canonical(speaker).encode("utf-8", "surrogatepass"), canonical(text).encode("utf-8", "surrogatepass")])
+    return b"\0".join([session.encode(), struct.pack(">d", number).hex().encode(), _canonical_speaker(speaker).encode("utf-8", "surrogatepass"), canonical(text).encode("utf-8", "surrogatepass")])
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,71 +104,86 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Trie:
-    """Keys in edges of ``EDGE`` bytes; terminal nodes hold the smallest id and the number of copies."""
+    """Keys on two edges; terminal nodes hold the smallest id and the number of copies."""
 
     def __init__(self) -> None:
         self.root, self.size = {}, 0
 
     def add(self, own: bytes, smallest: int | None, copies: int) -> None:
-        node = self.root
-        for i in range(0, len(own), EDGE):
-            node = node.setdefault(own[i : i + EDGE], {})
-        held = node.get(None)
+        head = own[:EDGE]
+        node = self.root.get(head)
+        if node is None:
+            node = self.root[head] = {}
+        held = node.get(own[EDGE:])
         if held is None:
-            node[None], self.size = [smallest, copies], self.size + 1
+            node[own[EDGE:]] = [smallest, copies]
+            self.size += 1
         else:
             held[0] = smallest if held[0] is None else held[0] if smallest is None else min(held[0], smallest)
             held[1] += copies
 
-    def items(self) -> Iterator[tuple[bytes, int | None, int]]:
-        stack = [(b"", self.root)]
-        while stack:
-            prefix, node = stack.pop()
-            for edge, below in node.items():
-                if edge is None:
-                    yield prefix, *below
-                else:
-                    stack.append((prefix + edge, below))
+    def columns(self) -> tuple[list, list, list]:
+        """Keys, smallest ids and numbers of copies of all terminal nodes."""
+        keys = [head + tail for head, node in self.root.items() for tail in node]
+        held = [own for node in self.root.values() for own in node.values()]
+        return keys, [own[0] for own in held], [own[1] for own in held]
 
 
-def _entries(trie: Trie) -> Iterator[pa.RecordBatch]:
-    rows = list(trie.items())
-    for i in range(0, len(rows), 20_000):
-        keys, ids, counts = zip(*rows[i : i + 20_000], strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(ids, pa.int64()), pa.array(counts, pa.int64())], ["key", "keep_id", "copies"])
+@contextmanager
+def _uncollected() -> Iterator[None]:
+    """Tries hold no cycles: looking for some after every few hundred new nodes would take most of the time."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
+def _entries(trie: Trie) -> pa.RecordBatch:
+    keys, ids, counts = trie.columns()
+    return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(ids, pa.int64()), pa.array(counts, pa.int64())], ["key", "keep_id", "copies"])
 
 
 def _merge_local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     trie = Trie()
     for batch in batches:
-        for own, i in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            trie.add(own, i, 1)
+        with _uncollected():
+            for own, i in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                trie.add(own, i, 1)
         if trie.size >= 2 * BUCKET_KEYS:
-            yield from _entries(trie)
+            yield _entries(trie)
             trie = Trie()
-    yield from _entries(trie)
+    yield _entries(trie)
 
 
 def _count_bucket(bucket: pa.Table) -> pa.Table:
     trie = Trie()
-    for own, i, copies in zip(*(bucket.column(c).to_pylist() for c in ("key", "keep_id", "copies")), strict=True):
-        trie.add(own, i, copies)
-    batches = list(_entries(trie))
-    return pa.Table.from_batches(batches)
+    with _uncollected():
+        for own, i, copies in zip(*(bucket.column(c).to_pylist() for c in ("key", "keep_id", "copies")), strict=True):
+            trie.add(own, i, copies)
+        return pa.Table.from_batches([_entries(trie)])
+
 
+def _bucketed(entries: DataFrame, limit: int) -> tuple[DataFrame, DataFrame | None]:
+    """Add ``bucket``: as many first bytes of the key as it takes for at most ``limit`` entries.
 
-def _bucketed(entries: DataFrame, limit: int) -> DataFrame:
-    """Add ``bucket``: as many first bytes of the key as it takes for at most ``limit`` entries."""
+    What no further byte can split are entries of one and the same key; such keys are returned beside it as ``(full)``.
+    """
     longest = entries.agg(F.max(F.length("key"))).first()[0] or 0
     prefix = lambda n: F.expr(f"substring(key, 1, {n})")
-    depth, inside, levels = FIRST_BYTES, entries.select("key"), []
-    while depth < longest:
+    depth, inside, levels, same = FIRST_BYTES, entries.select("key"), [], None
+    while longest:
         sizes = inside.groupBy(prefix(depth).alias("full")).count()
         over = materialise(sizes.where(F.col("count") > limit).select("full"), "radix")
         n_over = over.count()
         if not n_over:
             break
         over = F.broadcast(over) if n_over <= 10_000 else over
+        if depth >= longest:
+            same = over
+            break
         levels.append((depth, over))
         # what lies in an oversized bucket lies in oversized ones at all lesser depths: one join finds it
         inside = entries.select("key").join(over, prefix(depth) == F.col("full"), "left_semi")
@@ -170,7 +192,7 @@ def _bucketed(entries: DataFrame, limit: int) -> DataFrame:
     for depth, over in levels:
         hit = held.join(over, (F.col("depth") == depth) & (prefix(depth) == F.col("full")), "left")
         held = hit.withColumn("depth", F.when(F.col("full").isNotNull(), F.lit(depth * WIDER)).otherwise(F.col("depth"))).drop("full")
-    return held.withColumn("bucket", F.expr("substring(key, 1, depth)")).drop("depth")
+    return held.withColumn("bucket", F.expr("substring(key, 1, depth)")).drop("depth"), same
 
 
 def keyed_records(segments: DataFrame, raw: DataFrame) -> DataFrame:
@@ -184,7 +206,16 @@ def keyed_records(segments: DataFrame, raw: DataFrame) -> DataFrame:
 def count_copies(keyed: DataFrame, limit: int = BUCKET_KEYS) -> DataFrame:
     """``(key, keep_id, copies)``: each distinct key with its smallest id and the number of records."""
     entries = materialise(keyed.select("key", "id").mapInArrow(_merge_local, "key binary, keep_id long, copies long"), "local-tries")
-    return _bucketed(entries, limit).groupBy("bucket").applyInArrow(_count_bucket, "key binary, keep_id long, copies long")
+    split, same = _bucketed(entries, limit)
+    # many small buckets share a task's trie: hashed into bins of half the limit on average
+    bins = 2 * entries.count() // limit + 1
+    split = split.withColumn("bin", F.pmod(F.xxhash64("bucket"), F.lit(bins)))
+    if same is None:
+        return split.groupBy("bin").applyInArrow(_count_bucket, "key binary, keep_id long, copies long")
+    # a key that fills buckets by itself needs no trie: its entries are summed, partly before they are shuffled
+    hot = entries.join(same, F.col("key") == F.col("full"), "left_semi").groupBy("key").agg(F.min("keep_id").alias("keep_id"), F.sum("copies").alias("copies"))
+    rest = split.join(same, F.col("key") == F.col("full"), "left_anti")
+    return rest.groupBy("bin").applyInArrow(_count_bucket, "key binary, keep_id long, copies long").unionByName(hot)
 
 
 def collapse(segments: DataFrame, raw: DataFrame, limit: int = BUCKET_KEYS) -> DataFrame:

@@ -58,7 +58,7 @@ def test_buckets_fit_or_end(spark):
     rows = [(f"{'p' * (i % 4) * 9}{i:05d}".encode(), i, 1) for i in range(500)] + [(b"same", i, 1) for i in range(30)]
     df = spark.createDataFrame(rows, "key binary, keep_id long, copies long")
     sizes = {}
-    for r in hidden_copies._bucketed(df, 10).collect():
+    for r in hidden_copies._bucketed(df, 10)[0].collect():
         assert bytes(r["key"]).startswith(bytes(r["bucket"]))
         sizes.setdefault(bytes(r["bucket"]), []).append(bytes(r["key"]))
     assert all(len(v) <= 10 or set(v) == {b"same"} for v in sizes.values())
@@ -103,3 +103,19 @@ def test_oversized_rows(spark):
     assert rows[0]["source_file"] == "f" and rows[0]["page_range"] is None
     assert pieces.cut_texts(chunks(spark, texts)).where("chunk_index = 5").count() == 1
     assert pieces.oversized_rows(chunks(spark, []).limit(0)).count() == 0
+
+
+def test_one_key_in_a_third_of_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(hidden_copies, "BUCKET_KEYS", 2)
+    rows = [(i, f"{i // 6:04d}".encode() if i % 3 else b"0000hot") for i in range(600)]
+    keyed = spark.createDataFrame(rows, "id long, key binary").repartition(30)
+    counts = {}
+    for i, own in rows:
+        held = counts.setdefault(own, [i, 0])
+        held[0], held[1] = min(held[0], i), held[1] + 1
+    found = {bytes(r["key"]): [r["keep_id"], r["copies"]] for r in hidden_copies.count_copies(keyed, 2).collect()}
+    assert found == counts
+    # the hot key's entries are not one bucket of a trie
+    entries = keyed.select("key", "id").mapInArrow(hidden_copies._merge_local, "key binary, keep_id long, copies long")
+    _, same = hidden_copies._bucketed(entries, 2)
+    assert b"0000hot" in {bytes(r["full"]) for r in same.collect()}
