@@ -27,7 +27,6 @@ from loomline.session import materialise
 CAPACITY = 2048
 #: Items that one task ranks at a time.
 GROUP_ITEMS = 250_000
-MOST_SALTS = 4096
 
 
 def _closest(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -101,7 +100,7 @@ def fill_containers(items: DataFrame, id_column: str, size_column: str, capacity
             out[own] = bases[at] + (ranks[own] - begins[at]) // uses[at]
         return pd.Series(out)
 
-    salts = int(min(MOST_SALTS, max(8, sum(counts.values()) // GROUP_ITEMS)))
+    salts = int(max(8, sum(counts.values()) // GROUP_ITEMS))
     salted = held.withColumn("salt", F.pmod(F.xxhash64("id", "piece"), F.lit(salts)))
     by_size = Window.partitionBy("n").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     before = salted.groupBy("n", "salt").count().select("n", "salt", F.coalesce(F.sum("count").over(by_size), F.lit(0)).alias("before"))

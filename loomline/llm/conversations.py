@@ -1,33 +1,43 @@
 """Whole conversations from message rows.
 
-Rows with a session belong to that session. Rows without one get theirs as connected components over two kinds of links:
-a quote link joins a row to any row with the same text, side and time (the same words stored again), a reply link joins
-it to the row without session before it, if that is the other side's and not older than ``REPLY_SECONDS``. Components are
-found by alternating large-star and small-star joins. A component that reaches a session is that session's; another is a
-conversation of its own. Conversations are then ordered and validated.
+Every row and every session is a node, and the conversations of all rows are connected components, found by alternating
+large-star and small-star joins. Links are:
+
+* own: a row and its session;
+* quote: a row without session and any row with the same words, side and time (the same words stored again);
+* reply: a row without session and the session heard around it, if no other session is heard within ``REPLY_SECONDS`` (in
+  steps of ``STEP_SECONDS``); where none is heard, the row without session before it, if that is the other side's, not
+  older than ``REPLY_SECONDS``, and all such rows about it take turns. Where calls overlap, none of this holds, and a row
+  stays alone rather than going to a call at random.
+
+A component that reaches a session is that session's (the smallest, if quotes tie several); another is a conversation of
+its own. Conversations are then ordered and validated.
 
 A conversation is broken if it has no usable turn, a usable turn whose speaker names neither side or that has no
 ``spoken_at`` (null or NaN), only one side among its usable turns, or the customer's turn last. A usable turn is final
 and its text is not null or only white space. The last turn is that with the latest time; among equals, the largest id.
 
 Defined results: rows stored twice (same conversation, side, text and time) give one turn, with the smallest id; a
-session is judged by its own rows only; empty tables give no rows; a null ``is_final`` is not final; other columns are
-ignored.
+session is judged by the rows stored under it only; rows with one id are one node; empty tables give no rows; a null
+``is_final`` is not final; other columns are ignored. Components that are not found after ``MOST_ROUNDS`` rounds are an
+error, never a partial result.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomline.llm.ordering import number_within
 from loomline.llm.sides import side
+from loomline.operators.ordering import number_within
+from loomline.operators.timeline import islands, with_previous
 from loomline.session import materialise
 
-REPLY_SECONDS = 30.0
-MOST_ROUNDS = 40
+REPLY_SECONDS, STEP_SECONDS = 30.0, 10.0
+#: Rounds grow with the logarithm of the longest chain, so more than these tell of a fault.
+MOST_ROUNDS = 60
 
 
 @F.pandas_udf(T.StringType())
@@ -72,72 +82,91 @@ def connected_components(links: DataFrame) -> DataFrame:
         if now == seen:
             break
         seen = now
+    else:
+        raise RuntimeError(f"components not found in {MOST_ROUNDS} rounds")
     roots = edges.groupBy(F.col("high").alias("node")).agg(F.min("low").alias("root"))
     return roots.unionByName(edges.select(F.col("low").alias("node"), F.col("low").alias("root"))).groupBy("node").agg(F.min("root").alias("root"))
 
 
-def _links(rows: DataFrame) -> DataFrame:
-    """Quote and reply links of the rows without session. Sessions sort before rows, so they become roots."""
-    name = lambda c: F.concat(F.lit("row:"), F.lpad(F.col(c).cast("string"), 20, "0"))
-    node = F.when(F.col("session_id").isNotNull(), F.concat(F.lit("0:"), F.col("session_id"))).otherwise(name("id"))
-    bare = rows.where("session_id is null")
+def _row(column: str) -> F.Column:
+    return F.concat(F.lit("1:"), F.lpad(F.col(column).cast("string"), 20, "0"))
+
+
+def _session(column: str) -> F.Column:
+    """Sessions sort before rows, so they become roots."""
+    return F.concat(F.lit("0:"), F.col(column))
+
+
+def _quotes(rows: DataFrame, bare: DataFrame) -> DataFrame:
     said = ["text", "side", "spoken_at"]
     # the smallest node with the same words stands for all of them
     asked = bare.select(*said).where("text is not null and spoken_at is not null").distinct()
+    node = F.coalesce(_session("session_id"), _row("id"))
     same = rows.join(asked, said, "left_semi").groupBy(*said).agg(F.min(node).alias("b"))
-    quotes = bare.join(same, said).select(name("id").alias("a"), "b")
-    # rows without session lie in slices of time; the last row of the slice before is carried over by a second window
-    slice_, in_slice = F.floor(F.col("spoken_at") / 3600), Window.partitionBy("slice").orderBy("spoken_at", "id")
-    timed = bare.where("usable and side is not null and spoken_at is not null").select("id", "side", "spoken_at", slice_.alias("slice"))
-    ends = timed.groupBy("slice").agg(F.max(F.struct("spoken_at", "id", "side")).alias("end")).select((F.col("slice") + 1).alias("slice"), "end")
-    near = timed.join(ends, "slice", "left")
-    last = lambda c: F.coalesce(F.lag(c).over(in_slice), F.col(f"end.{c}"))
-    near = near.select("id", "side", "spoken_at", last("id").alias("to"), last("side").alias("to_side"), last("spoken_at").alias("to_at"))
-    replies = near.where((F.col("side") != F.col("to_side")) & (F.col("spoken_at") - F.col("to_at") <= REPLY_SECONDS))
-    alone = bare.select(name("id").alias("a"), name("id").alias("b"))
-    return quotes.union(replies.select(name("id").alias("a"), name("to").alias("b"))).union(alone)
+    return bare.join(same, said).select(_row("id").alias("a"), "b")
+
+
+def _replies(rows: DataFrame, bare: DataFrame) -> DataFrame:
+    step, reach = F.floor(F.col("spoken_at") / STEP_SECONDS), round(REPLY_SECONDS / STEP_SECONDS)
+    timed = bare.where("usable and spoken_at is not null")
+    # one row for each step of time, however many calls there are in it
+    heard = rows.where("usable and spoken_at is not null and session_id is not null").groupBy(step.alias("step")).agg(F.min("session_id").alias("first"), F.max("session_id").alias("last"))
+    around = timed.select("id", F.explode(F.sequence(step - reach, step + reach)).alias("step")).join(heard, "step")
+    near = materialise(around.groupBy("id").agg(F.min("first").alias("first"), F.max("last").alias("last")), "near")
+    # where no session is heard, rows without session that take turns
+    alone = timed.where("side is not null").join(near, "id", "left_anti").select("id", "side", "spoken_at").dropDuplicates(["id"])
+    runs = islands(alone, [], "spoken_at", "id", lambda p: F.col("spoken_at") - p["spoken_at"] > REPLY_SECONDS)
+    before = materialise(with_previous(runs, [], "spoken_at", "id", ["id", "side", "island"]), "runs").where("prev.island = island")
+    mixed = before.where("prev.side = side").select("island").distinct()
+    turns = before.join(mixed, "island", "left_anti").select(_row("id").alias("a"), _row("prev.id").alias("b"))
+    return near.where("first = last").select(_row("id").alias("a"), _session("first").alias("b")).union(turns)
 
 
 def grouped(turns: DataFrame) -> DataFrame:
-    """Prepared rows with ``conversation_id`` and whether the row had its session from the start (``own``)."""
+    """Prepared rows with ``conversation_id``, whether its component reaches a session, and whether the row had its session from the start (``own``)."""
     rows = materialise(prepared(turns), "turns")
-    roots = connected_components(_links(rows)).where("node like 'row:%'")
-    bare = rows.where("session_id is null").withColumn("node", F.concat(F.lit("row:"), F.lpad(F.col("id").cast("string"), 20, "0")))
+    bare = rows.where("session_id is null")
+    own = rows.where("session_id is not null").select(_row("id").alias("a"), _session("session_id").alias("b"))
+    roots = connected_components(own.union(_quotes(rows, bare)).union(_replies(rows, bare)))
+    # a row without any link is a component of its own
+    node = rows.withColumn("node", F.coalesce(_row("id"), _session("session_id"), F.lit("1:")))
     root = F.coalesce("root", "node")
-    found = bare.join(roots, "node", "left").withColumn("conversation_id", F.when(root.startswith("0:"), root.substr(F.lit(3), F.length(root))).otherwise(root))
-    known = rows.where("session_id is not null").withColumn("conversation_id", F.col("session_id")).withColumn("own", F.lit(True))
-    return known.unionByName(found.drop("node", "root").withColumn("own", F.lit(False)))
-
-
-def verdicts(rows: DataFrame) -> DataFrame:
-    """``(conversation_id, has_session, broken)``. Aggregates only, so a conversation of any size is judged."""
-    # a session is judged by its own rows, a conversation without session by all of its rows
-    counted = F.col("own") | F.col("conversation_id").startswith("row:")
-    use = F.col("usable") & counted
-    last = F.max(F.when(use & F.col("spoken_at").isNotNull(), F.struct("spoken_at", "id", "side"))).alias("last")
-    judged = rows.where(counted).groupBy("conversation_id").agg(
-        F.max("own").alias("has_session"),
+    found = F.when(root.startswith("0:"), root.substr(F.lit(3), F.length(root))).otherwise(F.concat(F.lit("row:"), root.substr(F.lit(3), F.length(root))))
+    return node.join(roots, "node", "left").select(*rows.columns, found.alias("conversation_id"), root.startswith("0:").alias("reaches"), F.col("session_id").isNotNull().alias("own"))
+
+
+def _judged(rows: DataFrame, key: str) -> DataFrame:
+    """``(key, broken)``. Aggregates only, so a conversation of any size is judged."""
+    use = F.col("usable")
+    judged = rows.groupBy(key).agg(
         F.sum(use.cast("long")).alias("n"),
         F.sum((use & (F.col("side").isNull() | F.col("spoken_at").isNull())).cast("long")).alias("n_bad"),
         F.sum((use & (F.col("side") == "agent")).cast("long")).alias("n_agent"),
         F.sum((use & (F.col("side") == "customer")).cast("long")).alias("n_customer"),
-        last,
+        F.max(F.when(use & F.col("spoken_at").isNotNull(), F.struct("spoken_at", "id", "side"))).alias("last"),
     )
     none = lambda c: F.coalesce(F.col(c), F.lit(0)) == 0
     broken = none("n") | ~none("n_bad") | none("n_agent") | none("n_customer") | (F.col("last.side") == "customer")
-    return judged.select("conversation_id", "has_session", F.coalesce(broken, F.lit(True)).alias("broken"))
+    return judged.select(key, F.coalesce(broken, F.lit(True)).alias("broken"))
 
 
 def broken_sessions(turns: DataFrame) -> DataFrame:
-    """``(session_id)`` of the sessions to drop."""
-    return verdicts(grouped(turns)).where("has_session and broken").select(F.col("conversation_id").alias("session_id"))
+    """``(session_id)`` of the sessions to drop, each judged by the rows of its conversation that are stored under it."""
+    return _judged(grouped(turns).where("own and reaches"), "session_id").where("broken").select("session_id")
+
+
+def whole_conversations(rows: DataFrame) -> DataFrame:
+    """Those of sessions that are not broken, and those without session that are not."""
+    sessions = rows.where("own").groupBy("conversation_id").agg(F.lit(True).alias("has_session"))
+    broken = _judged(rows.where("own"), "session_id").where("broken").select(F.col("session_id").alias("conversation_id"))
+    free = _judged(rows.join(sessions, "conversation_id", "left_anti"), "conversation_id").where("not broken").select("conversation_id")
+    return sessions.select("conversation_id").join(broken, "conversation_id", "left_anti").unionByName(free)
 
 
 def rebuild(turns: DataFrame) -> DataFrame:
     """``(conversation_id, turn_no, id, role, text, spoken_at)``: the turns of whole conversations in spoken order."""
-    rows = grouped(turns)
-    whole = verdicts(rows).where("not broken").select("conversation_id")
-    usable = rows.where("usable and side is not null and spoken_at is not null").join(whole, "conversation_id", "left_semi")
+    rows = materialise(grouped(turns), "grouped")
+    usable = rows.where("usable and side is not null and spoken_at is not null").join(whole_conversations(rows), "conversation_id", "left_semi")
     once = usable.groupBy("conversation_id", "side", "text", "spoken_at").agg(F.min("id").alias("id"))
     kept = once.select("conversation_id", "id", F.col("side").alias("role"), "text", "spoken_at")
     numbered = number_within(kept, ["conversation_id"], ["spoken_at", "id"], "turn_no")

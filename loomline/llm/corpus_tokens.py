@@ -27,7 +27,8 @@ from pathlib import Path
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.session import materialise, spread
@@ -58,6 +59,14 @@ def _encoding(name: str, folder: str):
     return tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=token_bytes(name, folder), special_tokens={})
 
 
+def _sent(spark: SparkSession, name: str, folder: str) -> None:
+    context = spark.sparkContext
+    sent = context.__dict__.setdefault("_loomline_files", set())
+    if (name, folder) not in sent:
+        context.addFile(str(Path(folder, f"{name}.tiktoken")))
+        sent.add((name, folder))
+
+
 class _Codes(dict):
     """Gives each new word the next number."""
 
@@ -129,11 +138,12 @@ def _blocks(limit: int):
 
 
 def word_ids(words: DataFrame, column: str, name: str = VOCABULARY, folder: str = TOKENIZERS) -> DataFrame:
-    """Add ``token_ids`` to distinct words."""
+    """Add ``token_ids`` to distinct words. The vocabulary goes to the workers as a file of the job."""
+    _sent(words.sparkSession, name, folder)
 
     @F.pandas_udf("array<int>")
     def encode(batch: pd.Series) -> pd.Series:
-        own = _encoding(name, folder)
+        own = _encoding(name, SparkFiles.getRootDirectory())
         return pd.Series([np.array(own.encode_ordinary(word), np.int32) for word in batch])
 
     return words.withColumn("token_ids", encode(column))

@@ -55,6 +55,11 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_tokens.encode_corpus(_table(spark, sf_dir, "documents"))
 
 
+def p6_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The way back: texts from the ids."""
+    return corpus_tokens.decode_corpus(p6_ids(spark, sf_dir))
+
+
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return containers.pack_documents(_table(spark, sf_dir, "documents"))
 
@@ -71,7 +76,7 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return offence.source_rates(p8_scores(spark, sf_dir))
 
 
-QUERIES = {"p1_found": p1_found, "p1_conversations": p1_conversations, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_records": p3_records, "p4_found": p4_found, "p4_texts": p4_texts, "p5_found": p5_found, "p5_turns": p5_turns, "p6_ids": p6_ids, "p7_containers": p7_containers, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
+QUERIES = {"p1_found": p1_found, "p1_conversations": p1_conversations, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_records": p3_records, "p4_found": p4_found, "p4_texts": p4_texts, "p5_found": p5_found, "p5_turns": p5_turns, "p6_ids": p6_ids, "p6_texts": p6_texts, "p7_containers": p7_containers, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
 _COPIES = r"""
 WITH records AS (
   SELECT segment_id, session_id, speaker, text, "timestamp" AS stamp FROM transcript_segments
@@ -89,6 +94,7 @@ grouped AS (SELECT segment_id, min(segment_id) OVER (PARTITION BY k) AS keep_id,
 _WHITE = r"[\s\x0b\x{1c}-\x{1f}\x{85}\p{Z}]"
 
 ORACLE: dict[str, str] = {
+    "p6_texts": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p2_found": f"SELECT chunk_index FROM doc_chunks WHERE length(regexp_replace(regexp_replace(text, '^{_WHITE}+', ''), '{_WHITE}+$', '')) > 1000",
     "p3_found": _COPIES + "SELECT keep_id, segment_id AS copy_id FROM grouped WHERE segment_id <> keep_id",
     "p3_records": _COPIES + "SELECT keep_id, count(*) AS copies FROM grouped GROUP BY keep_id",

@@ -141,3 +141,32 @@ def test_kinds_and_turns(spark):
 def test_no_length_or_depth_is_too_much(text, kinds, said):
     found = transcripts.read(text)
     assert (found[0], found[1]) == (kinds, said)
+
+
+def test_blanked_sessions_are_found_again(spark, data):
+    from pyspark.sql import functions as F
+
+    given = spark.read.parquet(f"{data}/turns.parquet")
+    blanked = given.withColumn("session_id", F.when(F.xxhash64("id") % 4 != 0, F.col("session_id")))
+    rows = conversations.grouped(blanked).join(given.select("id", F.col("session_id").alias("true")), "id").where("not own and true is not null and usable and spoken_at is not null").collect()
+    right = sum(r["conversation_id"] == r["true"] for r in rows)
+    assert len(rows) > 80 and right >= 0.9 * len(rows)
+    assert right >= 0.95 * sum(r["reaches"] for r in rows)
+
+
+def test_overlapping_calls_are_not_joined(spark):
+    # two calls at the same time: a row without session between them could be of either, and stays alone
+    rows = [(i, "s" if i % 2 else "z", ("agent", "customer")[i // 2 % 2], f"t{i}", 5.0 * i, True) for i in range(8)]
+    rows += [(100, None, "agent", "x", 17.0, True)]
+    # two calls without session at the same time do not take turns
+    rows += [(200 + i, None, "agent" if i < 2 else "customer", f"u{i}", 900.0 + 5 * i, True) for i in range(4)]
+    found = {r["id"]: r["conversation_id"] for r in conversations.grouped(turns(spark, rows)).collect()}
+    assert len({found[i] for i in (100, 200, 201, 202, 203)}) == 5
+    assert {found[i] for i in range(8)} == {"s", "z"}
+
+
+def test_unfinished_components_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(conversations, "MOST_ROUNDS", 1)
+    links = [(f"p{i:03d}", f"p{i + 1:03d}") for i in range(40)]
+    with pytest.raises(RuntimeError):
+        conversations.connected_components(spark.createDataFrame(links, "a string, b string"))
