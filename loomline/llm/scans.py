@@ -1,27 +1,30 @@
 """Readable paragraphs from the text of scanned pages.
 
-1. Each block of rows lists its distinct words, with the words that hyphenated line ends would give if joined.
+1. Each block of rows lists its distinct words, with the words that hyphenated line ends, and odd words joined with their
+   neighbours, would give.
 2. Words are counted over the corpus. Every distinct word once gets its best other reading: misread characters undone, or
    two words set apart, if the corpus has those words often enough.
-3. The readings go back to the blocks. Each word is taken as it is or in its other reading, whatever stands beside it;
-   each hyphen at a line's end is decided on its own, by the costs of both parts and of the joined word. There is no
-   search over a row's characters: a word both misread and run together, or run together from three, stays so.
+3. The readings go back to the blocks, and each row is decoded there: lines are chained where a hyphen at the end of one
+   goes on in another, and the cheapest path through the chain is taken. Its steps are a word as it is; its other
+   reading; an odd word's characters as several words of the block, misread or not; two or three words, one of them odd,
+   put together over blanks; and at a hyphen both parts joined, kept with the hyphen, or left apart.
 4. A line is a running header or footer if its file has it in at least two different texts, whatever its spelling, and
    it is set like one: it starts with a capital or a number, most of its words do, and it does not end a sentence or go
    on in the next line. Lines are compared after step 3, so misread headers count.
 5. A line that gives only a number of one of the row's pages, in any numerals, is a page number.
 6. Paragraphs: the best set of breaks by dynamic programming over the lines that are left.
 
-Costs are negative logarithms of corpus frequencies, so they behave alike at every size. Words are the unit, so a word
-that was parted by a blank within a line is not put together again.
+Costs are negative logarithms of corpus frequencies, so they behave alike at every size; odd words are those rarer than
+``ODD_COST``, or seen once. The path's costs are those of single words: no word's cost depends on the word before it.
 
 Defined results: null and empty texts have no kinds and null or empty text; a row with no readable ``page_range`` has the
-pages of its batch; rows ingested twice count once for headers; a null ``source_file`` is a file of its own; an empty
-table gives no rows; other columns are ignored.
+pages of its batch; rows ingested twice count once for headers; a null ``source_file`` is a file of its own; a run of over
+``WORD_CHARS`` characters is no word and stays as it is; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections import Counter
@@ -35,13 +38,20 @@ from loomline.session import materialise, spread
 
 BLOCK_CHARS = 8_000_000
 PAGES_PER_BATCH = 3
-#: Costs, in logarithms of frequency: of the first and of each further misread place, of two words set apart, and of a joint.
-FIRST_MISREAD, MORE_MISREAD, APART, JOINT = 2.0, 1.5, 6.0, 0.5
+#: Costs, in logarithms of frequency: of the first and of each further misread place, of two words set apart, of a joint, and of a blank inside a word.
+FIRST_MISREAD, MORE_MISREAD, APART, JOINT, BLANK = 2.0, 1.5, 6.0, 0.5, 4.0
+#: Words rarer than this are odd; as they are, they cost at least so much a character against several words in their place.
+ODD_COST, ODD_CHARACTER = 11.0, 2.0
+#: The shortest word that an odd word is taken apart into, and how many words are put together.
+LEAST_PART, MOST_PARTS = 3, 3
 MOST_MISREAD = 3
+#: Longer runs of characters without a blank are no words.
+WORD_CHARS = 40
 HEADER_TEXTS = 2
+SHORT_PARAGRAPH = 40
 HEADER_CAPITALS = 0.6
-#: The longest line that is set like a page number or a header.
-PAGE_NUMBER_CHARS, HEADER_CHARS = 60, 200
+#: The most that is left of a page number's line when white space is collapsed.
+PAGE_NUMBER_CHARS = 60
 
 #: What scanners make of letters (fixed values): as read, as printed.
 MISREADINGS = (
@@ -83,7 +93,8 @@ def _roman(text: str) -> int:
 
 
 def is_page_number(line: str, of: range) -> bool:
-    found = _PAGE.match(line.strip(_DECOR)) if len(line) <= PAGE_NUMBER_CHARS else None
+    bare = " ".join(line.strip(_DECOR).split())
+    found = _PAGE.match(bare) if len(bare) <= PAGE_NUMBER_CHARS else None
     if not found:
         return False
     number = found.group(1).lower()
@@ -93,11 +104,15 @@ def is_page_number(line: str, of: range) -> bool:
 
 
 def _continuation(lines: list[str], at: int, of: range) -> int | None:
-    """The line that goes on after a hyphen: the next one in small letters, over page numbers, headers and blank lines."""
-    for i in range(at + 1, min(at + 5, len(lines))):
+    """The line that goes on after a hyphen: the next one in small letters, over page numbers, blank lines and lines set like headers."""
+    for i in range(at + 1, len(lines)):
         line = lines[i].strip()
-        if line and not is_page_number(line, of) and (line[0].islower() or line[0] in "!|@+€0156" or unicodedata.category(line[0]) in ("Lo", "Mn", "Mc")):
+        if not line or is_page_number(line, of):
+            continue
+        if line[0].islower() or line[0] in "!|@+€0156" or unicodedata.category(line[0]) in ("Lo", "Mn", "Mc"):
             return i
+        if header_key(line, of, line) is None:
+            return None
     return None
 
 
@@ -144,6 +159,16 @@ def _blocks(limit: int):
             for token, k in tokens.items():
                 if (own := word(token)):
                     words[own] += max(k, 0)
+            rare = max(1.0, sum(words.values()) * math.exp(-ODD_COST))
+            odd = {token for token in tokens if (own := word(token)).isalpha() and words[own] <= rare}
+            for row in rows:
+                for line in (row["text"] or "").split("\n"):
+                    parts = line.split()
+                    for j in (j for j, part in enumerate(parts) if part in odd):
+                        for first in range(max(0, j - MOST_PARTS + 1), j + 1):
+                            for last in range(max(j, first + 1), min(first + MOST_PARTS, len(parts))):
+                                if whole := together(parts[first : last + 1]):
+                                    words.setdefault(whole, 0)
             head = {"block": base + n, "words": list(words), "counts": list(words.values())}
             return pa.RecordBatch.from_pylist([head, *({"block": base + n, **row} for row in rows)], schema=_BLOCK_SCHEMA)
 
@@ -163,7 +188,7 @@ def _blocks(limit: int):
 
 def readings(own: str) -> dict[str, float]:
     """Other words that a scanner may have read as this one, with their cost."""
-    if len(own) < 3 or not any(c.isalpha() for c in own) or len(own) > 40:
+    if len(own) < 3 or not any(c.isalpha() for c in own) or len(own) > WORD_CHARS:
         return {}
     found, edge = {own: 0.0}, [own]
     for depth in range(MOST_MISREAD):
@@ -183,7 +208,7 @@ def readings(own: str) -> dict[str, float]:
                     at = held.find(read, at + 1)
         # a second place is sought only where a character that is no letter is left, or the first one was such a character
         odd = any(not c.isalpha() for c in own)
-        edge = [m for m in grown if odd or depth == 0] if len(grown) <= 400 else [m for m in grown if any(not c.isalpha() for c in m)][:400]
+        edge = [m for m in grown if odd or depth == 0] if len(grown) <= 400 else [m for m in grown if any(not c.isalpha() for c in m)]
     del found[own]
     return {m: c for m, c in found.items() if m.isalpha() or "-" in m}
 
@@ -194,7 +219,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for own in batch.column(0).to_pylist():
             rows += [{"word": own, "left": made, "right": None, "cost": cost} for made, cost in readings(own).items()]
-            if own.isalpha() and 5 <= len(own) <= 40:
+            if own.isalpha() and 5 <= len(own) <= WORD_CHARS:
                 rows += [{"word": own, "left": own[:i], "right": own[i:], "cost": APART} for i in range(2, len(own) - 1)]
         yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
@@ -222,10 +247,12 @@ def _best_readings(counts: DataFrame) -> DataFrame:
 # ----------------------------------------------------------------------------------------------------- reading one row
 
 
-def _price(held: dict, own: str) -> tuple[float, str, bool]:
-    """Cost, reading, and whether that is another reading."""
-    own_cost, fix, fix_cost = held.get(own, (30.0, None, None))
-    return (fix_cost, fix, True) if fix is not None and fix_cost < own_cost else (own_cost, own, False)
+def together(tokens: list[str]) -> str | None:
+    """The word that these tokens give without the blanks between them, if no marks part them."""
+    cores = [word(t) for t in tokens]
+    if not all(core.isalpha() for core in cores) or tokens[0].rstrip(_STRIP) != tokens[0] or tokens[-1].lstrip(_STRIP) != tokens[-1] or any(t.strip(_STRIP) != t for t in tokens[1:-1]):
+        return None
+    return "".join(cores)
 
 
 def _shown(token: str, own: str, reading: str) -> str:
@@ -237,53 +264,171 @@ def _shown(token: str, own: str, reading: str) -> str:
     return head + (reading.upper() if upper else reading.capitalize() if core[:1].isupper() else reading) + tail
 
 
-def read_row(text: str, of: range, held: dict[str, tuple], known: dict[str, tuple[str, bool] | None]) -> tuple[list[str], set[str], list[bool]]:
-    """Lines as read, the kinds found, and which lines are page numbers.
-
-    Token by token; at a hyphenated line end both parts are either joined or taken apart.
-    ``known`` keeps what a token became, for the other rows of the block.
-    """
-    lines, kinds = text.split("\n"), set()
-    joints = _joints(lines, of)
-    page = [bool(line.strip()) and is_page_number(line, of) for line in lines]
-    if any(page):
-        kinds.add("page_no")
-    out = [line.split() for line in lines]
-    gone = set()
-    for i, (to, left, right, mark) in joints.items():
-        apart = _price(held, left)[0] + (_price(held, right)[0] if right else 0.0)
-        joined, compound = _price(held, left + right) if right else (99.0, "", False), held.get(f"{left}-{right}", (99.0, None, None))[0] if right else 99.0
-        if right and joined[0] + JOINT < compound and (joined[0] + JOINT < apart or mark in _SOFT):
-            kinds.add("hyphen")
-            if joined[2]:
-                kinds.add("misread")
-            token, follows = out[i][-1], lines[to].split()[0]
-            tail = follows[len(follows.rstrip(_STRIP)) :]
-            out[i][-1] = _shown(token.rstrip(_HYPHENS), left, joined[1]).rstrip(_STRIP) + tail
-            gone.add((to, 0))
-            gone.add((i, len(out[i]) - 1))
-        elif not right and (mark in _SOFT or held.get(left, (30.0, None, None))[0] > held.get("", (0, None, 12.0))[2]):
-            kinds.add("hyphen")
-            gone.add((i, len(out[i]) - 1))
-        elif right and compound <= joined[0] + JOINT:
-            out[i][-1] = out[i][-1].rstrip(_HYPHENS) + "-" + lines[to].split()[0]
-            gone.update({(to, 0), (i, len(out[i]) - 1)})
-    dropped = {(to, 0) for to, *_ in joints.values() if (to, 0) in gone}
-    for i, tokens in enumerate(out):
-        if page[i]:
-            continue
-        for j, token in enumerate(tokens):
-            made = known.get(token, known)
-            if made is known:
-                own = word(token)
-                _, reading, other = _price(held, own) if own else (0.0, "", False)
-                made = known[token] = (_shown(token, own, reading), " " not in reading) if other else None
-            if made is not None and (i, j) not in gone:
-                tokens[j] = made[0]
-                if made[1]:
-                    kinds.add("misread")
-    read = [" ".join(t for j, t in enumerate(tokens) if (i, j) not in dropped) for i, tokens in enumerate(out)]
-    return read, kinds, page
+class Reader:
+    """Decodes rows with the words of their block: ``held`` gives a word's count, cost, other reading and its cost."""
+
+    def __init__(self, held: dict[str, tuple[int, float, str | None, float | None]]) -> None:
+        self.held, self.known = held, {}
+        seen = [own + math.log(n) for n, own, _, _ in held.values() if n]
+        self.once = max(seen, default=12.0)
+        self.odd_from = min(ODD_COST, self.once - 1e-9)
+        self.longest = max((len(w) for w, (n, *_) in held.items() if n and len(w) <= WORD_CHARS), default=0)
+
+    def price(self, own: str) -> tuple[float, str, bool]:
+        """Cost, reading, and whether that is another reading."""
+        _, own_cost, fix, fix_cost = self.held.get(own, (0, 30.0, None, None))
+        return (fix_cost, fix, True) if fix is not None and fix_cost < own_cost else (own_cost, own, False)
+
+    def _common(self, own: str) -> float | None:
+        n, cost, _, _ = self.held.get(own, (0, 0.0, None, None))
+        return cost if n and cost < self.odd_from else None
+
+    def _part(self, part: str) -> tuple[float, str, bool] | None:
+        """A stretch of characters as a word of the block that is not odd, with at most one place undone."""
+        cost = self._common(part)
+        best = None if cost is None else (cost, part, False)
+        for read, printed in MISREADINGS:
+            if read + printed in _LETTERS:
+                continue
+            at = part.find(read)
+            while at >= 0:
+                made = part[:at] + printed + part[at + len(read) :]
+                cost = self._common(made)
+                if cost is not None and (best is None or cost + FIRST_MISREAD < best[0]):
+                    best = (cost + FIRST_MISREAD, made, True)
+                at = part.find(read, at + 1)
+        return best
+
+    def taken_apart(self, own: str) -> tuple[float, str, bool] | None:
+        """The cheapest path over an odd word's characters by two words or more."""
+        n, paths = len(own), {0: (0.0, (), False)}
+        for end in range(LEAST_PART, n + 1):
+            for start in range(max(0, end - self.longest), end - LEAST_PART + 1):
+                before = paths.get(start)
+                if before is None or (start == 0 and end == n):
+                    continue
+                part = self._part(own[start:end])
+                if part is not None:
+                    cost = before[0] + part[0] + (APART if start else 0.0)
+                    if end not in paths or cost < paths[end][0]:
+                        paths[end] = (cost, (*before[1], part[1]), before[2] or part[2])
+        return (paths[n][0], " ".join(paths[n][1]), paths[n][2]) if n in paths else None
+
+    def single(self, token: str) -> tuple[float, str | None, bool, bool]:
+        """Cost of a token by itself, what it becomes if not itself, whether it was misread, and whether it is odd."""
+        made = self.known.get(token)
+        if made is None:
+            own = word(token)
+            if not own:
+                made = (0.0, None, False, False)
+            else:
+                cost, reading, other = self.price(own)
+                odd = own.isalpha() and cost >= self.odd_from and not other
+                misread = other and " " not in reading
+                if not other and cost >= self.odd_from and 2 * LEAST_PART <= len(own) <= WORD_CHARS and self.held.get(own, (0,))[0] <= 2:
+                    apart = self.taken_apart(own)
+                    if apart is not None and apart[0] < max(cost, ODD_CHARACTER * len(own)):
+                        cost, reading, misread, other, odd = apart[0], apart[1], apart[2], True, False
+                made = (cost, _shown(token, own, reading) if other else None, misread, odd)
+            self.known[token] = made
+        return made
+
+    def _joined(self, left: str, right: str, mark: str) -> list[tuple[float, str, str, bool]]:
+        """What may become of a hyphen between two parts: cost, ``joined`` or ``kept``, reading, misread. Left apart is a path of its own."""
+        joined, kept = self.price(left + right), self.held.get(f"{left}-{right}", (0, 99.0, None, None))[1]
+        apart = self.price(left)[0] + self.price(right)[0]
+        if kept <= joined[0] + JOINT:
+            return [(min(kept, apart - 1e-6), "kept", "", False)]
+        # a soft hyphen stands only where a word was broken
+        return [(min(joined[0] + JOINT, apart - 1e-6) if mark in _SOFT else joined[0] + JOINT, "joined", joined[1], joined[2])]
+
+    def chain(self, out: list[list], at: list[tuple[int, int]], hyphens: dict[int, tuple[int, str, str, str]], kinds: set[str]) -> None:
+        """Decode one chain of lines in place: tokens that went into others become None."""
+        tokens = [out[i][j] for i, j in at]
+        made = [self.single(t) for t in tokens]
+        if not hyphens and not any(m[3] for m in made):
+            for (i, j), (_, shown, misread, _) in zip(at, made, strict=True):
+                if shown is not None:
+                    out[i][j] = shown
+                    if misread:
+                        kinds.add("misread")
+            return
+        paths: list[tuple[float, int, tuple]] = [(0.0, -1, ())] + [(math.inf, -1, ())] * len(tokens)
+
+        def step(start: int, end: int, cost: float, what: tuple) -> None:
+            cost += paths[start][0]
+            if cost < paths[end][0]:
+                paths[end] = (cost, start, what)
+
+        for k, token in enumerate(tokens):
+            joint = hyphens.get(k)
+            if joint is None:
+                step(k, k + 1, made[k][0], ("single",))
+            else:
+                _, left, right, mark = joint
+                step(k, k + 1, self.price(left)[0] if right else 0.0, ("end",))
+                if right:
+                    for cost, how, reading, misread in self._joined(left, right, mark):
+                        step(k, k + 2, cost, (how, reading, misread))
+            for size in range(2, min(MOST_PARTS, len(tokens) - k) + 1):
+                if not any(m[3] for m in made[k : k + size]) or any(k + x in hyphens for x in range(size)):
+                    continue
+                whole = together(tokens[k : k + size])
+                if whole and self.held.get(whole, (0,))[0] > 0:
+                    cost, reading, other = self.price(whole)
+                    step(k, k + size, cost + BLANK * (size - 1), ("blanks", reading, other and " " not in reading))
+        k = len(tokens)
+        while k:
+            _, start, what = paths[k]
+            (i, j), token = at[start], tokens[start]
+            if what[0] == "single":
+                if made[start][1] is not None:
+                    out[i][j] = made[start][1]
+                    if made[start][2]:
+                        kinds.add("misread")
+            elif what[0] == "end":
+                _, left, right, mark = hyphens[start]
+                if not right and (mark in _SOFT or self.price(left)[0] > self.once - 0.7):
+                    kinds.add("hyphen")
+                    out[i][j] = token
+            else:
+                tail, (a, b) = tokens[k - 1], at[k - 1]
+                marks = tail[len(tail.rstrip(_STRIP)) :]
+                if what[0] == "kept":
+                    out[i][j] = token.rstrip(_HYPHENS) + "-" + tail
+                else:
+                    out[i][j] = _shown(token.rstrip(_HYPHENS), "", what[1]).rstrip(_STRIP) + marks
+                    if what[0] == "joined":
+                        kinds.add("hyphen")
+                    if what[2]:
+                        kinds.add("misread")
+                for a, b in at[start + 1 : k]:
+                    out[a][b] = None
+            k = start
+
+    def row(self, text: str, of: range) -> tuple[list[str], set[str], list[bool]]:
+        """Lines as read, the kinds found, and which lines are page numbers."""
+        lines, kinds = text.split("\n"), set()
+        page = [bool(line.strip()) and is_page_number(line, of) for line in lines]
+        if any(page):
+            kinds.add("page_no")
+        joints = {i: joint for i, joint in _joints(lines, of).items() if not page[i]}
+        out: list[list] = [line.split() for line in lines]
+        done: set[int] = set()
+        for i in range(len(lines)):
+            if page[i] or i in done:
+                continue
+            at, hyphens, line = [], {}, i
+            while line is not None:
+                done.add(line)
+                at += [(line, j) for j in range(len(out[line]))]
+                joint, line = joints.get(line), None
+                if joint is not None:
+                    goes_on = joint[0] >= 0 and joint[0] not in done
+                    hyphens[len(at) - 1] = joint if goes_on else (-1, joint[1], "", joint[3])
+                    line = joint[0] if goes_on else None
+            self.chain(out, at, hyphens, kinds)
+        return [" ".join(t for t in tokens if t is not None) for tokens in out], kinds, page
 
 
 def _bare(tokens: list[str], of: range) -> list[str]:
@@ -297,7 +442,7 @@ def _bare(tokens: list[str], of: range) -> list[str]:
 
 def header_key(line: str, of: range, raw: str) -> str | None:
     """What is compared of a line that is set like a header; None for others. How it is set is seen in the raw line, where a misread capital is a sign."""
-    if len(raw) > HEADER_CHARS or raw.lstrip()[:1].islower():
+    if raw.lstrip()[:1].islower():
         return None
     tokens = raw.split()
     if len(tokens) > 1 and _PAGE_WORD.match(tokens[-1]) and not is_page_number(tokens[-2], of):
@@ -312,12 +457,11 @@ def header_key(line: str, of: range, raw: str) -> str | None:
 
 
 def _decode(rows: pa.Table, words: pa.Table) -> pa.Table:
-    held = {w: (own, fix, cost) for w, own, fix, cost in zip(*(words.column(c).to_pylist() for c in ("word", "own_cost", "fix", "fix_cost")), strict=True)}
-    held[""] = (30.0, None, max((own for own, _, _ in held.values()), default=12.0) - 3.0)
-    made, known = [], {}
+    reader = Reader({w: own for w, *own in zip(*(words.column(c).to_pylist() for c in ("word", "n", "own_cost", "fix", "fix_cost")), strict=True)})
+    made = []
     for i, file, page_range, number, text in zip(*(rows.column(c).to_pylist() for c in ("id", "file", "page_range", "batch", "text")), strict=True):
         of = pages(page_range, number)
-        lines, kinds, page = read_row(text, of, held, known) if text else ([], set(), [])
+        lines, kinds, page = reader.row(text, of) if text else ([], set(), [])
         keys = [None if p else header_key(line, of, raw) for line, p, raw in zip(lines, page, (text or "").split("\n"), strict=bool(lines))]
         made.append({"id": i, "file": file, "is_null": text is None, "kinds": sorted(kinds), "lines": lines, "page": page, "keys": keys})
     schema = pa.schema([("id", pa.int64()), ("file", pa.string()), ("is_null", pa.bool_()), ("kinds", pa.list_(pa.string())), ("lines", pa.list_(pa.string())), ("page", pa.list_(pa.bool_())), ("keys", pa.list_(pa.string()))])
@@ -339,7 +483,7 @@ def read_chunks(chunks: DataFrame) -> DataFrame:
     blocks = materialise(spread(source).mapInArrow(_blocks(BLOCK_CHARS), _BLOCKS), "scan-blocks")
     listed = blocks.where("words is not null").select(F.col("block").alias("owner"), F.explode(F.arrays_zip("words", "counts")).alias("w")).select("owner", F.col("w.words").alias("word"), F.col("w.counts").alias("k"))
     counts = materialise(listed.groupBy("word").agg(F.sum("k").alias("n")), "scan-words")
-    best = listed.select("owner", "word").join(_best_readings(counts), "word").select("owner", "word", "own_cost", "fix", "fix_cost")
+    best = listed.select("owner", "word").join(_best_readings(counts), "word").select("owner", "word", "n", "own_cost", "fix", "fix_cost")
     rows = blocks.where("words is null").select("block", "id", "file", "page_range", "batch", "text")
     shape = "id long, file string, is_null boolean, kinds array<string>, lines array<string>, page array<boolean>, keys array<string>"
     read = materialise(rows.groupBy("block").cogroup(best.groupBy("owner")).applyInArrow(_decode, shape), "scan-read")
@@ -369,22 +513,27 @@ def paragraphs(lines: list[str]) -> list[str]:
     if not kept:
         return []
     ends = [line[-1] in ".!?:।…" for line in kept]
-    costs, back = [0.0], [0]
+    # lines that are joined although a blank line and a sentence's end stand between them: summed from the first line on
+    inner = [0.0]
+    for k in range(1, len(kept)):
+        inner.append(inner[-1] + ((2.5 if ends[k - 1] else -0.5) if blank_before[k] else 0.0))
+    length = [0]
+    for line in kept:
+        length.append(length[-1] + len(line) + 1)
+    costs, back, entry = [0.0], [0], []
+    best, first_short = (math.inf, 0), 0
     for i in range(1, len(kept) + 1):
-        best = None
-        length = 0
-        for j in range(i - 1, max(-1, i - 200), -1):
-            length += len(kept[j]) + 1
-            cost = costs[j] + (2.0 if length < 40 else 0.0)
-            if j:
-                # a break before line j
-                cost += (0.0 if blank_before[j] else 3.0) + (0.0 if ends[j - 1] else 2.5) + (1.5 if kept[j][0].islower() else 0.0)
-            # lines that are joined although a blank line and a sentence's end stand between them
-            cost += sum((2.5 if ends[k - 1] else -0.5) for k in range(j + 1, i) if blank_before[k])
-            if best is None or cost < best[0]:
-                best = (cost, j)
-        costs.append(best[0])
-        back.append(best[1])
+        # a break before line i - 1, without what follows it
+        j = i - 1
+        entry.append(costs[j] - inner[j] + ((0.0 if blank_before[j] else 3.0) + (0.0 if ends[j - 1] else 2.5) + (1.5 if kept[j][0].islower() else 0.0) if j else 0.0))
+        while length[i] - length[first_short] >= SHORT_PARAGRAPH and first_short < i:
+            best = min(best, (entry[first_short], -first_short))
+            first_short += 1
+        # paragraphs under SHORT_PARAGRAPH characters cost more; only the last few breaks make such
+        short = min(((entry[j] + 2.0, -j) for j in range(first_short, i)), default=(math.inf, 0))
+        cost, j = min(best, short)
+        costs.append(cost + inner[i - 1])
+        back.append(-j)
     out, i = [], len(kept)
     while i:
         out.append(" ".join(kept[back[i] : i]))
