@@ -62,6 +62,7 @@ MISREADINGS = (
 #: Misreadings of one plain letter as another are believed only against this many times the frequency of the rest.
 _LETTERS = frozenset(a + b for a, b in (("h", "b"), ("c", "e"), ("e", "c"), ("l", "i"), ("i", "l"), ("l", "t")))
 _LETTER_COST = 3.0
+_SIGNS = tuple((read, printed) for read, printed in MISREADINGS if read + printed not in _LETTERS)
 
 _HYPHENS = "\u00ad\u2010\u2011\u00ac-"
 _SOFT = "\u00ad\u2010\u00ac"
@@ -164,6 +165,8 @@ def _blocks(limit: int):
             for row in rows:
                 for line in (row["text"] or "").split("\n"):
                     parts = line.split()
+                    if odd.isdisjoint(parts):
+                        continue
                     for j in (j for j, part in enumerate(parts) if part in odd):
                         for first in range(max(0, j - MOST_PARTS + 1), j + 1):
                             for last in range(max(j, first + 1), min(first + MOST_PARTS, len(parts))):
@@ -268,7 +271,7 @@ class Reader:
     """Decodes rows with the words of their block: ``held`` gives a word's count, cost, other reading and its cost."""
 
     def __init__(self, held: dict[str, tuple[int, float, str | None, float | None]]) -> None:
-        self.held, self.known = held, {}
+        self.held, self.known, self.plain = held, {}, set()
         seen = [own + math.log(n) for n, own, _, _ in held.values() if n]
         self.once = max(seen, default=12.0)
         self.odd_from = min(ODD_COST, self.once - 1e-9)
@@ -287,9 +290,7 @@ class Reader:
         """A stretch of characters as a word of the block that is not odd, with at most one place undone."""
         cost = self._common(part)
         best = None if cost is None else (cost, part, False)
-        for read, printed in MISREADINGS:
-            if read + printed in _LETTERS:
-                continue
+        for read, printed in _SIGNS:
             at = part.find(read)
             while at >= 0:
                 made = part[:at] + printed + part[at + len(read) :]
@@ -325,7 +326,7 @@ class Reader:
                 cost, reading, other = self.price(own)
                 odd = own.isalpha() and cost >= self.odd_from and not other
                 misread = other and " " not in reading
-                if not other and cost >= self.odd_from and 2 * LEAST_PART <= len(own) <= WORD_CHARS and self.held.get(own, (0,))[0] <= 2:
+                if not other and cost >= self.odd_from and 2 * LEAST_PART <= len(own) <= WORD_CHARS:
                     apart = self.taken_apart(own)
                     if apart is not None and apart[0] < max(cost, ODD_CHARACTER * len(own)):
                         cost, reading, misread, other, odd = apart[0], apart[1], apart[2], True, False
@@ -406,6 +407,25 @@ class Reader:
                     out[a][b] = None
             k = start
 
+    def line(self, tokens: list, kinds: set[str]) -> bool:
+        """Decode a line by itself, if no word in it is odd: then each word's own best reading is the path."""
+        found = []
+        for j, token in enumerate(tokens):
+            if token in self.plain:
+                continue
+            made = self.single(token)
+            if made[3]:
+                return False
+            if made[1] is not None:
+                found.append((j, made))
+            else:
+                self.plain.add(token)
+        for j, made in found:
+            tokens[j] = made[1]
+            if made[2]:
+                kinds.add("misread")
+        return True
+
     def row(self, text: str, of: range) -> tuple[list[str], set[str], list[bool]]:
         """Lines as read, the kinds found, and which lines are page numbers."""
         lines, kinds = text.split("\n"), set()
@@ -415,9 +435,11 @@ class Reader:
         joints = {i: joint for i, joint in _joints(lines, of).items() if not page[i]}
         out: list[list] = [line.split() for line in lines]
         done: set[int] = set()
-        for i in range(len(lines)):
+        for i, tokens in enumerate(out):
             if page[i] or i in done:
                 continue
+            if i not in joints and self.line(tokens, kinds):
+                continue
             at, hyphens, line = [], {}, i
             while line is not None:
                 done.add(line)
