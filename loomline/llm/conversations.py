@@ -18,7 +18,7 @@ A conversation is broken if it has no usable turn, a usable turn whose speaker n
 and its text is not null or only white space. The last turn is that with the latest time; among equals, the largest id.
 
 Defined results: rows stored twice (same conversation, side, text and time) give one turn, with the smallest id; a
-session is judged by the rows stored under it only; rows with one id are one node; empty tables give no rows; a null
+session is judged by the rows stored under it only; rows with one id are one node, and tie their sessions; empty tables give no rows; a null
 ``is_final`` is not final; other columns are ignored. Components that are not found after ``MOST_ROUNDS`` rounds are an
 error, never a partial result.
 """
@@ -36,6 +36,8 @@ from loomline.operators.timeline import islands, with_previous
 from loomline.session import materialise
 
 REPLY_SECONDS, STEP_SECONDS = 30.0, 10.0
+#: Sessions are nodes below all rows, so that they become roots; row ids lie between minus and plus half of this.
+SESSIONS_BELOW = 1 << 62
 #: Rounds grow with the logarithm of the longest chain, so more than these tell of a fault.
 MOST_ROUNDS = 60
 
@@ -62,6 +64,11 @@ def prepared(turns: DataFrame) -> DataFrame:
     )
 
 
+def _print_of(edges: DataFrame) -> tuple:
+    """Tells whether a round has changed the links."""
+    return tuple(edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("low", "high").cast("decimal(38,0)")), F.lit(0))).first())
+
+
 def connected_components(links: DataFrame) -> DataFrame:
     """``(node, root)`` for every node of ``links(a, b)``: the smallest node it is connected with.
 
@@ -70,7 +77,7 @@ def connected_components(links: DataFrame) -> DataFrame:
     shuffle and joined back, so no task holds the neighbours of a node.
     """
     edges = materialise(links.where("a <> b").select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).distinct(), "links")
-    seen = None
+    seen = _print_of(edges)
     for _ in range(MOST_ROUNDS):
         both = edges.select(F.col("low").alias("u"), F.col("high").alias("v")).union(edges.select(F.col("high").alias("u"), F.col("low").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -78,7 +85,7 @@ def connected_components(links: DataFrame) -> DataFrame:
         lowest = large.groupBy("high").agg(F.min("low").alias("m"))
         small = large.join(lowest, "high").select("m", F.explode(F.array("low", "high")).alias("v")).where("v <> m").select(F.col("m").alias("low"), F.col("v").alias("high")).distinct()
         edges = materialise(small, "stars")
-        now = tuple(edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("low", "high").cast("decimal(38,0)")), F.lit(0))).first())
+        now = _print_of(edges)
         if now == seen:
             break
         seen = now
@@ -88,29 +95,19 @@ def connected_components(links: DataFrame) -> DataFrame:
     return roots.unionByName(edges.select(F.col("low").alias("node"), F.col("low").alias("root"))).groupBy("node").agg(F.min("root").alias("root"))
 
 
-def _row(column: str) -> F.Column:
-    return F.concat(F.lit("1:"), F.lpad(F.col(column).cast("string"), 20, "0"))
-
-
-def _session(column: str) -> F.Column:
-    """Sessions sort before rows, so they become roots."""
-    return F.concat(F.lit("0:"), F.col(column))
-
-
 def _quotes(rows: DataFrame, bare: DataFrame) -> DataFrame:
     said = ["text", "side", "spoken_at"]
     # the smallest node with the same words stands for all of them
     asked = bare.select(*said).where("text is not null and spoken_at is not null").distinct()
-    node = F.coalesce(_session("session_id"), _row("id"))
-    same = rows.join(asked, said, "left_semi").groupBy(*said).agg(F.min(node).alias("b"))
-    return bare.join(same, said).select(_row("id").alias("a"), "b")
+    same = rows.join(asked, said, "left_semi").groupBy(*said).agg(F.min(F.coalesce("session_node", "id")).alias("b"))
+    return bare.join(same, said).select(F.col("id").alias("a"), "b")
 
 
 def _replies(rows: DataFrame, bare: DataFrame) -> DataFrame:
     step, reach = F.floor(F.col("spoken_at") / STEP_SECONDS), round(REPLY_SECONDS / STEP_SECONDS)
     timed = bare.where("usable and spoken_at is not null")
     # one row for each step of time, however many calls there are in it
-    heard = rows.where("usable and spoken_at is not null and session_id is not null").groupBy(step.alias("step")).agg(F.min("session_id").alias("first"), F.max("session_id").alias("last"))
+    heard = rows.where("usable and spoken_at is not null and session_id is not null").groupBy(step.alias("step")).agg(F.min("session_node").alias("first"), F.max("session_node").alias("last"))
     around = timed.select("id", F.explode(F.sequence(step - reach, step + reach)).alias("step")).join(heard, "step")
     near = materialise(around.groupBy("id").agg(F.min("first").alias("first"), F.max("last").alias("last")), "near")
     # where no session is heard, rows without session that take turns
@@ -118,21 +115,23 @@ def _replies(rows: DataFrame, bare: DataFrame) -> DataFrame:
     runs = islands(alone, [], "spoken_at", "id", lambda p: F.col("spoken_at") - p["spoken_at"] > REPLY_SECONDS)
     before = materialise(with_previous(runs, [], "spoken_at", "id", ["id", "side", "island"]), "runs").where("prev.island = island")
     mixed = before.where("prev.side = side").select("island").distinct()
-    turns = before.join(mixed, "island", "left_anti").select(_row("id").alias("a"), _row("prev.id").alias("b"))
-    return near.where("first = last").select(_row("id").alias("a"), _session("first").alias("b")).union(turns)
+    turns = before.join(mixed, "island", "left_anti").select(F.col("id").alias("a"), F.col("prev.id").alias("b"))
+    return near.where("first = last").select(F.col("id").alias("a"), F.col("first").alias("b")).union(turns)
 
 
 def grouped(turns: DataFrame) -> DataFrame:
     """Prepared rows with ``conversation_id``, whether its component reaches a session, and whether the row had its session from the start (``own``)."""
-    rows = materialise(prepared(turns), "turns")
+    given = prepared(turns)
+    # numbers are joined faster than names: a session's node is its smallest row id, moved below all row ids
+    names = materialise(given.where("session_id is not null").groupBy("session_id").agg((F.coalesce(F.min("id"), F.lit(0)) - SESSIONS_BELOW).alias("session_node")), "sessions")
+    rows = materialise(given.join(names, "session_id", "left").select(*given.columns, "session_node"), "turns")
     bare = rows.where("session_id is null")
-    own = rows.where("session_id is not null").select(_row("id").alias("a"), _session("session_id").alias("b"))
+    own = rows.where("session_id is not null").select(F.col("id").alias("a"), F.col("session_node").alias("b"))
     roots = connected_components(own.union(_quotes(rows, bare)).union(_replies(rows, bare)))
-    # a row without any link is a component of its own
-    node = rows.withColumn("node", F.coalesce(_row("id"), _session("session_id"), F.lit("1:")))
-    root = F.coalesce("root", "node")
-    found = F.when(root.startswith("0:"), root.substr(F.lit(3), F.length(root))).otherwise(F.concat(F.lit("row:"), root.substr(F.lit(3), F.length(root))))
-    return node.join(roots, "node", "left").select(*rows.columns, found.alias("conversation_id"), root.startswith("0:").alias("reaches"), F.col("session_id").isNotNull().alias("own"))
+    found = rows.join(roots, F.coalesce("id", "session_node") == F.col("node"), "left").withColumn("root", F.coalesce("root", "session_node", "id"))
+    named = names.groupBy(F.col("session_node").alias("root")).agg(F.min("session_id").alias("name"))
+    name = F.coalesce("name", F.concat(F.lit("row:"), F.col("root").cast("string")), F.lit("row:"))
+    return found.join(named, "root", "left").select(*given.columns, name.alias("conversation_id"), F.col("name").isNotNull().alias("reaches"), F.col("session_id").isNotNull().alias("own"))
 
 
 def _judged(rows: DataFrame, key: str) -> DataFrame:
