@@ -91,3 +91,14 @@ def clock(seconds: ColumnOrName) -> Column:
 def prompt(context: ColumnOrName, question: ColumnOrName) -> Column:
     block = F.concat(F.lit("Context:\n"), _col(context), F.lit("\n\nCustomer question: "), _col(question))
     return F.when(has_text(context), block).otherwise(_col(question))
+
+
+def history_prompt(lines: Column, question: ColumnOrName) -> Column:
+    """A question after a list of lines, or by itself where there are none."""
+    listed = F.concat(F.lit("Relevant conversation history:\n"), F.array_join(F.transform(lines, lambda x: F.concat(F.lit("  - "), x)), "\n"), F.lit("\n\n"))
+    return F.concat(F.when(F.size(lines) > 0, listed).otherwise(""), F.lit("Customer question: "), _col(question))
+
+
+def suggestion_prompt(said: ColumnOrName, context: ColumnOrName) -> Column:
+    """What was said last, with what the policies say about it."""
+    return F.concat(F.lit("Conversation:\n"), _col(said), F.lit("\n\nPolicy context:\n"), F.coalesce(_col(context), F.lit("")))

@@ -61,6 +61,11 @@ def numbered(chunks: DataFrame, start: int = 0) -> DataFrame:
     return number_within(chunks, [], ["doc_id", "place"], "_n").withColumn("chunk_index", F.col("_n") - 1 + start).drop("_n")
 
 
+def inserted(stored: DataFrame, new: DataFrame, order: list[str], key: str = "id") -> DataFrame:
+    """``new`` with the ids it gets when it is stored: on from the largest one, in the order given."""
+    return number_within(new, [], order, "_n").withColumn(key, F.col("_n") - 1 + next_index(stored, key)).drop("_n")
+
+
 def chunk_statistics(documents: DataFrame) -> DataFrame:
     """Characters and chunks of each document."""
     own = chunk_documents(documents).groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.max(F.length("text")).alias("longest"))

@@ -24,6 +24,12 @@ def recent_turns(turns: DataFrame, n: int = RECENT) -> DataFrame:
     return rows.join(sizes, "session_id").select("session_id", "id", (F.col("n") - F.col("rank") + 1).alias("place"), "speaker", "text")
 
 
+def history_of(turns: DataFrame, sessions: DataFrame) -> DataFrame:
+    """The stored turns of the sessions named, each with its ``place`` in the order of storing."""
+    rows = turns.join(sessions.select("session_id").distinct(), "session_id", "left_semi")
+    return number_within(rows, ["session_id"], ["created_at", "id"], "place")
+
+
 def evictions(turns: DataFrame) -> DataFrame:
     """How often each session's history overflowed and what is left of it.
 
@@ -122,6 +128,17 @@ def held_turns(turns: DataFrame) -> DataFrame:
     return turns.where("session_id is not null").join(ends, "session_id", "left").where(F.col("_end").isNull() | (F.struct("created_at", "id") > F.col("_end"))).drop("_end")
 
 
+def restored(turns: DataFrame) -> DataFrame:
+    """Each session's window as it is rebuilt from the stored turns: turns held, their tokens, and the next epoch.
+
+    Turns that an epoch has covered stay out of it, so a session goes on after a restart as it would have without one.
+    """
+    next_epoch = compactions(turns).groupBy("session_id").agg((F.max("epoch_index") + 1).cast("long").alias("next_epoch"))
+    held = held_turns(turns).groupBy("session_id").agg(F.count("*").alias("n_held"), F.sum(token_estimate("text")).alias("held_tokens"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return held.join(next_epoch, "session_id", "full").select("session_id", zero("n_held"), zero("held_tokens"), zero("next_epoch"))
+
+
 def session_tokens(turns: DataFrame, summaries: DataFrame) -> DataFrame:
     """Tokens of each session's turns and live summaries."""
     a = turns.where("session_id is not null").groupBy("session_id").agg(F.sum(token_estimate("text")).alias("turn_tokens"))

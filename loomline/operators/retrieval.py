@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomline.functions.rules import final_score
+from loomline.functions.vectors import dot
 from loomline.session import materialise
 
 #: Values of queries that are sent to every task; more meet the rows in blocks.
@@ -114,6 +115,13 @@ def asked_of(vectors: DataFrame) -> DataFrame:
     return vectors.where(F.col("vec_id") % ASKED_EVERY == 0)
 
 
+def scores_against_first(vectors: DataFrame) -> DataFrame:
+    """A hundred times the inner product of the first vector by id with each other one: ``(vec_id, score)``."""
+    first = vectors.where("embedding is not null").orderBy("vec_id").limit(1).select(F.col("vec_id").alias("first_id"), F.col("embedding").alias("first"))
+    rows = vectors.join(F.broadcast(first), F.col("vec_id") > F.col("first_id"))
+    return rows.select("vec_id", (dot(F.col("first"), F.col("embedding")) * 100).alias("score"))
+
+
 def reranked(found: DataFrame, ages: DataFrame, kept: int = 3) -> DataFrame:
     """The ``kept`` best of what was found, by similarity and age together; among equals the order of similarity."""
     scored = found.join(ages, "vec_id", "left").withColumn("final", final_score(F.col("score"), F.col("age_hours")))

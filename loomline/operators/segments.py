@@ -82,6 +82,13 @@ def with_latency(segments: DataFrame) -> DataFrame:
     return segments.select("segment_id", "session_id", F.round((F.col("transcribed_at") - F.col("spoken_at")) * 1000, 3).alias("latency_ms"))
 
 
+def spoken_times(segments: DataFrame, starts: DataFrame) -> DataFrame:
+    """When each row was said: its session's start, ``starts(session_id, start)``, and its seconds in the stream; 0 where these are unknown."""
+    at = F.col("start") + F.coalesce(F.col("timestamp"), F.lit(0.0))
+    joined = segments.join(starts, "session_id", "left").withColumn("said_at", at)
+    return joined.select("segment_id", "session_id", F.round("said_at", 3).alias("said_at"), F.round((F.col("transcribed_at") - F.col("said_at")) * 1000, 1).alias("latency_ms"))
+
+
 def running_latency(segments: DataFrame) -> DataFrame:
     """Mean latency of each session so far, to the nearest millisecond."""
     rows = segments.where("timestamp is not null").select("segment_id", "session_id", F.col("timestamp").alias("at"), F.col("latency_ms").cast("decimal(20,3)").alias("ms"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.functions.rules import ANSWER_FIELDS, INTENTS, REFINEMENTS, age_hours, answer_text, error_action, intents_of, recency, retry_delays
-from loomline.functions.text import first_words, has_text, one_line, strip, token_estimate, word_count
+from loomline.functions.text import first_words, has_text, history_prompt, one_line, strip, token_estimate, word_count
 from loomline.operators import documents, gate, memory, models, retrieval, segments, voice
 from loomline.session import spread
 from loomline.sources.tables import parsed_payloads, table
@@ -85,6 +85,14 @@ def collection_stats(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").groupBy("label").agg(F.count("*").alias("n_vectors"), F.min(F.size("embedding")).alias("least_size"), F.max(F.size("embedding")).alias("most_size"))
 
 
+@_query(
+    """WITH f AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings ORDER BY vec_id LIMIT 1)
+SELECT v.vec_id, round(list_inner_product(f.e, v.embedding::DOUBLE[]) * 100, 6) AS score FROM embeddings v, f WHERE v.vec_id > f.vec_id"""
+)
+def score_matrix(spark, sf_dir):
+    return retrieval.scores_against_first(table(spark, sf_dir, "embeddings")).withColumn("score", F.round("score", 6))
+
+
 # ------------------------------------------------------------------------------------------------------------- segments
 
 
@@ -93,6 +101,17 @@ def final_segments(spark, sf_dir):
     return segments.finals(table(spark, sf_dir, "transcript_segments")).select("segment_id", "session_id")
 
 
+@_query(
+    """WITH s AS (SELECT session_id, min(spoken_at) AS start FROM transcript_segments WHERE spoken_at IS NOT NULL AND NOT isnan(spoken_at) GROUP BY session_id),
+a AS (SELECT segment_id, t.session_id, transcribed_at, start + coalesce("timestamp", 0.0) AS at_ FROM transcript_segments t LEFT JOIN s ON s.session_id = t.session_id)
+SELECT segment_id, session_id, round(at_, 3) AS said_at, round((transcribed_at - at_) * 1000, 1) AS latency_ms FROM a"""
+)
+def spoken_projection(spark, sf_dir):
+    rows = table(spark, sf_dir, "transcript_segments")
+    starts = rows.where("spoken_at is not null and not isnan(spoken_at)").groupBy("session_id").agg(F.min("spoken_at").alias("start"))
+    return segments.spoken_times(rows, starts)
+
+
 @_query("SELECT segment_id, session_id, round((transcribed_at - spoken_at) * 1000, 3) AS latency_ms FROM transcript_segments")
 def latency_projection(spark, sf_dir):
     return segments.with_latency(table(spark, sf_dir, "transcript_segments"))
@@ -351,6 +370,20 @@ def session_tokens(spark, sf_dir):
     return memory.session_tokens(table(spark, sf_dir, "turns"), table(spark, sf_dir, "epoch_summaries"))
 
 
+@_query(
+    """WITH r AS (SELECT session_id, created_at, id, speaker, text, row_number() OVER (PARTITION BY session_id ORDER BY created_at DESC, id DESC) AS rank FROM turns WHERE session_id IS NOT NULL),
+l AS (SELECT session_id, string_agg('  - [' || coalesce(speaker, '') || ']: ' || coalesce(text, ''), chr(10) ORDER BY rank DESC) FILTER (WHERE rank > 1) AS lines, max(text) FILTER (WHERE rank = 1) AS question FROM r WHERE rank <= 5 GROUP BY session_id)
+SELECT session_id, CASE WHEN lines IS NULL THEN '' ELSE 'Relevant conversation history:' || chr(10) || lines || chr(10) || chr(10) END || 'Customer question: ' || coalesce(question, '') AS prompt FROM l"""
+)
+def history_prompts(spark, sf_dir):
+    """The last turn of each session as a question, after the ones before it."""
+    line = F.concat(F.lit("["), F.coalesce("speaker", F.lit("")), F.lit("]: "), F.coalesce("text", F.lit("")))
+    rows = F.array_sort(F.collect_list(F.struct("place", line.alias("line"), F.coalesce("text", F.lit("")).alias("text"))))
+    own = memory.recent_turns(table(spark, sf_dir, "turns")).groupBy("session_id").agg(rows.alias("r"))
+    before = F.transform(F.slice("r", F.lit(1), F.size("r") - 1), lambda x: x["line"])
+    return own.select("session_id", history_prompt(before, F.element_at("r", -1)["text"]).alias("prompt"))
+
+
 _USABLE = "is_final AND session_id IS NOT NULL AND speaker IS NOT NULL AND text IS NOT NULL"
 
 
@@ -610,6 +643,33 @@ def epoch_texts(spark, sf_dir):
     return models.epoch_texts(table(spark, sf_dir, "turns"))
 
 
+@_query(
+    _epochs() + f""", e AS (SELECT session_id, epoch, covers, sum(covers) OVER (PARTITION BY session_id ORDER BY epoch) AS last_ FROM fold WHERE made),
+n AS (SELECT session_id, CAST(epoch AS INTEGER) AS epoch_index, CAST(covers AS INTEGER) AS covers_turn_count FROM e)
+SELECT (SELECT max(id) FROM epoch_summaries) + row_number() OVER (ORDER BY session_id, epoch_index) AS id, session_id, epoch_index, covers_turn_count FROM n"""
+)
+def inserted_summaries(spark, sf_dir):
+    new = memory.compactions(table(spark, sf_dir, "turns")).select("session_id", "epoch_index", "covers_turn_count")
+    return documents.inserted(table(spark, sf_dir, "epoch_summaries"), new, ["session_id", "epoch_index"]).select("id", *new.columns)
+
+
+@_query(
+    _epochs() + """, last_ AS (SELECT session_id, held, epoch, row_number() OVER (PARTITION BY session_id ORDER BY n DESC) AS r FROM fold)
+SELECT session_id, CAST(len(held) AS BIGINT) AS n_held, CAST(coalesce(list_sum(held), 0) AS BIGINT) AS held_tokens, CAST(epoch + 1 AS BIGINT) AS next_epoch FROM last_ WHERE r = 1"""
+)
+def restored_sessions(spark, sf_dir):
+    return memory.restored(table(spark, sf_dir, "turns"))
+
+
+@_query(
+    """SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY created_at, id) AS place, id, speaker, text FROM turns
+WHERE session_id IN (SELECT session_id FROM epoch_summaries WHERE NOT superseded)"""
+)
+def session_histories(spark, sf_dir):
+    live = table(spark, sf_dir, "epoch_summaries").where("not superseded")
+    return memory.history_of(table(spark, sf_dir, "turns"), live).select("session_id", "place", "id", "speaker", "text")
+
+
 # ------------------------------------------------------------------------------------------------- service and ingestion
 
 

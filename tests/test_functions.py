@@ -27,6 +27,9 @@ def test_text(spark):
     assert one(spark, text.setting("t"), t="# A=b") is None
     assert one(spark, text.clock(F.lit(3661.5))) == "01:01:01.500"
     assert one(spark, text.prompt(F.lit(" "), F.lit("q"))) == "q"
+    assert one(spark, text.history_prompt(F.array(F.lit("a"), F.lit("b")), F.lit("q"))) == "Relevant conversation history:\n  - a\n  - b\n\nCustomer question: q"
+    assert one(spark, text.history_prompt(F.array().cast("array<string>"), F.lit("q"))) == "Customer question: q"
+    assert one(spark, text.suggestion_prompt(F.lit("a"), F.lit(None).cast("string"))) == "Conversation:\na\n\nPolicy context:\n"
     assert one(spark, text.last_space_before(F.lit("ab cd ef"), 6)) == 5
     assert one(spark, text.tagged(F.lit("agent"), F.lit("x"), F.lit(True))) == "[AGENT — IMPORTANT]: x"
 
