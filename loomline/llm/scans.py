@@ -94,7 +94,9 @@ def _roman(text: str) -> int:
 
 
 def is_page_number(line: str, of: range) -> bool:
-    bare = " ".join(line.strip(_DECOR).split())
+    bare = line.strip(_DECOR)
+    if len(bare) > PAGE_NUMBER_CHARS and "  " in bare:
+        bare = " ".join(bare.split())
     found = _PAGE.match(bare) if len(bare) <= PAGE_NUMBER_CHARS else None
     if not found:
         return False
@@ -471,9 +473,9 @@ def header_key(line: str, of: range, raw: str) -> str | None:
         return None  # a dash at the end that sets no page number apart: the line goes on
     tokens = _bare(tokens, of)
     text = " ".join(tokens)
-    if len(text) < 4 or text[0].islower() or text[-1] in ".,;:–—" + _HYPHENS or sum(c.isalpha() for c in text) < 4:
+    if len(text) < 4 or text[0].islower() or text[-1] in ".,;:–—" + _HYPHENS or sum(not t[0].islower() for t in tokens) < HEADER_CAPITALS * len(tokens):
         return None
-    if sum(not t[0].islower() for t in tokens) < HEADER_CAPITALS * len(tokens):
+    if sum(c.isalpha() for c in text) < 4:
         return None
     return "".join(c for c in "".join(_bare(line.split(), of)).lower() if c.isalnum()) or None
 
