@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,14 +59,31 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write a step once to the shared folder and read it back: lineage ends here, and no later step repeats the work.
 
     The files outlive the loss of any executor. They stay until the cluster clears its scratch folder, because the
-    returned frame may be read at any later time.
+    returned frame may be read at any later time; inside ``released`` they go at its end.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark).rstrip('/')}/loomline-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    owned = getattr(spark.sparkContext, "_loomline_written", None)
+    if owned is not None:
+        owned.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Owns what ``materialise`` writes inside, and removes it at the end. Results must have been written before that."""
+    context, outer = spark.sparkContext, getattr(spark.sparkContext, "_loomline_written", None)
+    context._loomline_written = written = []
+    try:
+        yield
+    finally:
+        context._loomline_written = outer
+        for path in written:
+            place = context._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """For heavy work on each row: rows of a scan with fewer partitions than cores, as of one small file, over all cores.
 

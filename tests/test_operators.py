@@ -233,3 +233,15 @@ def test_pages_run_on_over_batches(spark):
     found = [(r["file"], r["place"], len(r["text"])) for r in documents.chunk_pages(pages).orderBy("place").collect()]
     # the page's end is a line end, so the first chunk is cut at 1000 and stripped; each next one repeats 50
     assert found == [("f", 0, 999), ("f", 1, 1000), ("f", 2, 1000), ("f", 3, 151)]
+
+
+def test_scratch_files_have_an_owner(spark):
+    from loomline.session import materialise, released
+
+    before = materialise(spark.range(3), "kept")
+    with released(spark):
+        held = materialise(spark.range(5), "owned")
+        assert held.count() == 5
+    assert before.count() == 3
+    with pytest.raises(Exception, match="(?i)not exist|not found|no such file"):
+        spark.read.parquet(held.inputFiles()[0]).count()
