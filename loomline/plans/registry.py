@@ -628,7 +628,7 @@ def context_usage(spark, sf_dir):
     return models.context_usage(_found_for(spark, sf_dir))
 
 
-@_query(_FOUND + "SELECT query_id, vec_id, round(score, 6) AS score, rank FROM documents_ WHERE rank <= 4")
+@_query(_FOUND + "SELECT query_id, CAST(vec_id AS BIGINT) AS vec_id, round(score, 6) AS score, rank FROM documents_ WHERE rank <= 4")
 def docs_unranked(spark, sf_dir):
     return _ranked(_found_for(spark, sf_dir)["documents"].where("rank <= 4"))
 
@@ -673,10 +673,10 @@ def session_histories(spark, sf_dir):
 # ------------------------------------------------------------------------------------------------- service and ingestion
 
 
-@_query("SELECT event_id, CASE WHEN event_id % 5 IN (1, 3) THEN 'fatal' ELSE 'retry' END AS action, list_transform(range(1, event_id % 6), lambda n: CAST(pow(2, n - 1) AS DOUBLE)) AS delays FROM events")
+@_query("SELECT event_id, CASE WHEN event_id % 5 IN (1, 3) THEN 'fatal' ELSE 'retry' END AS action, array_to_string(list_transform(range(1, event_id % 6), lambda n: CAST(pow(2, n - 1) AS DOUBLE)), ',') AS delays FROM events")
 def error_actions(spark, sf_dir):
     code, attempts = (F.lit(400) + F.col("event_id") % 5).cast("int"), (F.col("event_id") % 6).cast("int")
-    return table(spark, sf_dir, "events").select("event_id", error_action(code).alias("action"), retry_delays(attempts).alias("delays"))
+    return table(spark, sf_dir, "events").select("event_id", error_action(code).alias("action"), F.array_join(F.transform(retry_delays(attempts), lambda d: d.cast("string")), ",").alias("delays"))
 
 
 @_query(
