@@ -9,6 +9,7 @@ from loomline.functions.rules import ANSWER_FIELDS, INTENTS, REFINEMENTS, age_ho
 from loomline.functions.text import first_words, has_text, history_prompt, one_line, strip, token_estimate, word_count
 from loomline.operators import documents, gate, memory, models, retrieval, segments, voice
 from loomline.session import spread
+from loomline.sources import sinks
 from loomline.sources.tables import parsed_payloads, table
 from loomline.streaming import segments as streaming
 
@@ -283,6 +284,15 @@ def trigger_gate(spark, sf_dir):
     return gate.decide(table(spark, sf_dir, "turns")).drop("at")
 
 
+@_query(_GATE + "SELECT segment_id AS id, 'transcript' AS type, text AS said FROM transcript_segments UNION ALL SELECT id, 'suggestion', intents FROM decided WHERE action IN ('fire', 'refine')")
+def ui_frames(spark, sf_dir):
+    """Frames of both kinds, read back from their JSON."""
+    shown = sinks.frames(table(spark, sf_dir, "transcript_segments")).select(F.col("segment_id").alias("id"), "frame")
+    every = shown.unionByName(sinks.suggestion_frames(gate.decide(table(spark, sf_dir, "turns"))))
+    field = lambda name: F.get_json_object("frame", f"$.{name}")
+    return every.select("id", field("type").alias("type"), F.when(field("type") == "transcript", field("text")).otherwise(field("intents")).alias("said"))
+
+
 @_query(_GATE + "SELECT t.id, t.session_id, coalesce(t.is_important, FALSE) OR coalesce(d.action = 'fire', FALSE) AS is_important FROM turns t LEFT JOIN decided d ON d.id = t.id")
 def important_turns(spark, sf_dir):
     turns = table(spark, sf_dir, "turns")

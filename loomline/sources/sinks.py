@@ -37,3 +37,9 @@ def write_tables(cells: DataFrame, path: str) -> None:
 def frames(segments: DataFrame) -> DataFrame:
     """What is pushed to a screen: one JSON text for each row."""
     return segments.select("segment_id", F.to_json(F.struct(F.lit("transcript").alias("type"), "speaker", "text", "is_final", "timestamp")).alias("frame"))
+
+
+def suggestion_frames(decisions: DataFrame) -> DataFrame:
+    """The other kind of frame: one for each decision that calls for an answer."""
+    called = decisions.where("action in ('fire', 'refine')")
+    return called.select("id", F.to_json(F.struct(F.lit("suggestion").alias("type"), "session_id", "reason", "intents")).alias("frame"))
