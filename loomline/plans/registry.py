@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.functions.rules import ANSWER_FIELDS, INTENTS, REFINEMENTS, age_hours, answer_text, error_action, intents_of, recency, retry_delays
-from loomline.functions.text import first_words, has_text, history_prompt, one_line, strip, token_estimate, word_count
+from loomline.functions.rules import ANSWER_FIELDS, INTENTS, REFINEMENTS, age_hours, answer_text, error_action, intents_of, recency, retry_delays, side_of_stream
+from loomline.functions.text import clock, event_payload, first_words, has_text, history_prompt, last_space_before, one_line, strip, token_estimate, word_count
+from loomline.functions.vectors import mono, normalized, pcm16, pcm16_asymmetric, resampled
 from loomline.operators import documents, gate, memory, models, retrieval, segments, voice
-from loomline.session import spread
+from loomline.session import scratch_path, spread
 from loomline.sources import sinks
-from loomline.sources.tables import parsed_payloads, table
+from loomline.sources.tables import parsed_payloads, settings, table
 from loomline.streaming import segments as streaming
 
 FLAGSHIP = "rerank_recency"
@@ -764,6 +765,56 @@ def question_totals(spark, sf_dir):
     return asked.withColumn("n_run", F.least("n_questions", F.lit(5).cast("long")))
 
 
+# ------------------------------------------------------------------------------------------------- written and read again
+
+_MIRROR = "chunk_index, coalesce(batch_num, 0) AS batch_num, CAST(coalesce(length(text), 0) AS INTEGER) AS chunk_length, coalesce(total_pages, 0) AS total_pages, " + ", ".join(f"coalesce({c}, '') AS {c}" for c in documents.STRINGS)
+
+
+@_query(f"SELECT {_MIRROR} FROM doc_chunks")
+def mirror_files(spark, sf_dir):
+    path = scratch_path(spark, "mirror")
+    sinks.write_mirror(table(spark, sf_dir, "doc_chunks"), path)
+    return spark.read.parquet(path)
+
+
+@_query("SELECT chunk_index, text, source_file FROM doc_chunks")
+def json_export(spark, sf_dir):
+    path = scratch_path(spark, "json")
+    sinks.write_json(table(spark, sf_dir, "doc_chunks").select("chunk_index", "text", "source_file"), path)
+    return spark.read.schema("chunk_index int, text string, source_file string").json(path)
+
+
+@_query("SELECT id, coalesce(session_id, '') AS session_id, coalesce(speaker, '') AS speaker, coalesce(text, '') AS text FROM turns")
+def csv_export(spark, sf_dir):
+    path = scratch_path(spark, "csv")
+    sinks.write_csv(table(spark, sf_dir, "turns").select("id", "session_id", "speaker", "text"), path)
+    read = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).schema("id long, session_id string, speaker string, text string").csv(path)
+    return read.select("id", *[F.coalesce(c, F.lit("")).alias(c) for c in ("session_id", "speaker", "text")])
+
+
+@_query("SELECT line, count(*) AS n FROM (SELECT '=== CHUNK ' || chunk_index || ' (from ' || coalesce(source_file, 'null') || ') ===' AS line FROM doc_chunks) GROUP BY line")
+def text_dump(spark, sf_dir):
+    path = scratch_path(spark, "dump")
+    sinks.write_dump(table(spark, sf_dir, "doc_chunks"), path)
+    return spark.read.text(path).where("value like '=== CHUNK %'").groupBy(F.col("value").alias("line")).agg(F.count("*").alias("n"))
+
+
+@_query("""SELECT chunk_index % 4 AS page, chunk_index % 3 AS table_index, '"' || coalesce(plan_no, '') || '","' || coalesce(uin, '') || '","' || coalesce(replace(category, '"', '""'), '') || '"' AS line, count(*) AS n FROM doc_chunks GROUP BY 1, 2, 3""")
+def table_files(spark, sf_dir):
+    path = scratch_path(spark, "tables")
+    cells = table(spark, sf_dir, "doc_chunks").select((F.col("chunk_index") % 4).alias("page"), (F.col("chunk_index") % 3).alias("table_index"), F.array("plan_no", "uin", "category").alias("cells"))
+    sinks.write_tables(cells, path)
+    return spark.read.text(path).groupBy("page", "table_index", F.col("value").alias("line")).agg(F.count("*").alias("n"))
+
+
+@_query(f"SELECT 'DOC_' || doc_id AS key, {_s("coalesce(source, '') || '=' || coalesce(lang, '')")} AS value FROM documents WHERE doc_id % 5 <> 0")
+def setting_lines(spark, sf_dir):
+    path = scratch_path(spark, "settings")
+    line = F.concat(F.when(F.col("doc_id") % 5 == 0, "# ").otherwise(""), F.lit("DOC_"), F.col("doc_id"), F.lit(" = "), F.coalesce("source", F.lit("")), F.lit("="), F.coalesce("lang", F.lit("")))
+    table(spark, sf_dir, "documents").select(line.alias("value")).write.text(path)
+    return settings(spark, path)
+
+
 # ----------------------------------------------------------------------------------------------------- sound and streams
 
 
@@ -783,6 +834,46 @@ def rms_by_user(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.round(F.sqrt(F.avg(F.col("value") * F.col("value"))), 6).alias("rms"))
 
 
+_INTS = "array_to_string(list_transform({}, lambda x: CAST({} AS BIGINT)), ',')"
+_AT = "list_transform(range(0, 24), lambda i: e[CAST(floor(i * 63 / 23.0) AS BIGINT) + 1] + (i * 63 / 23.0 - floor(i * 63 / 23.0)) * (e[least(CAST(floor(i * 63 / 23.0) AS BIGINT) + 1, 63) + 1] - e[CAST(floor(i * 63 / 23.0) AS BIGINT) + 1]))"
+
+
+@_query(
+    f"""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE embedding IS NOT NULL),
+n AS (SELECT *, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS size FROM v)
+SELECT vec_id, {_INTS.format("e", "greatest(-32768, least(32767, trunc(x * 32768)))")} AS pcm, {_INTS.format("e", "trunc(greatest(-1.0, least(1.0, x)) * CASE WHEN x < 0 THEN 32768 ELSE 32767 END)")} AS browser_pcm,
+  {_INTS.format(_AT, "round(x * 1e6)")} AS resampled, {_INTS.format("list_transform(range(1, 65), lambda i: (e[i] + e[65 - i]) / 2)", "round(x * 1e6)")} AS mono, {_INTS.format("list_transform(e, lambda x: x / size)", "round(x * 1e6)")} AS unit FROM n"""
+)
+def sound_samples(spark, sf_dir):
+    """Vectors of 64 numbers as samples: at 16,000 and 6,000 a second, and with their reverse as the other channel."""
+    rows = table(spark, sf_dir, "embeddings").where("embedding is not null").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    ints = lambda a, by: F.array_join(F.transform(a, lambda x: F.round(x * by).cast("long").cast("string")), ",")
+    e = F.col("e")
+    return rows.select("vec_id", ints(pcm16(e), 1).alias("pcm"), ints(pcm16_asymmetric(e), 1).alias("browser_pcm"), ints(resampled(e, 16_000, 6_000), 1e6).alias("resampled"), ints(mono(e, F.reverse("e")), 1e6).alias("mono"), ints(normalized(e), 1e6).alias("unit"))
+
+
+@_query("SELECT segment_id, CASE WHEN segment_id % 2 = 0 THEN 'agent' ELSE 'customer' END AS side FROM transcript_segments")
+def stream_sides(spark, sf_dir):
+    stream = F.when(F.col("segment_id") % 2 == 0, "mic").otherwise("system")
+    return table(spark, sf_dir, "transcript_segments").select("segment_id", side_of_stream(stream).alias("side"))
+
+
+@_query("SELECT id, strftime(make_timestamp(CAST(trunc(spoken_at * 1000000) AS BIGINT)), '%H:%M:%S.%g') AS said_at, CASE WHEN strpos(reverse(text[1:40]), ' ') = 0 THEN -1 ELSE length(text[1:40]) - strpos(reverse(text[1:40]), ' ') END AS cut_at FROM turns WHERE NOT coalesce(isnan(spoken_at), FALSE)")
+def said_marks(spark, sf_dir):
+    rows = table(spark, sf_dir, "turns").where(~F.coalesce(F.isnan("spoken_at"), F.lit(False)))
+    return rows.select("id", clock("spoken_at").alias("said_at"), last_space_before("text", 40).cast("long").alias("cut_at"))
+
+
+@_query(
+    f"""WITH b AS (SELECT id, CASE WHEN id % 3 = 0 THEN regexp_replace(text, '^{_WS}+', '') WHEN id % 7 = 0 THEN '[DONE]' ELSE text END AS body FROM turns)
+SELECT id, CASE WHEN body = '' OR {_s("body")} = '[DONE]' THEN NULL ELSE body END AS payload FROM b"""
+)
+def event_payloads(spark, sf_dir):
+    """Texts as the chunks of an event stream: some after ``data:``, some the end mark, others as they are."""
+    chunk = F.when(F.col("id") % 3 == 0, F.concat(F.lit("data: "), F.col("text"))).when(F.col("id") % 7 == 0, "[DONE]").otherwise(F.col("text"))
+    return table(spark, sf_dir, "turns").select("id", event_payload(chunk).alias("payload"))
+
+
 @_query(ORACLE["dedup_tracker"])
 def stream_dedup_tracker(spark, sf_dir):
     stream = streaming.read_stream(spark, sf_dir, "turns")

@@ -55,6 +55,15 @@ def scratch_dir(spark: SparkSession) -> str:
     return held
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder; inside ``released`` it goes at its end."""
+    path = f"{scratch_dir(spark).rstrip('/')}/loomline-{name}-{uuid.uuid4().hex}"
+    owned = getattr(spark.sparkContext, "_loomline_written", None)
+    if owned is not None:
+        owned.append(path)
+    return path
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write a step once to the shared folder and read it back: lineage ends here, and no later step repeats the work.
 
@@ -62,11 +71,8 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     returned frame may be read at any later time; inside ``released`` they go at its end.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark).rstrip('/')}/loomline-{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    owned = getattr(spark.sparkContext, "_loomline_written", None)
-    if owned is not None:
-        owned.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -24,8 +24,8 @@ def write_dump(chunks: DataFrame, path: str) -> None:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """With a header; quoted, so that texts may hold line ends; nulls as empty strings."""
-    df.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').option("nullValue", "").csv(path)
+    """With a header; quoted, so that texts may hold line ends and blanks at their ends; nulls as empty strings."""
+    df.write.mode("overwrite").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("header", True).option("quoteAll", True).option("escape", '"').option("nullValue", "").csv(path)
 
 
 def write_tables(cells: DataFrame, path: str) -> None:
