@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from loomline.functions.rules import doc_type, folder_parts, title_of
 from loomline.functions.text import strip
+from loomline.operators.folds import Fold, folded
 from loomline.operators.ordering import number_within
 
 CHUNK, OVERLAP, PAGES = 1_000, 50, 3
@@ -131,52 +132,40 @@ def paragraphs(documents: DataFrame) -> DataFrame:
     return parts.select("doc_id", "place", strip("part").alias("paragraph")).where("paragraph <> ''")
 
 
-def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pages of files in order; what is held is the rest of a chunk and one page."""
-    file, held, n, empty = None, "", 0, ("file", "place", "text")
-
-    def cut(last: bool) -> None:
-        nonlocal held, n
+def _cut(state: dict, pages: Iterator[tuple]) -> tuple[list[tuple], dict]:
+    """Pages of a file in order; what is held is the rest of a chunk and one page."""
+    held, n, out = state["held"], state["n"], []
+    for (text,) in pages:
+        held = f"{held}\n\n{text or ''}" if held else text or ""
         while len(held) >= CHUNK:
             end = CHUNK
             if end < len(held) and held[end] not in " \n" and (blank := held.rfind(" ", 0, end)) > OVERLAP:
                 end = blank
-            add(held[:end].strip())
+            if piece := held[:end].strip():
+                out.append((n, piece))
+                n += 1
             held = held[max(0, end - OVERLAP) :]
-        if last:
-            add(held.strip())
-            held, n = "", 0
-
-    def add(piece: str) -> None:
-        nonlocal n
-        if piece:
-            out.append((file, n, piece))
-            n += 1
-
-    for batch in batches:
-        out: list[tuple] = []
-        for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if name != file:
-                cut(True)
-                file = name
-            held = f"{held}\n\n{text or ''}" if held else text or ""
-            cut(False)
-        yield pa.RecordBatch.from_pylist([dict(zip(empty, r, strict=True)) for r in out], schema=_PIECES)
-    out = []
-    cut(True)
-    yield pa.RecordBatch.from_pylist([dict(zip(empty, r, strict=True)) for r in out], schema=_PIECES)
+    return out, {"held": held, "n": n}
 
 
-_PIECES = pa.schema([("file", pa.string()), ("place", pa.int32()), ("text", pa.string())])
+_FOLD = Fold(
+    "file string, place int, text string",
+    lambda: {"held": "", "n": 0},
+    _cut,
+    core=lambda state: state["held"],
+    carried=lambda begin, guessed, end: end | {"n": begin["n"] + end["n"] - guessed["n"]},
+    finish=lambda state: [(state["n"], rest)] if (rest := state["held"].strip()) else [],
+)
+#: Pages of a slice; a task holds those of one.
+SLICE_PAGES = 20_000
 
 
 def chunk_pages(pages: DataFrame) -> DataFrame:
     """``(file, place, text)`` of pages ``(file, page, text)``: chunks that run on over the pages of a file.
 
-    Where a chunk ends depends on all pages before it, so a file's pages are read in order by one task without being held.
+    Where a chunk ends depends on all pages before it, through the part of a chunk that is held.
     """
-    ordered = pages.where("file is not null").repartition("file").sortWithinPartitions("file", "page").select("file", "text")
-    return ordered.mapInArrow(_streamed, "file string, place int, text string")
+    return folded(pages.where("file is not null"), "file", ["page"], ["text"], _FOLD, SLICE_PAGES)
 
 
 def run_totals(chunks: DataFrame) -> DataFrame:

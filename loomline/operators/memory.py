@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomline.functions.text import strip, tagged, token_estimate
+from loomline.operators.folds import Fold, folded
 from loomline.operators.ordering import number_within
 from loomline.operators.segments import latest
 
 RECENT, CAP, EVICTED, END_LIMIT = 5, 20, 5, 35
-BUDGET, SUMMARY_TOKENS, TURNS_PER_EPOCH, MOST_SUMMARIES, MERGED = 1_000, 75, 500, 10, 2
+BUDGET, SUMMARY_TOKENS, TURNS_PER_EPOCH, MOST_SUMMARIES = 1_000, 75, 500, 10
 
 
 def recent_turns(turns: DataFrame, n: int = RECENT) -> DataFrame:
@@ -72,53 +72,60 @@ def session_end(turns: DataFrame, limit: int = END_LIMIT) -> DataFrame:
 
 
 def add_turn(state: dict, key: int, n_tokens: int) -> tuple | None:
-    """One turn more: ``(epoch, turn, covered, merged, summaries, last covered turn)`` if the budget is exceeded by it."""
+    """One turn more: ``(epoch, turn, covered, merged, summaries, last covered turn)`` if the budget is exceeded by it.
+
+    Of the summaries' sizes only the newest are kept one by one; the rest of ``covered`` is what the merged one in front covers.
+    """
     state["held"].append((n_tokens, key))
     state["tokens"] += n_tokens
-    if state["tokens"] + SUMMARY_TOKENS * len(state["summaries"]) <= BUDGET:
+    if state["tokens"] + SUMMARY_TOKENS * min(state["epoch"], MOST_SUMMARIES) <= BUDGET:
         return None
     taken, state["held"] = state["held"][:TURNS_PER_EPOCH], state["held"][TURNS_PER_EPOCH:]
     state["tokens"] -= sum(n for n, _ in taken)
-    summaries, merged = [*state["summaries"], len(taken)], 0
-    if len(summaries) > MOST_SUMMARIES:
-        merged = sum(summaries[:MERGED])
-        summaries = [merged, *summaries[MERGED:]]
-    state["summaries"] = summaries
     state["epoch"] += 1
-    return state["epoch"] - 1, key, len(taken), merged, len(summaries), taken[-1][1]
+    state["covered"] += len(taken)
+    state["newest"] = [*state["newest"], len(taken)][-(MOST_SUMMARIES - 1) :]
+    merged = state["covered"] - sum(state["newest"]) if state["epoch"] > MOST_SUMMARIES else 0
+    return state["epoch"] - 1, key, len(taken), merged, min(state["epoch"], MOST_SUMMARIES), taken[-1][1]
 
 
 def fresh() -> dict:
-    return {"held": [], "tokens": 0, "summaries": [], "epoch": 0}
+    return {"held": [], "tokens": 0, "epoch": 0, "covered": 0, "newest": []}
 
 
 EPOCHS = ("epoch_index", "last_id", "covers_turn_count", "merged_turn_count", "n_summaries", "last_covered_id")
 EPOCH_TYPES = "session_id string, epoch_index int, last_id long, covers_turn_count int, merged_turn_count int, n_summaries int, last_covered_id long"
 
 
-def _compact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One pass over turns in order; a session's state is what its budget holds, so a session of any length streams through."""
-    session, state = None, fresh()
-    for batch in batches:
-        out = []
-        for own, key, n_tokens in zip(batch["session_id"], batch["id"].tolist(), batch["tokens"].tolist(), strict=True):
-            if own != session:
-                session, state = own, fresh()
-            made = add_turn(state, key, n_tokens)
-            if made:
-                out.append((session, *made))
-        yield pd.DataFrame(out, columns=["session_id", *EPOCHS])
+def _compact(state: dict, turns: Iterator[tuple]) -> tuple[list[tuple], dict]:
+    return [made for key, n_tokens in turns if (made := add_turn(state, key, n_tokens))], state
+
+
+def _carried(begin: dict, guessed: dict, end: dict) -> dict:
+    """The end of a slice with epochs and covered turns counted from its true begin."""
+    n = end["epoch"] - guessed["epoch"]
+    own = end["newest"][max(0, len(end["newest"]) - n) :]
+    return end | {"epoch": begin["epoch"] + n, "covered": begin["covered"] + end["covered"] - guessed["covered"], "newest": [*begin["newest"], *own][-(MOST_SUMMARIES - 1) :]}
+
+
+_FOLD = Fold(
+    EPOCH_TYPES,
+    fresh,
+    _compact,
+    guess=lambda: fresh() | {"epoch": MOST_SUMMARIES},  # a slice begins where summaries have long been merged
+    core=lambda state: [state["held"], state["tokens"], min(state["epoch"], MOST_SUMMARIES)],
+    carried=_carried,
+)
 
 
 def compactions(turns: DataFrame) -> DataFrame:
     """The epochs of each session: when its turns and summaries exceed the budget, its turns become a summary.
 
     ``merged_turn_count`` is what the two oldest summaries cover together when they are merged, else 0. Whether a turn
-    overflows depends on all before it, so a session's turns are read in order, by one task, without being held.
+    overflows depends on all before it, through what the window holds.
     """
     rows = turns.where("session_id is not null").select("session_id", "created_at", "id", token_estimate("text").alias("tokens"))
-    ordered = rows.repartition("session_id").sortWithinPartitions("session_id", "created_at", "id").select("session_id", "id", "tokens")
-    return ordered.mapInPandas(_compact, EPOCH_TYPES)
+    return folded(rows, "session_id", ["created_at", "id"], ["id", "tokens"], _FOLD)
 
 
 def held_turns(turns: DataFrame) -> DataFrame:

@@ -4,28 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 
+from loomline.operators.folds import Fold, folded
+
 SEED, ALPHA, FACTOR = 50.0, 0.05, 2.5
 
 
-def _detect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    channel, floor = None, SEED
-    for batch in batches:
-        speech, floors = [], []
-        for key, level in zip(batch["channel"], batch["level"], strict=True):
-            if key != channel:
-                channel, floor = key, SEED
-            loud = level > floor * FACTOR
-            if not loud:
-                floor = (1 - ALPHA) * floor + ALPHA * level
-            speech.append(loud)
-            floors.append(floor)
-        yield pd.DataFrame({"frame_id": batch["frame_id"], "channel": batch["channel"], "is_speech": speech, "floor": floors})
+def _detect(floor: float, frames: Iterator[tuple]) -> tuple[list[tuple], float]:
+    out = []
+    for key, level in frames:
+        loud = level > floor * FACTOR
+        if not loud:
+            floor = (1 - ALPHA) * floor + ALPHA * level
+        out.append((key, loud, floor))
+    return out, floor
+
+
+_FOLD = Fold("channel long, frame_id long, is_speech boolean, floor double", lambda: SEED, _detect)
 
 
 def detect(frames: DataFrame) -> DataFrame:
-    """``frames(frame_id, channel, at, level)``: speech and floor of each frame. A channel streams through one task with one number as state."""
-    ordered = frames.repartition("channel").sortWithinPartitions("channel", "at", "frame_id").select("frame_id", "channel", "level")
-    return ordered.mapInPandas(_detect, "frame_id long, channel long, is_speech boolean, floor double")
+    """``frames(frame_id, channel, at, level)``: speech and floor of each frame that has a level. The state of a channel is one number."""
+    heard = frames.where("level is not null")
+    return folded(heard, "channel", ["at", "frame_id"], ["frame_id", "level"], _FOLD).select("frame_id", "channel", "is_speech", "floor")

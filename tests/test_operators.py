@@ -245,3 +245,36 @@ def test_scratch_files_have_an_owner(spark):
     assert before.count() == 3
     with pytest.raises(Exception, match="(?i)not exist|not found|no such file"):
         spark.read.parquet(held.inputFiles()[0]).count()
+
+
+def test_folds_over_slices_equal_one_pass(spark, monkeypatch):
+    """One key holds most rows and is cut into slices; the rows are those of a pass in one task."""
+    from loomline.operators import folds
+
+    rng = random.Random(5)
+    words = [" ".join(rng.choice(["premium", "is", "due", "on", "a", "", "settlement"]) for _ in range(rng.randint(0, 40))) for _ in range(3_000)]
+    said = [(i, "hot" if i % 5 else f"s{i % 7}", datetime.fromtimestamp(1_700_000_000 + i), rng.choice([None, "", words[i]])) for i in range(3_000)]
+    turns_ = frame(spark, said, "id long, session_id string, created_at timestamp, text string")
+    frames = frame(spark, [(i, 1 if i % 5 else i % 7, float(i), rng.choice([20.0, 40.0, 90.0, 200.0])) for i in range(12_000)], "frame_id long, channel long, at double, level double")
+    pages = frame(spark, [("hot" if i % 5 else f"f{i % 7}", i, words[i]) for i in range(3_000)], "file string, page int, text string")
+
+    def found() -> list:
+        own = [memory.compactions(turns_), voice.detect(frames), documents.chunk_pages(pages)]
+        return [sorted(map(tuple, df.collect())) for df in own]
+
+    expected = found()
+    assert max(len(x) for x in expected) == 12_000 and max(r[1] for r in expected[0]) > 30
+    monkeypatch.setattr(documents, "SLICE_PAGES", 400)
+    for rows, rounds in ((600, 4), (3_000, 4), (600, 0)):
+        monkeypatch.setattr(folds, "SLICE_ROWS", rows)
+        monkeypatch.setattr(folds, "ROUNDS", rounds)
+        assert found() == expected
+
+
+def test_folds_that_never_settle(spark):
+    """Turns of one size: where an epoch ends depends on the first turn for ever, so the key streams through one task."""
+    from loomline.operators.folds import folded
+
+    rows = frame(spark, [(i, "s", 30) for i in range(1_000)], "id long, session_id string, tokens int")
+    one, cut = (sorted(map(tuple, folded(rows, "session_id", ["id"], ["id", "tokens"], memory._FOLD, n, 2).collect())) for n in (1_000, 130))
+    assert len(one) > 90 and one == cut
