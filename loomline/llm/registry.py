@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from loomline.llm import containers, conversations, corpus_tokens, hidden_copies, offence, pieces, scans, transcripts
+from loomline.llm.sides import AGENT_WORDS, CUSTOMER_WORDS
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,7 +94,34 @@ grouped AS (SELECT segment_id, min(segment_id) OVER (PARTITION BY k) AS keep_id,
 
 _WHITE = r"[\s\x0b\x{1c}-\x{1f}\x{85}\p{Z}]"
 
+
+
+def _words(words: frozenset[str], least: int = 1) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in sorted(words) if len(w) >= least) + "]"
+
+
+def _names(words: frozenset[str], least: int) -> str:
+    """Whether a label's words name a side exactly, and whether one is a letter away from doing so."""
+    exact = f"len(list_filter(ws, lambda w: list_contains({_words(words)}, w) AND (length(w) > 1 OR w = j))) > 0"
+    near = f"len(list_filter(ws, lambda w: length(w) >= 4 AND len(list_filter({_words(words, least)}, lambda k: k[1] = w[1] AND damerau_levenshtein(w, k) <= 1)) > 0)) > 0"
+    return f"list_contains({_words(words)}, j), {exact}, {near}"
+
+
+#: The rows of a session alone decide whether it is broken, so SQL can say it without components.
+_BROKEN = rf"""
+WITH l AS (SELECT speaker, ws, array_to_string(ws, '') AS j FROM (SELECT DISTINCT speaker, regexp_extract_all(lower(speaker), '\p{{L}}[\p{{L}}\p{{M}}]*') AS ws FROM turns WHERE speaker IS NOT NULL)),
+n(speaker, aj, ae, an, cj, ce, cn) AS (SELECT speaker, {_names(AGENT_WORDS, 5)}, {_names(CUSTOMER_WORDS, 6)} FROM l),
+s AS (SELECT speaker, CASE WHEN aj THEN 'agent' WHEN cj THEN 'customer' WHEN ae OR ce THEN CASE WHEN ae AND ce THEN NULL WHEN ae THEN 'agent' ELSE 'customer' END
+  WHEN an AND NOT cn THEN 'agent' WHEN cn AND NOT an THEN 'customer' END AS side FROM n),
+t AS (SELECT session_id, id, side, CASE WHEN isnan(spoken_at) THEN NULL ELSE spoken_at END AS said_at, coalesce(is_final, FALSE) AND coalesce(regexp_matches(text, '[^\s\x0b\x{{1c}}-\x{{1f}}\x{{85}}\p{{Z}}]'), FALSE) AS usable
+  FROM turns LEFT JOIN s USING (speaker) WHERE session_id IS NOT NULL)
+SELECT session_id FROM t GROUP BY session_id HAVING count(*) FILTER (WHERE usable) = 0 OR count(*) FILTER (WHERE usable AND (side IS NULL OR said_at IS NULL)) > 0
+  OR count(*) FILTER (WHERE usable AND side = 'agent') = 0 OR count(*) FILTER (WHERE usable AND side = 'customer') = 0
+  OR arg_max(side, (said_at, id)) FILTER (WHERE usable AND said_at IS NOT NULL) = 'customer'
+"""
+
 ORACLE: dict[str, str] = {
+    "p1_found": _BROKEN,
     "p6_texts": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p2_found": f"SELECT chunk_index FROM doc_chunks WHERE length(regexp_replace(regexp_replace(text, '^{_WHITE}+', ''), '{_WHITE}+$', '')) > 1000",
     "p3_found": _COPIES + "SELECT keep_id, segment_id AS copy_id FROM grouped WHERE segment_id <> keep_id",
