@@ -278,3 +278,49 @@ def test_folds_that_never_settle(spark):
     rows = frame(spark, [(i, "s", 30) for i in range(1_000)], "id long, session_id string, tokens int")
     one, cut = (sorted(map(tuple, folded(rows, "session_id", ["id"], ["id", "tokens"], memory._FOLD, n, 2).collect())) for n in (1_000, 130))
     assert len(one) > 90 and one == cut
+
+
+def test_scores_of_many_queries_are_never_held_at_once():
+    """4,000 queries over a batch of 10,000 rows: 320 MB of scores, if all were kept."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    class Local:
+        def __init__(self, names, ids, vectors):
+            self.table = pa.table({names[0]: ids, names[1]: pa.FixedSizeListArray.from_arrays(vectors.ravel(), vectors.shape[1])})
+
+        def select(self, *_):
+            return self
+
+        def toArrow(self):  # noqa: N802
+            return self.table
+
+        def mapInArrow(self, run, _):  # noqa: N802
+            return pa.Table.from_batches(run(iter(self.table.to_batches(max_chunksize=10_000))))
+
+    rng = np.random.default_rng(5)
+    vectors, asked = rng.integers(0, 9, (10_000, 26)).astype(float), rng.integers(0, 9, (4_000, 26)).astype(float)
+    vectors[5_000:6_000], vectors[77], asked[100:200] = vectors[4_000:5_000], 0, 0
+    asked[:100] = vectors[4_950:5_050]
+    rows, queries = Local(("vec_id", "embedding"), np.arange(10_000)[::-1], vectors), Local(("query_id", "query"), np.arange(4_000), asked)
+    tracemalloc.start()
+    found = retrieval._to_all(rows, queries, 10)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6
+    near = np.round(retrieval._unit(queries.table.column(1))[:250] @ retrieval._unit(rows.table.column(1)).T, 9)
+    best = {}
+    for row in found.to_pylist():
+        best.setdefault(row["query_id"], []).append((-round(row["score"], 9), row["vec_id"]))
+    ids = np.arange(10_000)[::-1]
+    for q in range(250):
+        assert [i for _, i in sorted(best[q])] == ids[np.lexsort((ids, -near[q]))[:10]].tolist()
+
+
+def test_letters_in_one_pass_are_those_of_letter_counts(spark):
+    from loomline.operators import models
+
+    texts = ["Does this Cover", "", None, "\u212a\u0130 \u00c5 \u0915 zZ", "a" * 300]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(models.letter_counts(F.col("t")).alias("a"), models.letters_in_one_pass(F.col("t")).alias("b")).collect()
+    assert [r["a"] for r in rows] == [r["b"] for r in rows] and rows[4]["b"][0] == 300
