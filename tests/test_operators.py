@@ -324,3 +324,12 @@ def test_letters_in_one_pass_are_those_of_letter_counts(spark):
     texts = ["Does this Cover", "", None, "\u212a\u0130 \u00c5 \u0915 zZ", "a" * 300]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select(models.letter_counts(F.col("t")).alias("a"), models.letters_in_one_pass(F.col("t")).alias("b")).collect()
     assert [r["a"] for r in rows] == [r["b"] for r in rows] and rows[4]["b"][0] == 300
+
+
+def test_only_what_is_asked_for_is_looked_for(spark, data, monkeypatch):
+    from loomline.operators import models
+    from loomline.plans import registry
+
+    made = []
+    monkeypatch.setattr(models, "nearest", lambda *a, nearest=models.nearest, **k: made.append(k["within"]) or nearest(*a, **k))
+    assert registry.QUERIES["docs_unranked"](spark, data).count() > 0 and made == [None]
