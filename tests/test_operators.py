@@ -333,3 +333,26 @@ def test_only_what_is_asked_for_is_looked_for(spark, data, monkeypatch):
     made = []
     monkeypatch.setattr(models, "nearest", lambda *a, nearest=models.nearest, **k: made.append(k["within"]) or nearest(*a, **k))
     assert registry.QUERIES["docs_unranked"](spark, data).count() > 0 and made == [None]
+
+
+def test_scores_of_one_long_session_are_never_held_at_once(spark, monkeypatch):
+    """4,000 questions and 20,000 turns of one session in one group: 640 MB of scores, if all were kept."""
+    import tracemalloc
+
+    import pyarrow as pa
+    from pyspark.sql.pandas.group_ops import PandasCogroupedOps
+
+    held, apply = [], PandasCogroupedOps.applyInArrow
+    monkeypatch.setattr(PandasCogroupedOps, "applyInArrow", lambda self, meet, schema: held.append(meet) or apply(self, meet, schema))
+    table = frame(spark, [(i, [1.0, float(i)], "s") for i in range(3)], "vec_id long, embedding array<double>, session_id string")
+    assert retrieval.nearest(table, table, 2, within="session_id").count() == 6
+    rng = np.random.default_rng(6)
+    vectors = rng.integers(0, 9, (20_000, 26)).astype(float)
+    lists = pa.FixedSizeListArray.from_arrays(vectors.ravel(), 26)
+    rows = pa.table({"key": ["s"] * 20_000, "vec_id": np.arange(20_000), "embedding": lists})
+    tracemalloc.start()
+    found = held[0](rows, pa.table({"key": ["s"] * 4_000, "query_id": np.arange(4_000), "query": lists[:4_000]}))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6 and found.num_rows == 8_000
+    assert set(range(4_000)) <= {r["vec_id"] for r in found.to_pylist() if r["score"] > 1 - 1e-9}
