@@ -157,7 +157,11 @@ class _Index:
                 near[place[own]] += w * value[own]
             if len(near) >= NEIGHBOURS:
                 least = np.partition(near, -NEIGHBOURS)[-NEIGHBOURS]
-        best = np.lexsort((np.arange(len(near)), -self.labels, -np.round(near, 9)))[:NEIGHBOURS]
+        rounded = np.round(near, 9)
+        own = np.arange(len(near))
+        if len(near) > NEIGHBOURS:  # all as near as the last one that enters, so that ties are decided below
+            own = np.flatnonzero(rounded >= np.partition(rounded, -NEIGHBOURS)[-NEIGHBOURS])
+        best = own[np.lexsort((own, -self.labels[own], -rounded[own]))[:NEIGHBOURS]]
         return best, near[best]
 
 

@@ -110,3 +110,30 @@ def test_calibration():
     # without verdicts the prior decides: a vote over a half is offensive
     slope, intercept = offence.calibrated(np.zeros(0), np.zeros(0))
     assert slope > 0 and abs(-intercept / slope - 0.5) < 0.05
+
+
+def test_only_the_nearest_examples_are_sorted(monkeypatch):
+    import numpy as np
+
+    from loomline.llm import offence
+
+    rng = np.random.default_rng(8)
+    draw = lambda: {f"t{t}": 1 / np.sqrt(3) for t in rng.choice(60, 3, replace=False)}
+    rows = [(draw(), float(rng.integers(0, 3)) / 2, str(i)) for i in range(3_000)]
+    index, labels, sort, sorted_ = offence._Index(rows), np.array([r[1] for r in rows]), np.lexsort, []
+    for _ in range(50):
+        query = draw()
+        near = np.array([sum(w * own.get(t, 0.0) for t, w in query.items()) for own, _, _ in rows])
+        expected = sort((np.arange(3_000), -labels, -np.round(near, 9)))[:5]
+        monkeypatch.setattr(np, "lexsort", lambda keys: sorted_.append(len(keys[0])) or sort(keys))
+        best, found = index.nearest(query)
+        monkeypatch.undo()
+        assert best.tolist() == expected.tolist() and np.allclose(found, near[expected])
+    assert np.median(sorted_) < 300
+
+
+def test_breaks_codes_and_numbers():
+    from loomline.llm.offence_text import passages, words
+
+    assert passages("Agent: a b. \u200bc\r\n\nd  e!\u2028 [00:12] customer x") == ["a b.", "c", "d  e!", "x"]
+    assert words("KML24702 paid 1,200.50 on 3/4, b1tch ref980B470V03x") == ["ref", "paid", "0", "on", "0", "bitch", "ref98obatovoex"]
