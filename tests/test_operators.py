@@ -356,3 +356,26 @@ def test_scores_of_one_long_session_are_never_held_at_once(spark, monkeypatch):
     tracemalloc.stop()
     assert peak < 150e6 and found.num_rows == 8_000
     assert set(range(4_000)) <= {r["vec_id"] for r in found.to_pylist() if r["score"] > 1 - 1e-9}
+
+
+def joins_of(df) -> int:
+    return sum(line.lstrip(" :+-").startswith("Join ") for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines())
+
+
+def test_sections_are_counted_without_a_join_for_each(spark, data):
+    from loomline.plans import registry
+
+    used = registry.QUERIES["context_usage"](spark, data)
+    assert joins_of(used) == 1
+    assert all("loomline-" in path for path in used.inputFiles())  # the tables are not read again
+
+
+def test_vectors_of_a_large_key_are_not_gathered_by_key(spark, monkeypatch):
+    """Rows of large keys meet what is known of their key by broadcast, and go straight to the cells."""
+    vectors = frame(spark, [(i, [1.0, float(i % 7)], "hot" if i % 3 else f"s{i % 30}") for i in range(300)], "vec_id long, embedding array<double>, session_id string")
+    asked = retrieval.asked_of(vectors)
+    expected = sorted(map(tuple, retrieval.nearest(vectors, asked, within="session_id").collect()))
+    monkeypatch.setattr(retrieval, "GROUP_ROWS", 40)
+    found = retrieval.nearest(vectors, asked, within="session_id")
+    assert "strategy=broadcast" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == expected
