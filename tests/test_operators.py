@@ -379,3 +379,11 @@ def test_vectors_of_a_large_key_are_not_gathered_by_key(spark, monkeypatch):
     found = retrieval.nearest(vectors, asked, within="session_id")
     assert "strategy=broadcast" in found._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(map(tuple, found.collect())) == expected
+
+
+def test_lists_and_contexts_of_a_question_meet_in_one_join(spark, data):
+    from loomline.plans import registry
+
+    rows = registry.QUERIES["evaluation_rows"](spark, data)
+    assert joins_of(rows) == 1
+    assert all("loomline-" in path for path in rows.inputFiles())
